@@ -1,0 +1,6 @@
+"""Registered queries; importing the package fills the registry."""
+
+from linkloom.catalog import expansion, text  # noqa: F401
+from linkloom.catalog.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

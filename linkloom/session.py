@@ -18,7 +18,7 @@ def build_session(app: str = "linkloom", master: str | None = None, partitions:
         .config("spark.sql.parquet.filterPushdown", "true")
     )
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false")
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     return b.getOrCreate()
