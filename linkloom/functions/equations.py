@@ -22,11 +22,17 @@ NUMBER = r"^\d+$"
 UNDEFINED = -1
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def find_sign(col) -> Column:
     """The direction sign with its blanks; a ``?`` when nothing else is found; null when there is none."""
     c = _c(col)
-    sign = F.regexp_extract(c, SIGNS, 1)
-    return F.when(sign != "", sign).when(F.contains(c, F.lit("?")), F.lit("?"))
+    return let(
+        F.regexp_extract(c, SIGNS, 1), lambda sign: F.when(sign != "", sign).when(F.contains(c, F.lit("?")), F.lit("?"))
+    )
 
 
 def uniform_sign(sign) -> Column:
@@ -48,64 +54,65 @@ def fix_html_sign(col) -> Column:
 
 def standardize_equation(col) -> Column:
     """One spelling per direction: ``' <=> '``, ``' => '`` or ``' <= '``; doubled blanks collapsed."""
-    c = squeeze(F.replace(_c(col), F.lit("  "), F.lit(" ")))
-    sign = find_sign(c)
-    unified = F.when(sign.isNotNull() & (sign != "?"), F.replace(c, sign, uniform_sign(sign))).otherwise(c)
-    return fix_html_sign(unified)
+    def unify(x: Column) -> Column:
+        text, sign = x["text"], x["sign"]
+        return F.when(sign.isNotNull() & (sign != "?"), F.replace(text, sign, uniform_sign(sign))).otherwise(text)
+
+    clean = squeeze(F.replace(_c(col), F.lit("  "), F.lit(" ")))
+    signed = let(clean, lambda t: F.struct(t.alias("text"), find_sign(t).alias("sign")))
+    return fix_html_sign(let(signed, unify))
 
 
 def direction(col) -> Column:
     """``<=>``, ``=>`` or ``<=`` of an equation whatever its spelling."""
-    return F.trim(uniform_sign(F.when(find_sign(col) != "?", find_sign(col))))
-
-
-def _term(token: Column) -> Column:
-    clean = F.trim(token)
-    mark = F.regexp_extract(F.lower(clean), MULTIPLIER, 1)
-    bare = F.trim(mark)
-    stoich = (
-        F.when(mark == "", F.lit(1))
-        .when(bare.rlike(ONE), F.lit(1))
-        .when(bare.rlike(NUMBER), bare.try_cast("int"))
-        .otherwise(F.lit(UNDEFINED))
-    )
-    name = F.trim(F.substring(clean, F.length(mark) + 1, F.length(clean)))
-    return F.struct(stoich.alias("stoich"), bare.alias("stoich_raw"), name.alias("name"))
+    return let(find_sign(col), lambda sign: F.trim(uniform_sign(F.when(sign != "?", sign))))
+
+
+def _terms(tokens: Column) -> Column:
+    """Raw terms to ``array<struct<stoich, stoich_raw, name>>``; one pass per step, so nothing is computed twice."""
+    clean = F.transform(tokens, lambda t: F.trim(t))
+    marked = F.transform(clean, lambda t: F.struct(t.alias("t"), F.regexp_extract(F.lower(t), MULTIPLIER, 1).alias("mark")))
+
+    def term(x: Column) -> Column:
+        bare = F.trim(x["mark"])
+        stoich = (
+            F.when(bare == "", F.lit(1))
+            .when(bare.rlike(ONE), F.lit(1))
+            .when(bare.rlike(NUMBER), bare.try_cast("int"))
+            .otherwise(F.lit(UNDEFINED))
+        )
+        name = F.trim(F.substring(x["t"], F.length(x["mark"]) + 1, F.length(x["t"])))
+        return F.struct(stoich.alias("stoich"), bare.alias("stoich_raw"), name.alias("name"))
+
+    return F.transform(marked, term)
 
 
 def parse_equation(col, plus: str = " + ") -> Column:
     """Equation to ``array<struct<side, pos, stoich, stoich_raw, name>>`` in reading order; null without a sign."""
-    c = _c(col)
-    sign = find_sign(c)
-    at = F.instr(c, sign)
-    sides = F.array(
-        F.struct(F.lit("left").alias("side"), F.substring(c, F.lit(1), at - 1).alias("text")),
-        F.struct(F.lit("right").alias("side"), F.substring(c, at + F.length(sign), F.length(c)).alias("text")),
-    )
     quoted = "\\Q" + plus + "\\E"
 
-    def expand_side(s: Column) -> Column:
-        return F.transform(
-            F.split(s["text"], quoted),
-            lambda tok, i: F.struct(
-                s["side"].alias("side"),
-                i.alias("pos"),
-                _term(tok)["stoich"].alias("stoich"),
-                _term(tok)["stoich_raw"].alias("stoich_raw"),
-                _term(tok)["name"].alias("name"),
-            ),
-        )
+    def side(name: str, text: Column) -> Column:
+        return F.transform(_terms(F.split(text, quoted)), lambda t, i: F.struct(
+            F.lit(name).alias("side"), i.alias("pos"), t["stoich"].alias("stoich"), t["stoich_raw"].alias("stoich_raw"),
+            t["name"].alias("name")))
+
+    def parts(x: Column) -> Column:
+        text, sign = x["text"], x["sign"]
+        at = F.instr(text, sign)
+        return F.when(sign.isNotNull(), F.concat(
+            side("left", F.substring(text, F.lit(1), at - 1)),
+            side("right", F.substring(text, at + F.length(sign), F.length(text)))))
 
-    return F.when(sign.isNotNull(), F.flatten(F.transform(sides, expand_side)))
+    c = _c(col)
+    return let(F.struct(c.alias("text"), find_sign(c).alias("sign")), parts)
 
 
 def align_equation(name_eq, id_eq) -> Column:
     """Parts of the id equation with the stoichiometry of the name equation, matched by position."""
-    names, ids = parse_equation(name_eq), parse_equation(id_eq)
-    return F.transform(
-        ids,
-        lambda p, i: p.withField("stoich", F.coalesce(F.try_element_at(names, i + 1)["stoich"], p["stoich"])),
-    )
+    both = F.struct(parse_equation(name_eq).alias("names"), parse_equation(id_eq).alias("ids"))
+    return let(both, lambda x: F.transform(
+        x["ids"],
+        lambda p, i: p.withField("stoich", F.coalesce(F.try_element_at(x["names"], i + 1)["stoich"], p["stoich"]))))
 
 
 def align_ids(name_eq, ids) -> Column:
@@ -115,8 +122,6 @@ def align_ids(name_eq, ids) -> Column:
     are merged, keeping a repeat across the sign if one is needed. Null when nothing fits.
     """
     given = _c(ids)
-    merged = F.filter(given, lambda x, i: (i == 0) | ~x.eqNullSafe(F.try_element_at(given, i)))
-    options = [parse_equation(name_eq, p) for p in (" + ", " +", "+ ")]
 
     def zipped(parts: Column, values: Column) -> Column:
         return F.when(
@@ -124,18 +129,24 @@ def align_ids(name_eq, ids) -> Column:
             F.transform(parts, lambda p, i: p.withField("name", F.element_at(values, i + 1))),
         )
 
-    strict = options[0]
-    n_left = F.size(F.filter(strict, lambda p: p["side"] == "left"))
-    across = F.concat(
-        F.slice(merged, F.lit(1), n_left),
-        F.slice(merged, n_left, F.greatest(F.size(merged) - n_left + 1, F.lit(0))),
-    )
-    across = F.when((n_left > 0) & (F.size(merged) >= n_left), across)
-    return F.coalesce(
-        *[zipped(o, given) for o in options],
-        zipped(strict, merged),
-        zipped(strict, across),
-    )
+    def loose(plus: str) -> Column:
+        return let(parse_equation(name_eq, plus), lambda parts: zipped(parts, given))
+
+    def merged_runs(x: Column) -> Column:
+        n, once = x["n_left"], x["once"]
+        across = F.concat(F.slice(once, F.lit(1), n), F.slice(once, n, F.greatest(F.size(once) - n + 1, F.lit(0))))
+        return F.coalesce(
+            zipped(x["parts"], once),
+            F.when((n > 0) & (F.size(once) >= n), let(across, lambda ids_: zipped(x["parts"], ids_))),
+        )
+
+    def fit(parts: Column) -> Column:
+        once = F.filter(given, lambda v, i: (i == 0) | ~v.eqNullSafe(F.try_element_at(given, i)))
+        n_left = F.size(F.filter(parts, lambda p: p["side"] == "left"))
+        runs = F.struct(parts.alias("parts"), once.alias("once"), n_left.alias("n_left"))
+        return F.coalesce(zipped(parts, given), loose(" +"), loose("+ "), let(runs, merged_runs))
+
+    return let(parse_equation(name_eq), fit)
 
 
 def format_equation(parts, sign, with_stoich: bool = True) -> Column:

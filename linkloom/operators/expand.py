@@ -132,25 +132,29 @@ def expand(seeds: DataFrame, edge: DataFrame, modes: DataFrame, stoplist: DataFr
     """
     start = cut(_start(seeds, stoplist))
     visited = start.select(*STATE)
-    table = F.broadcast(modes)
-    links = edge.select("edge_type", F.col("src_key").alias("node_key"), "dst_key")
-
-    def follow(frontier: DataFrame, allowed: DataFrame) -> DataFrame:
-        go = frontier.withColumnRenamed("node_type", "src_type").join(allowed, ["mode_key", "src_type"])
+    table = F.broadcast(modes.select("mode_key", "edge_type", "seed_only"))
+    used = F.broadcast(modes.select("edge_type", F.col("src_type").alias("node_type"), "dst_type").distinct())
+    # the links are read once, reduced to the types in use, and laid out by the key every round joins on
+    links = cut(
+        edge.select("edge_type", F.col("src_key").alias("node_key"), "dst_key").join(used, "edge_type")
+        .repartition("node_key"))
+
+    def follow(frontier: DataFrame, seed_only: bool) -> DataFrame:
+        # links first: both sides are stored tables of known size, so a small frontier is broadcast
         return (
-            go.join(links, ["edge_type", "node_key"])
+            frontier.join(links, ["node_type", "node_key"])
+            .join(table.filter("seed_only" if seed_only else "not seed_only"), ["mode_key", "edge_type"])
             .select("mode_key", F.col("dst_type").alias("node_type"), F.col("dst_key").alias("node_key")).distinct()
         )
 
     fresh = cut(unseen(
-        follow(start.select(*STATE), table.filter("not seed_only"))
-        .unionByName(follow(start.filter("open").select(*STATE), table.filter("seed_only"))).distinct(),
+        follow(start.select(*STATE), False).unionByName(follow(start.filter("open").select(*STATE), True)).distinct(),
         visited, STATE))
     for _ in range(max_rounds):
         if fresh.isEmpty():
             return visited
         visited = visited.unionByName(fresh)
-        fresh = cut(unseen(follow(fresh, table.filter("not seed_only")), visited, STATE))
+        fresh = cut(unseen(follow(fresh, False), visited, STATE))
     raise RuntimeError(f"expansion did not settle in {max_rounds} rounds")
 
 

@@ -268,7 +268,7 @@ def unseen(frontier: DataFrame, visited: DataFrame, keys: list[str]) -> DataFram
     filled = frontier
     for k in keys:
         filled = filled.filter(F.col(k).isNotNull() & (F.col(k) != ""))
-    return filled.join(visited.select(*keys).distinct(), keys, "left_anti")
+    return filled.join(visited.select(*keys), keys, "left_anti")
 
 
 def assemble(seeds: DataFrame, xref: DataFrame, edge: DataFrame, participant: DataFrame | None = None) -> DataFrame:
