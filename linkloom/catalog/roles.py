@@ -16,8 +16,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def key(prefix: str, col) -> Column:
-    return F.concat(F.lit(prefix), (F.col(col) if isinstance(col, str) else col).cast("string"))
+def key(prefix, col) -> Column:
+    """``prefix`` (text or column) followed by the number in ``col``."""
+    head = prefix if isinstance(prefix, Column) else F.lit(prefix)
+    return F.concat(head, (F.col(col) if isinstance(col, str) else col).cast("string"))
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
