@@ -118,12 +118,12 @@ def enrich_chebi(xref: DataFrame, chebi: DataFrame) -> DataFrame:
 
 
 def _grams(text: Column, n: int) -> Column:
-    """Distinct grams of a text, read in one pass."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    """Grams of a text, read in one pass."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def _sampled(text: Column) -> Column:
-    return F.filter(_grams(text, GRAM), lambda g: F.pmod(F.xxhash64(g), F.lit(SAMPLE)) == 0)
+    return F.array_distinct(F.filter(_grams(text, GRAM), lambda g: F.pmod(F.xxhash64(g), F.lit(SAMPLE)) == 0))
 
 
 def contains_search(queries: DataFrame, names: DataFrame) -> DataFrame:
@@ -131,25 +131,24 @@ def contains_search(queries: DataFrame, names: DataFrame) -> DataFrame:
 
     A query is looked up by one of its own grams; whatever contains the query contains that gram. Grams are
     sampled by their hash, so only a fraction of a long text is indexed; queries too short to own a sampled gram
-    use an index of short grams. The exact test runs on the pairs that meet.
+    use an index of short grams. The index holds keys, not texts; the exact test runs on the pairs that meet.
     """
     q = queries.select("query").distinct().withColumn("g8", F.array_sort(_sampled(F.col("query"))))
+    first = F.array_min(F.transform(_grams(F.col("query"), 3), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
     long_q = q.filter(F.size("g8") > 0).select("query", F.col("g8")[0].alias("gram"))
-    mid_q = q.filter((F.size("g8") == 0) & (F.length("query") >= 3)).select(
-        "query", F.element_at(F.array_sort(F.transform(_grams(F.col("query"), 3), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), 1)["g"].alias("gram")
-    )
-    short_q = q.filter((F.size("g8") == 0) & F.length("query").between(1, 2)).select(
-        "query", F.substring("query", 1, 1).alias("gram")
-    )
+    mid_q = q.filter((F.size("g8") == 0) & (F.length("query") >= 3)).select("query", first["g"].alias("gram"))
+    short_q = q.filter((F.size("g8") == 0) & F.length("query").between(1, 2)).select("query", F.substring("query", 1, 1).alias("gram"))
 
     def meet(some: DataFrame, grams: Column) -> DataFrame:
-        idx = names.select("entity_key", "name", F.explode(grams).alias("gram"))
-        return some.join(idx, "gram").filter(F.contains(F.col("name"), F.col("query"))).select("query", "entity_key")
+        idx = names.select("entity_key", F.explode(grams).alias("gram"))
+        return some.join(idx, "gram").select("query", "entity_key")
 
-    out = meet(long_q, _sampled(F.col("name")))
+    met = meet(long_q, _sampled(F.col("name")))
     for some, size in ((mid_q, 3), (short_q, 1)):
-        out = out.unionByName(meet(some, _grams(F.col("name"), size)))
-    return out.distinct()
+        met = met.unionByName(meet(some, F.array_distinct(_grams(F.col("name"), size))))
+    # each query sits in one class and a text lists a gram once, so the pairs are distinct unless a key has several names
+    text = names.select("entity_key", "name")
+    return met.join(text, "entity_key").filter(F.contains(F.col("name"), F.col("query"))).select("query", "entity_key").distinct()
 
 
 def name_search(queries: DataFrame, names: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "linkloom", master: str | None = None, partitions: int | None = None) -> SparkSession:
-    """A session with adaptive execution on; ``master`` and ``partitions`` are left to the cluster unless given."""
+def build_session(app: str = "linkloom", master: str | None = None, partitions: int | None = None,
+                  memory: str | None = None) -> SparkSession:
+    """A session with adaptive execution on; master, partitions and driver memory are left to the cluster unless given."""
     b = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -22,6 +23,8 @@ def build_session(app: str = "linkloom", master: str | None = None, partitions:
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
+    if memory:
+        b = b.config("spark.driver.memory", memory)
     return b.getOrCreate()
 
 

@@ -48,7 +48,7 @@ if __name__ == "__main__":
     from linkloom.session import build_session
 
     sf, names = sys.argv[1], sys.argv[2:]
-    spark = build_session("oracle", "local[8]", 8)
+    spark = build_session("oracle", "local[8]", 8, memory="6g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     qs, sqls = entry.queries(), entry.oracle_sql()
