@@ -8,6 +8,8 @@ from linkloom.catalog.registry import query
 from linkloom.catalog.roles import EQUATION, equation_parts, key, table
 from linkloom.functions import equations as E
 from linkloom.functions import text as T
+from linkloom.functions.arrays import spread
+from linkloom.operators.lookup import text_ecs
 
 
 def _trim_sql(x: str) -> str:
@@ -68,7 +70,7 @@ WHERE before <> '.' AND NOT regexp_matches(after, '[.a-zA-Z0-9-]')
 )
 def ec_extract(spark, sf):
     """Enzyme numbers named anywhere in the documents."""
-    return table(spark, sf, "documents").select("doc_id", F.explode(T.find_ecs("text")).alias("enzyme_ec"))
+    return text_ecs(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query(
@@ -79,7 +81,7 @@ WHERE regexp_matches(token, '^\d+\.\d+\.\d+') AND len(string_split(replace(token
 )
 def ec_filter(spark, sf):
     """Words of the documents that have the shape of an enzyme number."""
-    tok = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("token"))
+    tok = spread(table(spark, sf, "documents"), F.array_distinct(F.split("text", r"\s+")), "token", "doc_id")
     return tok.filter(T.is_ec("token", 3)).select("doc_id", "token", T.is_ec("token", 4).alias("strict"))
 
 
@@ -169,7 +171,7 @@ def equation_standardize(spark, sf):
 WHERE reaction_key IN (SELECT reaction_key FROM equation)""",
 )
 def equation_parse(spark, sf):
-    return _spelled(spark, sf).select("reaction_key", F.explode(E.parse_equation("spelled")).alias("p")).select(
+    return spread(_spelled(spark, sf), E.parse_equation("spelled"), "p", "reaction_key").select(
         "reaction_key", "p.side", "p.pos", "p.stoich", "p.name")
 
 
@@ -182,7 +184,7 @@ def equation_align(spark, sf):
     """Stoichiometry of the name equation put on the equation of ids."""
     eq = equation_parts(spark, sf).select("reaction_key", E.format_equation("parts", "direction").alias("names"))
     eq = eq.withColumn("ids", F.regexp_replace(F.regexp_replace("names", r"\d+ C", "C"), "C", "I"))
-    return eq.select("reaction_key", F.explode(E.align_equation("names", "ids")).alias("p")).select("reaction_key", "p.side", "p.pos", "p.stoich", "p.name")
+    return spread(eq, E.align_equation("names", "ids"), "p", "reaction_key").select("reaction_key", "p.side", "p.pos", "p.stoich", "p.name")
 
 
 @query(
@@ -195,7 +197,7 @@ def equation_align_ids(spark, sf):
     eq = equation_parts(spark, sf).select("reaction_key", "parts", E.format_equation("parts", "direction").alias("names"))
     ids = F.transform("parts", lambda p: F.concat(F.lit("I"), F.substring(p["name"], 2, 100)))
     eq = eq.withColumn("ids", ids).withColumn("ids", F.when(F.length("reaction_key") % 2 == 0, F.concat(F.slice("ids", 1, 1), "ids")).otherwise(F.col("ids")))
-    return eq.select("reaction_key", F.explode(E.align_ids("names", "ids")).alias("p")).select("reaction_key", "p.side", "p.pos", "p.stoich", "p.name")
+    return spread(eq, E.align_ids("names", "ids"), "p", "reaction_key").select("reaction_key", "p.side", "p.pos", "p.stoich", "p.name")
 
 
 @query(
@@ -217,4 +219,4 @@ WHERE reaction_key IN (SELECT reaction_key FROM equation)""",
 )
 def equation_ids(spark, sf):
     eq = equation_parts(spark, sf).select("reaction_key", E.format_equation("parts", "direction", False).alias("e"))
-    return eq.select("reaction_key", F.explode(E.equation_ids("e")).alias("id")).distinct()
+    return spread(eq, E.equation_ids("e"), "id", "reaction_key").distinct()

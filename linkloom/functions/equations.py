@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkloom.functions.arrays import let
 from linkloom.functions.text import MISSING, _c, squeeze
 
 # Direction signs, each with its blanks, in the order in which they are tried.
@@ -22,11 +23,6 @@ NUMBER = r"^\d+$"
 UNDEFINED = -1
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def find_sign(col) -> Column:
     """The direction sign with its blanks; a ``?`` when nothing else is found; null when there is none."""
     c = _c(col)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.arrays import spread
 from linkloom.functions.equations import equation_ids
 from linkloom.functions.text import find_ecs
 from linkloom.operators.xref import index_by
@@ -72,7 +73,7 @@ def reactions_by_id(ids: DataFrame, xref: DataFrame) -> DataFrame:
 
 def reactions_by_participant(ids: DataFrame, reactions: DataFrame) -> DataFrame:
     """Whole compound numbers ``(id)`` to the reactions whose id equation holds them."""
-    inside = reactions.select("reaction_key", F.explode(equation_ids("equation")).alias("id")).distinct()
+    inside = spread(reactions, equation_ids("equation"), "id", "reaction_key").distinct()
     return ids.select("id").distinct().join(inside, "id")
 
 
@@ -140,8 +141,7 @@ def contains_search(queries: DataFrame, names: DataFrame) -> DataFrame:
     short_q = q.filter((F.size("g8") == 0) & F.length("query").between(1, 2)).select("query", F.substring("query", 1, 1).alias("gram"))
 
     def meet(some: DataFrame, grams: Column) -> DataFrame:
-        idx = names.select("entity_key", F.explode(grams).alias("gram"))
-        return some.join(idx, "gram").select("query", "entity_key")
+        return some.join(spread(names, grams, "gram", "entity_key"), "gram").select("query", "entity_key")
 
     met = meet(long_q, _sampled(F.col("name")))
     for some, size in ((mid_q, 3), (short_q, 1)):
@@ -312,4 +312,4 @@ def explode_accessions(records: DataFrame, column: str = "accessions") -> DataFr
 
 def text_ecs(df: DataFrame, key: str, text: str, level: int = 3) -> DataFrame:
     """Enzyme numbers named in free text, one row each."""
-    return df.select(key, F.explode(find_ecs(text, level)).alias("enzyme_ec"))
+    return spread(df, find_ecs(text, level), "enzyme_ec", key)

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.arrays import spread
 from linkloom.functions.text import hmdb_variants
 from linkloom.session import cut
 
@@ -295,20 +296,15 @@ def block_rows(feats: DataFrame, small: DataFrame, config: MatchConfig) -> DataF
     packed = feats.join(small, "entity_key").groupBy("entity_key", "mask", "o_masks").agg(
         F.collect_list(F.struct("bit", "value")).alias("vals")
     )
-    rows = packed.select("entity_key", "mask", "vals", F.explode("o_masks").alias("o_mask")).withColumn(
-        "keys", F.array(F.lit(""))
-    )
+    rows = packed.select("entity_key", "mask", "vals", F.explode("o_masks").alias("o_mask"))
 
-    def extend(b: int) -> Column:
+    def extend(keys: Column, b: Column) -> Column:
         mine = F.transform(F.filter("vals", lambda v: v["bit"] == b), lambda v: v["value"])
-        longer = F.flatten(
-            F.transform("keys", lambda k: F.transform(mine, lambda v: F.concat(k, F.lit("\u0001"), v)))
-        )
-        return F.when(F.col("o_mask").bitwiseAND(F.lit(b)) != 0, longer).otherwise(F.col("keys"))
+        return F.flatten(F.transform(keys, lambda k: F.transform(mine, lambda v: F.concat(k, F.lit("\u0001"), v))))
 
-    for b in config.bits.values():
-        rows = rows.withColumn("keys", extend(b))
-    return rows.select("entity_key", "mask", "o_mask", F.explode("keys").alias("k")).select(
+    used = F.filter(F.array(*[F.lit(b) for b in config.bits.values()]), lambda b: F.col("o_mask").bitwiseAND(b) != 0)
+    keys = F.aggregate(used, F.array(F.lit("")), extend)
+    return spread(rows, keys, "k", "entity_key", "mask", "o_mask").select(
         "entity_key", "mask", "o_mask", F.md5(F.col("k")).alias("key")
     )
 
@@ -364,12 +360,9 @@ def match_links(feats: DataFrame, config: MatchConfig) -> DataFrame:
         )
         return F.transform(hits, lambda y: y["rep"])
 
-    active = groups.select(
-        "o_mask", "key",
-        F.explode(F.transform("bl", lambda x: F.struct(
-            x["mask"].alias("mask"), x["rep"].alias("rep"), x["c"].alias("c"), partners(x).alias("to")))).alias("b"),
-    ).select("o_mask", "key", "b.*").filter(F.size("to") > 0)
-    active = cut(active)
+    told = F.transform("bl", lambda x: F.struct(
+        x["mask"].alias("mask"), x["rep"].alias("rep"), x["c"].alias("c"), partners(x).alias("to")))
+    active = cut(spread(groups, told, "b", "o_mask", "key").select("o_mask", "key", "b.*").filter(F.size("to") > 0))
     between = active.select(F.col("rep").alias("src"), F.explode("to").alias("dst"))
     within = rows.join(active.filter(F.col("c") > 1).select("o_mask", "key", "mask", "rep"), ["o_mask", "key", "mask"]).select(
         F.col("entity_key").alias("src"), F.col("rep").alias("dst")

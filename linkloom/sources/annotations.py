@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.functions.arrays import spread
 from linkloom.sources.seeds import tab
 
 FIRST = 7  # annotations start in this column
@@ -12,7 +13,7 @@ FIRST = 7  # annotations start in this column
 
 def _tokens(lines: DataFrame, keep: list[str], first: int = 1) -> DataFrame:
     cells = F.slice(F.split("value", "\t"), first, 1_000_000)
-    cell = lines.select(*keep, F.explode(cells).alias("cell")).filter(F.contains(F.col("cell"), F.lit(":")))
+    cell = spread(lines, cells, "cell", *keep).filter(F.contains(F.col("cell"), F.lit(":")))
     at = F.instr("cell", F.lit(":"))
     return cell.select(
         *keep, F.substring(F.col("cell"), F.lit(1), at - 1).alias("id_type"),

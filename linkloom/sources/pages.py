@@ -13,8 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.arrays import spread
 from linkloom.functions.equations import align_equation, fix_html_sign, parse_equation, standardize_equation
 from linkloom.functions.text import is_available, squeeze, strip_prefix, strip_tags
+from linkloom.session import cut
 
 LABEL_TAGS = {"nobr", "th", "h2", "h4", "dt", "td"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "col"}
@@ -208,32 +210,33 @@ def page_text(pages: DataFrame) -> DataFrame:
 def page_cells(pages: DataFrame, tag: str) -> DataFrame:
     """Text of every ``tag`` element in order: ``(page_id, pos, value)``."""
     inner = F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
-    return pages.select("page_id", F.posexplode(inner).alias("pos", "raw")).select("page_id", "pos", squeeze(strip_tags("raw")).alias("value"))
+    return spread(pages, inner, "raw", "page_id", pos="pos").select("page_id", "pos", squeeze(strip_tags("raw")).alias("value"))
 
 
 def page_links(pages: DataFrame, pattern: str | None = None) -> DataFrame:
     """Targets of links in order: ``(page_id, pos, href)``; ``pattern`` keeps those that match it."""
     href = F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    out = pages.select("page_id", F.posexplode(href).alias("pos", "href"))
+    out = spread(pages, href, "href", "page_id", pos="pos")
     return out.filter(F.col("href").rlike(pattern)) if pattern else out
 
 
 def extract_table(pages: DataFrame) -> DataFrame:
-    """Cells of table rows named by the table head: ``(page_id, row, k, v)``; several pages of one table just add rows."""
-    head = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<th[^>]*>(.*?)</th>"), F.lit(1)), lambda x: squeeze(strip_tags(x)))
+    """Table rows with their cells named by the table head: ``(page_id, row, cells array<struct<k, v>>)``.
+
+    A table spread over several pages just gives more rows; the row is the unit, so nothing is shuffled.
+    """
+    text = lambda tag, c: F.transform(F.regexp_extract_all(c, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1)), lambda x: squeeze(strip_tags(x)))
     rows = F.regexp_extract_all("html", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    cells = F.regexp_extract_all("tr", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
-    each = pages.select("page_id", head.alias("head"), F.posexplode(rows).alias("row", "tr"))
-    return each.select("page_id", "row", "head", F.posexplode(cells).alias("c", "td")).select(
-        "page_id", "row", F.try_element_at("head", F.col("c") + 1).alias("k"), squeeze(strip_tags("td")).alias("v")
-    ).filter(F.col("k").isNotNull())
+    each = spread(pages, rows, "tr", "page_id", text("th", F.col("html")).alias("head"), pos="row")
+    named = F.transform(text("td", F.col("tr")), lambda v, i: F.struct(F.try_element_at("head", i + 1).alias("k"), v.alias("v")))
+    return each.filter(F.contains(F.lower("tr"), F.lit("<td"))).select("page_id", "row", named.alias("cells"))
 
 
-def rows_of_type(cells: DataFrame, key: str = "HMDBP ID", kind: str = "Enzyme") -> DataFrame:
+def rows_of_type(rows: DataFrame, key: str = "HMDBP ID", kind: str = "Enzyme") -> DataFrame:
     """Rows whose ``Type`` is ``kind``: ``(page_id, id)``."""
-    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
-    wide = cells.groupBy("page_id", "row").agg(pick("Type").alias("type"), pick(key).alias("id"))
-    return wide.filter((F.col("type") == kind) & F.col("id").isNotNull()).select("page_id", "id").distinct()
+    pick = lambda k: F.try_element_at(F.filter("cells", lambda x: x["k"] == k), F.lit(1))["v"]
+    return rows.select("page_id", pick("Type").alias("type"), pick(key).alias("id")).filter(
+        (F.col("type") == kind) & F.col("id").isNotNull()).select("page_id", "id").distinct()
 
 
 def classify_links(urls: DataFrame, patterns: list[tuple[str, str]] = LINK_PATTERNS, column: str = "url") -> DataFrame:
@@ -263,7 +266,7 @@ def search_hits(pages: DataFrame, max_hits: int = 10, cap: int = 20) -> DataFram
     ids = F.array_distinct(F.regexp_extract_all("html", F.lit(r'(?is)<a[^>]*btn-card[^>]*/metabolites/(HMDB\d+)'), F.lit(1)))
     ok = pages.filter(~bad & (total <= max_hits))
     listed = F.slice(ids, 1, cap) if cap else ids
-    return ok.select("page_id", F.posexplode(listed).alias("pos", "id"))
+    return spread(ok, listed, "id", "page_id", pos="pos")
 
 
 def screen_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -300,8 +303,9 @@ def _edge(df: DataFrame, edge_type: str, source_db: str) -> DataFrame:
 
 
 def _keyed(pages: DataFrame, labels: list[str]) -> DataFrame:
+    """Boxes with the key of their page. Written once: every field of a page is read from it, the page is parsed once."""
     keys = pages.select("page_id", page_key().alias("entity_key"))
-    return extract_boxes(pages, labels).join(keys, "page_id")
+    return cut(extract_boxes(pages, labels).join(keys, "page_id"))
 
 
 def _named(b: DataFrame, label: str, id_type: str, sep: str, lower: bool = False) -> DataFrame:
@@ -364,7 +368,7 @@ def kegg_reaction(pages: DataFrame) -> dict[str, DataFrame]:
     pick = lambda label: F.max(F.when(F.col("label") == label, F.col("value")))
     eq = b.groupBy("entity_key").agg(pick("Definition").alias("definition"), pick("Equation").alias("ids"))
     parts = align_equation(F.coalesce("definition", "ids"), F.coalesce("ids", "definition"))
-    p = eq.select("entity_key", F.explode(parts).alias("p")).select(
+    p = spread(eq, parts, "p", "entity_key").select(
         F.col("entity_key").alias("reaction_key"), "p.side", "p.pos", "p.stoich", "p.stoich_raw", equation_compound(F.col("p.name")).alias("compound_key"))
     text = eq.filter(F.col("definition").isNotNull()).select("entity_key", F.lit("reaction_str").alias("id_type"), standardize_equation("definition").alias("id_value"))
     paths = _pairs(b, "Pathway").select("entity_key", F.lit("pathways").alias("id_type"), F.concat_ws(" : ", "k", "v").alias("id_value"))
@@ -430,10 +434,10 @@ def hmdb_reaction(pages: DataFrame) -> dict[str, DataFrame]:
     text = fix_html_sign(F.replace(F.replace(raw, F.lit("+"), F.lit(" + ")), F.lit("="), F.lit(" = ")))
     eq = pages.select(page_key().alias("entity_key"), panel.alias("panel"), standardize_equation(text).alias("equation")).filter(F.col("panel") != "")
     anchors = F.regexp_extract_all("panel", F.lit(r'(?is)(<a\s[^>]*/metabolites/[^>]*>.*?</a>)'), F.lit(1))
-    names = eq.select("entity_key", F.explode(anchors).alias("a")).select(
+    names = spread(eq, anchors, "a", "entity_key").select(
         "entity_key", F.lower(squeeze(strip_tags("a"))).alias("lname"), F.regexp_extract("a", r'/metabolites/([^"/?#]+)', 1).alias("id")
     ).groupBy("entity_key", "lname").agg(F.min("id").alias("source_id"))
-    parts = eq.select("entity_key", F.explode(parse_equation("equation")).alias("p")).select("entity_key", "p.*").withColumn("lname", F.lower("name"))
+    parts = spread(eq, parse_equation("equation"), "p", "entity_key").select("entity_key", "p.*").withColumn("lname", F.lower("name"))
     p = parts.join(names, ["entity_key", "lname"], "left").select(
         F.col("entity_key").alias("reaction_key"), "side", "pos", "stoich", "stoich_raw", "name", F.lit("hmdb").alias("source_db"), "source_id")
     ext = page_cells(pages, "li").filter(F.contains(F.lower("value"), F.lit("kegg")) & F.contains("value", F.lit(":"))).join(keys, "page_id").select(

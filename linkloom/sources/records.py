@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.functions.arrays import let, spread
 from linkloom.functions.text import squeeze, strip_prefix, strip_tags
 
 MARK = "UNIQUE-ID - "
@@ -150,7 +151,7 @@ def records_to_xref(records: DataFrame, entity_type: str, source_db: str = "meta
     formula = F.struct(F.lit("chemical_formula").alias("id_type"), F.array_join(atoms, "").alias("id_value"))
     own = F.struct(F.lit(source_db).alias("id_type"), F.col("entity_key").alias("id_value"))
     return (
-        rows.select("entity_key", F.explode(F.array_distinct(F.concat(F.array(own, formula), found))).alias("x"))
+        spread(rows, F.array_distinct(F.concat(F.array(own, formula), found)), "x", "entity_key")
         .filter(F.col("x.id_value").isNotNull() & (F.col("x.id_value") != ""))
         .select(F.lit(entity_type).alias("entity_type"), "entity_key", F.lit(source_db).alias("source_db"),
                 "x.id_type", "x.id_value", F.lit(1).cast("bigint").alias("n"))
@@ -162,39 +163,48 @@ def records_to_reactions(records: DataFrame) -> DataFrame:
 
     A ``^COEFFICIENT`` line sets the stoichiometry of the participant right before it.
     """
-    rows = _lines(records)
-    kept = F.filter("lines", lambda x: x["attr"].isin("LEFT", "RIGHT", "^COEFFICIENT"))
+    # records without participants are left out on their text: a filter on ``parts`` would be pushed down and
+    # compute the parts twice
+    rows = _lines(records.filter(F.col("record").rlike(r"(?m)^(LEFT|RIGHT)( |$)")))
     way = F.element_at(F.concat(F.array(F.lit("")), F.transform(
         F.filter("lines", lambda x: x["attr"] == "REACTION-DIRECTION"), lambda x: x["text"])), -1)
     sign = F.when(F.contains(way, F.lit("RIGHT-TO-LEFT")), "<=").when(F.contains(way, F.lit("LEFT-TO-RIGHT")), "=>").otherwise("<=>")
 
-    def part(x: Column, i: Column) -> Column:
-        after = F.try_element_at(F.col("kept"), i + 2)
-        raw = F.coalesce(F.when(after["attr"] == "^COEFFICIENT", after["text"]), F.lit(""))
-        return F.struct(
-            F.when(x["attr"] == "LEFT", "left").when(x["attr"] == "RIGHT", "right").alias("side"),
-            F.when(raw == "", F.lit(1)).otherwise(F.coalesce(raw.try_cast("int"), F.lit(-1))).alias("stoich"),
-            raw.alias("stoich_raw"), x["text"].alias("name"),
-        )
+    def read_parts(kept: Column) -> Column:
+        def part(x: Column, i: Column) -> Column:
+            after = F.try_element_at(kept, i + 2)
+            raw = F.coalesce(F.when(after["attr"] == "^COEFFICIENT", after["text"]), F.lit(""))
+            return F.struct(
+                F.when(x["attr"] == "LEFT", "left").when(x["attr"] == "RIGHT", "right").alias("side"),
+                F.when(raw == "", F.lit(1)).otherwise(F.coalesce(raw.try_cast("int"), F.lit(-1))).alias("stoich"),
+                raw.alias("stoich_raw"), x["text"].alias("name"),
+            )
 
-    named = F.filter(F.transform("kept", part), lambda p: p["side"].isNotNull())
+        return F.filter(F.transform(kept, part), lambda p: p["side"].isNotNull())
 
-    def side(which: str) -> Column:
-        return F.transform(F.filter("named", lambda p: p["side"] == which), lambda p, i: F.struct(
+    def side(parts: Column, which: str) -> Column:
+        return F.transform(F.filter(parts, lambda p: p["side"] == which), lambda p, i: F.struct(
             p["side"].alias("side"), i.alias("pos"), p["stoich"].alias("stoich"), p["stoich_raw"].alias("stoich_raw"), p["name"].alias("name")))
 
-    text = lambda which: F.array_join(F.transform(F.filter("named", lambda p: p["side"] == which), lambda p: F.concat_ws(
-        " ", F.coalesce(F.when(p["stoich_raw"] != "", p["stoich_raw"]), F.lit("1")), p["name"])), " + ")
-    out = rows.select(F.col("entity_key").alias("reaction_key"), kept.alias("kept"), sign.alias("direction")).withColumn("named", named)
-    return out.select(
-        "reaction_key", F.concat(text("left"), F.lit(" "), "direction", F.lit(" "), text("right")).alias("equation"), "direction",
-        (F.col("direction") == "<=>").alias("reversible"), F.concat(side("left"), side("right")).alias("parts"),
-    ).filter(F.size("parts") > 0)
+    def text(parts: Column, which: str) -> Column:
+        return F.array_join(F.transform(F.filter(parts, lambda p: p["side"] == which), lambda p: F.concat_ws(
+            " ", F.coalesce(F.when(p["stoich_raw"] != "", p["stoich_raw"]), F.lit("1")), p["name"])), " + ")
+
+    def whole(x: Column) -> Column:
+        parts, arrow = x["parts"], x["arrow"]
+        return F.struct(
+            F.concat(text(parts, "left"), F.lit(" "), arrow, F.lit(" "), text(parts, "right")).alias("equation"),
+            arrow.alias("direction"), (arrow == "<=>").alias("reversible"),
+            F.concat(side(parts, "left"), side(parts, "right")).alias("parts"))
+
+    kept = F.filter("lines", lambda x: x["attr"].isin("LEFT", "RIGHT", "^COEFFICIENT"))
+    body = let(F.struct(let(kept, read_parts).alias("parts"), sign.alias("arrow")), whole)
+    return rows.select(F.col("entity_key").alias("reaction_key"), body.alias("r")).select("reaction_key", "r.*")
 
 
 def reactions_to_participant(reactions: DataFrame) -> DataFrame:
     """``parts`` as participant rows; the name of the part is taken as the compound key."""
-    return reactions.select("reaction_key", F.explode("parts").alias("p")).select(
+    return spread(reactions, "parts", "p", "reaction_key").select(
         "reaction_key", "p.side", "p.pos", "p.stoich", "p.stoich_raw", F.col("p.name").alias("compound_key"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.functions.arrays import spread
 from linkloom.functions.equations import direction, parse_equation, standardize_equation
 
 # Database names of the reaction cross-reference table; names left out are dropped on purpose.
@@ -80,7 +81,7 @@ def read_rhea_reactions(spark: SparkSession, path: str) -> DataFrame:
 def parse_obo(terms: DataFrame) -> DataFrame:
     """Ontology terms ``(term)`` to ``(chebi, id_type, id_value)``: alternative ids, formula, SMILES, InChI key."""
     main = F.trim(F.regexp_extract("term", r"(?m)^id: CHEBI:(\S+)", 1))
-    line = terms.select(main.alias("chebi"), F.explode(F.split("term", "\r?\n")).alias("line")).filter(F.col("chebi") != "")
+    line = spread(terms, F.split("term", "\r?\n"), "line", main.alias("chebi")).filter(F.col("chebi") != "")
     tok = F.split(F.trim("line"), r"\s+")
     link = F.element_at(tok, 2)
     prop = F.lit(None).cast("string")
