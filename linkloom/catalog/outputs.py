@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from linkloom.catalog.registry import query
 from linkloom.catalog.roles import EDGE, EQUATION, edges, key, participants, reactions, table, xref_rows
 from linkloom.operators import property_graph as G
+from linkloom.session import cut
 from linkloom.sinks import export as B
 from linkloom.sources.annotations import parse_entity_lines
 
@@ -113,8 +114,10 @@ def _graph(spark, sf):
         "entity_type", F.col("entity_key").alias("internal_id"), F.col("id_type").alias("k"), F.col("id_value").alias("v"))
     gene = xref_rows(table(spark, sf, "nation"), "gene", key("G", "n_nationkey"), "nation", {"synonyms": F.col("n_name")}).select(
         "entity_type", F.col("entity_key").alias("internal_id"), F.col("id_type").alias("k"), F.col("id_value").alias("v"))
-    fields = fields.unionByName(comp).unionByName(gene)
-    return G.property_nodes(fields), G.property_id_nodes(fields), G.property_rels(fields)
+    # the property graph is a set of stored tables; the extraction queries read those
+    fields = cut(fields.unionByName(comp).unionByName(gene))
+    nodes, rels = G.property_id_nodes(fields)
+    return cut(G.property_nodes(fields)), (nodes, cut(rels)), cut(G.property_rels(fields))
 
 
 @query("property_rels", f"WITH {RELS_SQL} SELECT * FROM rels")

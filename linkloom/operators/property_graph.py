@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.arrays import spread
 from linkloom.functions.equations import equation_sides
 
 # Field names with their relationship type.
@@ -61,7 +62,7 @@ def property_rels(kv: DataFrame) -> DataFrame:
     parts = eq.select("internal_id", equation_sides("eq").alias("s"), F.split("st", ",").alias("st"))
     left = F.transform("s.left", lambda c: F.struct(F.lit("IS_SUBSTRATE").alias("rel_type"), c.alias("dst")))
     right = F.transform("s.right", lambda c: F.struct(F.lit("IS_PRODUCT").alias("rel_type"), c.alias("dst")))
-    both = parts.select("internal_id", "st", F.posexplode(F.concat(left, right)).alias("i", "x"))
+    both = spread(parts, F.concat(left, right), "x", "internal_id", "st", pos="i")
     sides = both.select(
         F.col("internal_id").alias("src"), "x.rel_type", "x.dst", F.try_element_at("st", F.col("i") + 1).alias("stoichiometry"),
         F.col("i").alias("pos"),
