@@ -36,7 +36,7 @@ SEED_SQL = {
 
 
 def stop_compounds(spark, sf):
-    """Parts named like the most common drugs of the stop list: here, all with size 1."""
+    """Compounds that must not be expanded: all parts of size 1."""
     return table(spark, sf, "part").filter("p_size = 1").select(key("C", "p_partkey").alias("entity_key"))
 
 

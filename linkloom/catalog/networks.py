@@ -151,7 +151,7 @@ def metabolite_count(spark, sf):
     return N.n_metabolites(grown(spark, sf)[0])
 
 
-# a sparse network, so that there are many components: reactions and the suppliers of their returned lines
+# a sparse network with many components: returned lines of large quantity
 SPARSE = """
 links AS (SELECT 'R_' || l_orderkey AS a, 'M_' || l_partkey || '_c' AS b FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48)"""
 

@@ -60,15 +60,15 @@ def mode_edges(spark: SparkSession, keys: list[str] | None = None, extra: tuple[
     )
 
 
-def step(frontier: DataFrame, edge: DataFrame, edge_type: str) -> DataFrame:
+def step(frontier: DataFrame, edge: DataFrame, edge_type: str, unique: bool = True) -> DataFrame:
     """One typed step: nodes ``(mode_key, node_type, node_key)`` to the nodes behind their ``edge_type`` links."""
     src_type, dst_type = ends(edge_type)
-    return (
+    out = (
         frontier.filter(F.col("node_type") == src_type)
         .join(edge.filter(F.col("edge_type") == edge_type).select(F.col("src_key").alias("node_key"), "dst_key"), "node_key")
         .select("mode_key", F.lit(dst_type).alias("node_type"), F.col("dst_key").alias("node_key"))
-        .distinct()
     )
+    return out.distinct() if unique else out
 
 
 def _start(seeds: DataFrame, stoplist: DataFrame | None) -> DataFrame:
@@ -112,14 +112,21 @@ def expand_mode(seeds: DataFrame, edge: DataFrame, mode: str, stoplist: DataFram
     start = _start(s, stoplist)
     reached = {t: start.filter(F.col("node_type") == t).select(*STATE) for t in ENTITY_TYPES}
     seed_open = start.filter("open").select(*STATE)
+    done: dict[str, DataFrame] = {}
+
+    def settled(t: str) -> DataFrame:
+        # the order puts all links into a type before those out of it, so each type is made distinct once
+        if t not in done:
+            done[t] = reached[t].distinct()
+        return done[t]
+
     for e in order:
         src, dst = ends(e)
-        new = step(seed_open if e in SEED_ONLY else reached[src], edge, e)
+        new = step(seed_open if e in SEED_ONLY else settled(src), edge, e, unique=False)
         reached[dst] = reached[dst].unionByName(new)
     out = None
     for t in ENTITY_TYPES:
-        part = reached[t].distinct()
-        out = part if out is None else out.unionByName(part)
+        out = settled(t) if out is None else out.unionByName(settled(t))
     return out
 
 
