@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.session import cut
+from linkloom.session import cut, discard
 
 
 def _toward_smaller(e: DataFrame) -> DataFrame:
@@ -38,32 +38,29 @@ def _star_small(e: DataFrame) -> DataFrame:
     return _toward_smaller(out.unionByName(low.select("u", F.col("m").alias("v"))))
 
 
-def _fingerprint(e: DataFrame):
-    h = F.struct("u", "v")
-    return e.agg(
-        F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u")), F.bit_xor(F.hash(h))
-    ).first()
+def _fingerprint() -> dict:
+    """Aggregates that tell two edge tables apart, taken while a table is written."""
+    return {"n": F.count(F.lit(1)), "a": F.bit_xor(F.xxhash64("u", "v")), "b": F.bit_xor(F.xxhash64("v", "u")),
+            "c": F.bit_xor(F.hash("u", "v"))}
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)``: the smallest node that is connected, in either direction, names the component.
 
-    A row with a null ``dst`` or with ``src == dst`` declares an isolated node.
+    A row with a null ``dst`` or with ``src == dst`` declares an isolated node. The input is evaluated once; rounds go
+    on until the table no longer changes, which it must: every round only moves links to smaller nodes. Each round's
+    fingerprint comes from its own write, and the table before it is removed.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
+    pairs = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")))
     nodes = (
         pairs.select(F.explode(F.array("u", "v")).alias("node")).filter(F.col("node").isNotNull()).distinct()
     )
-    e = cut(_toward_smaller(pairs.filter(F.col("v").isNotNull())))
-    seen = _fingerprint(e)
-    for _ in range(max_rounds):
-        e = cut(_star_small(_star_large(e)))
-        now = _fingerprint(e)
-        if now == seen:
+    e = cut(_toward_smaller(pairs.filter(F.col("v").isNotNull())), _fingerprint())
+    while e.observed["n"]:
+        before, e = e, cut(_star_small(_star_large(e)), _fingerprint())
+        discard(before)
+        if before.observed == e.observed:
             break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(e.select(F.col("u").alias("node"), "v"), "node", "left").select(
         "node", F.coalesce("v", "node").alias("component")
     )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "linkloom", master: str | None = None, partitions: int | None = None,
@@ -42,15 +44,46 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, observe: dict | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     This cuts the lineage, so a lost executor never replays the loop behind it. Compared with an RDD checkpoint the
     plan runs once, columns can be pruned, and later joins see the true size: Spark broadcasts the table only when it
-    is below ``spark.sql.autoBroadcastJoinThreshold``.
+    is below ``spark.sql.autoBroadcastJoinThreshold``. ``observe`` maps names to aggregate columns that are taken from
+    the write itself, without a second job; they are left in the frame's ``observed``.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/linkloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    watch = Observation() if observe else None
+    (df.observe(watch, *[c.alias(k) for k, c in observe.items()]) if observe else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path, out.observed = path, watch.get if watch else {}
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the folder of a ``cut`` frame that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that Python tasks can import it anywhere."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="linkloom-ship-"), "linkloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("linkloom", os.path.relpath(full, here)))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
