@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, mixing, token_counts
+from linkloom.llm import bpe, mixing, ngram_join, ordering, pii, token_counts, warc
 
 QUERIES, SQL = {}, {}
 
@@ -38,3 +38,35 @@ def op10(spark, sf_dir):
 def op8(spark, sf_dir):
     """How often each document is taken so that every source comes near its target."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@_query("op4_warc")
+def op4(spark, sf_dir):
+    """Pages written as archives and read back, record by record."""
+    records = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")), payloads=False)
+    number = lambda c: F.substring(c, len(warc.ID) + 1, 20).try_cast("long")
+    faulty = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("record: "), F.col("error"))))
+    return records.select(
+        number(F.col("record_id")).alias("page_id"), F.coalesce(faulty.cast("long"), F.col("payload_bytes")).alias("payload_bytes"),
+        "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
+
+
+@_query("op7_pii")
+def op7(spark, sf_dir):
+    """Personal data in every whole text."""
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_training_order")
+def op9(spark, sf_dir):
+    """Documents as byte tokens in training order: every slot of the shards, read back."""
+    docs = _table(spark, sf_dir, "documents")
+    slots = ordering.read_slots(ordering.materialise(docs, F.col("text").cast("binary"), b"\xff"))
+    return slots.select("slot", "sequence", "shard", "byte_offset", F.octet_length("ids").cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"))
+
+
+@_query("op2_ngram_jaccard", ngram_join.jaccard_sql())
+def op2(spark, sf_dir):
+    """Components of documents that share four fifths of their five-word shingles."""
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
