@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, mixing, ngram_join, ordering, pii, token_counts, warc
+from linkloom.llm import bpe, line_dedup, mixing, ngram_join, ordering, pii, token_counts, warc
 
 QUERIES, SQL = {}, {}
 
@@ -70,3 +70,10 @@ def op9(spark, sf_dir):
 def op2(spark, sf_dir):
     """Components of documents that share four fifths of their five-word shingles."""
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@_query("op6_line_dedup", line_dedup.remove_repeated_sql())
+def op6(spark, sf_dir):
+    """Documents without the passages of two lines or more that an earlier document holds."""
+    docs = line_dedup.remove_repeated(_table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "text", "chunks_removed", "lines_removed")
