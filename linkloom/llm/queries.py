@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, line_dedup, mixing, ngram_join, ordering, pii, token_counts, warc
+from linkloom.llm import bpe, line_dedup, mixing, ngram_join, ordering, pii, quality, token_counts, warc
 
 QUERIES, SQL = {}, {}
 
@@ -77,3 +77,9 @@ def op6(spark, sf_dir):
     """Documents without the passages of two lines or more that an earlier document holds."""
     docs = line_dedup.remove_repeated(_table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "text", "chunks_removed", "lines_removed")
+
+
+@_query("op1_quality_rules")
+def op1(spark, sf_dir):
+    """Base rules and robust distances of every document."""
+    return quality.judge(_table(spark, sf_dir, "documents"))
