@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from linkloom.llm import bpe, mixing
+from pyspark.sql import functions as F
+
+from linkloom.llm import bpe, line_dedup, mixing, ngram_join, quality
 from linkloom.session import cut
 
 
+def quality_rules(spark, docs, sf_dir):
+    """Documents that pass the base rules and lie near those of their language and source."""
+    return quality.keep_good(docs)
+
+
+def dedup_lines(spark, docs, sf_dir):
+    """Passages that an earlier document holds are cut from the texts; ``n_chars`` follows."""
+    cleaned = line_dedup.remove_repeated(docs)
+    chars = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def dedup_documents(spark, docs, sf_dir):
+    """One document, that of the smallest id, of each group linked by shared five-word shingles."""
+    return ngram_join.keep_first(docs)
+
+
 def mix_sources(spark, docs, sf_dir):
     """Documents as often as the mix of their source takes them."""
     return mixing.expand_copies(mixing.mix(docs))
@@ -16,7 +35,8 @@ def encode(spark, docs, sf_dir):
     return bpe.encode_texts(docs, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-STAGES = [("mixing", mix_sources), ("encode", encode)]
+STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("n-gram Jaccard join", dedup_documents),
+          ("mixing sources", mix_sources), ("byte-level BPE", encode)]
 
 ORACLE_SQL = None  # the merges of the byte-level encoding are no SQL; tests hold the stages against brute force
 

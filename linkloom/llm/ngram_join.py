@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.arrow import map_arrow, slices
+from linkloom.llm.prefilter import drop_keys
 from linkloom.operators.components import connected_components
 from linkloom.session import cut
 
@@ -310,10 +311,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id. Rows with a null id stay."""
+    """``docs`` with one document of each component: the one of the smallest id. Rows with a null id stay.
+
+    Rows that repeat the kept id all stay: they are one node. Only rows that may go are shuffled.
+    """
     comp = jaccard_components(docs, id_col, text_col, n, percent)
-    gone = comp.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = cut(comp.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct())
+    return drop_keys(docs, gone, [id_col])
 
 
 def jaccard_sql(table: str = "documents", n: int = 5, percent: int = 80) -> str:
