@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, line_dedup, mixing, ngram_join, ordering, pii, quality, token_counts, warc
+from linkloom.llm import bpe, lattice, line_dedup, mixing, ngram_join, ordering, pii, quality, token_counts, warc
 
 QUERIES, SQL = {}, {}
 
@@ -83,3 +83,9 @@ def op6(spark, sf_dir):
 def op1(spark, sf_dir):
     """Base rules and robust distances of every document."""
     return quality.judge(_table(spark, sf_dir, "documents"))
+
+
+@_query("op3_lattice_near_dedup", lattice.near_duplicates_sql())
+def op3(spark, sf_dir):
+    """Embeddings of one label with a cosine of 0.93 or more: links, components and what to keep."""
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
