@@ -52,7 +52,7 @@ def put_file(fs, folder: str, name: str, chunks) -> int:
     """
     fs.create_dir(folder, recursive=True)
     part, size = f"{folder}/.{name}.{uuid.uuid4().hex}", 0
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)

@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
             data = archive(records)
             name = f"{uuid.uuid4().hex}.warc.zst"
             fs.create_dir(path, recursive=True)
-            with fs.open_output_stream(f"{path}/{name}") as out:
+            with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
                 out.write(data)
             return pa.RecordBatch.from_pydict({"archive": [f"{place}/{name}"], "n_records": [len(records)], "n_bytes": [len(data)]})
 
@@ -236,7 +236,7 @@ def read_archives(archives: DataFrame, payloads: bool = True, archive_col: str =
             for uri in batch.column("archive").to_pylist():
                 fs, path = storage(uri)
                 rows, held = [], 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for offset, raw, error in frames(stream):
                         row = dict.fromkeys(names) | {"error": error} if error else parse_record(raw)
                         row |= {"archive": uri, "offset": offset}
