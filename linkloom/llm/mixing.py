@@ -102,14 +102,14 @@ def _source_plan(rows: DataFrame, weights, share: float, most: int) -> DataFrame
     first = F.floor(F.col("_rank") * BUCKETS)
     second = F.floor((F.col("_rank") * BUCKETS - first) * BUCKETS)
     up = Window.partitionBy("_source")
-    # where the target is filled: the first bucket whose end reaches what is left after the certain copies
+    # where the target is filled: the first bucket whose end goes beyond what is left after the certain copies
     need = plan.join(whole.withColumnRenamed("_source", "w_source"), same("t_source", "w_source")).select(
         "t_source", (F.col("target") - F.col("certain")).alias("need"))
 
     def crossing(sums: DataFrame, need: DataFrame, key: str) -> DataFrame:
         run = sums.withColumn("upto", F.sum("words").over(up.orderBy(key)))
         return (
-            run.join(need, same("_source", "t_source")).filter(F.col("upto") >= F.col("need"))
+            run.join(need, same("_source", "t_source")).filter(F.col("upto") > F.col("need"))
             .groupBy("t_source").agg(F.min(F.struct(key, F.col("upto"), F.col("words"), F.col("need"))).alias("x"))
             .select("t_source", F.col(f"x.{key}").alias(key), (F.col("x.need") - (F.col("x.upto") - F.col("x.words"))).alias("need"))
         )
