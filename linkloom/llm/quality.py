@@ -35,7 +35,7 @@ CONSISTENT_H = 1.413  # H / P(chi2 with DIMS + 2 degrees <= the H quantile of ch
 REWEIGHT = 12.833  # 0.975 quantile of chi2 with five degrees of freedom
 CONSISTENT_REWEIGHT = 1.055
 PRIOR = 50
-CUTOFF = 42.0  # a normal vector of five statistics lies beyond with a probability below 1e-7
+CUTOFF = 45.0  # a normal vector of five statistics lies beyond with a probability below 1e-7
 PAIRS = [(j, k) for j in range(DIMS) for k in range(j + 1)]
 
 
