@@ -9,10 +9,10 @@ of the matrix times its transpose; only entries that reach the threshold are wan
    multiplied. How often a column is held matters for speed alone, so counts go into a table of fixed size: hashes are
    counted exactly in hash ranges, and only the logarithm of frequent ones is kept, for 2^20 buckets.
 3. Within a column block every row is first held against the first row of its column and part (a star, linear in the
-   column); pairs that reach the threshold join classes. What then still shares a column but not a class is paired in
-   full; overlaps within the block are added up, and pairs are discarded whose block overlap plus all that may follow
-   stays below the overlap that their sizes demand.
-4. What is left is verified on the whole sets.
+   column); pairs that reach the threshold join classes. What then still shares a column but not a class is paired.
+   Both times a pair is discarded where the column they meet in and all that may follow it stay below the overlap that
+   their sizes demand: in the first column that two sets share, no pair of the threshold is discarded.
+4. For what is left, overlaps of the whole sets are accumulated and held against the bound.
 
 Every pair of similarity ``t`` or more is either inside one class already or reaches step 4, so no link between
 different texts is lost; links inside a class need no listing. Columns that very many rows hold are dealt over several
@@ -184,14 +184,16 @@ def _blocks(texts_df: DataFrame, key: str, levels, n: int, percent: int) -> Data
                 size = b - a
                 p = size - (percent * size + 99) // 100 + 1 if size else 0
                 if p:
-                    keep.append(a + (np.argpartition(rank[a:b], p - 1)[:p] if p < size else np.arange(size)))
+                    first = np.argpartition(rank[a:b], p - 1)[:p] if p < size else np.arange(size)
+                    keep.append(a + first[np.argsort(rank[a:b][first])])
                 cut_at.append(cut_at[-1] + p)
             keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
-            items = pa.StructArray.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(level[keep].astype(np.int8))], names=["g", "l"])
+            place = np.arange(len(keep)) - np.repeat(cut_at[:-1], np.diff(cut_at))
+            items = pa.StructArray.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(level[keep].astype(np.int8)), pa.array(place.astype(np.int32))], names=["g", "l", "pos"])
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(cut_at, pa.int32()), items)],
                                              names=["id", "n", "grams"])
 
-    return map_arrow(texts_df, run, f"id {key}, n long, grams array<struct<g: long, l: tinyint>>")
+    return map_arrow(texts_df, run, f"id {key}, n long, grams array<struct<g: long, l: tinyint, pos: int>>")
 
 
 def _wanted_sets(texts_df: DataFrame, key: str, ids: DataFrame, n: int, bits: int = 23) -> DataFrame:
@@ -242,8 +244,14 @@ def _verified(texts_df: DataFrame, key: str, pairs: DataFrame, n: int, percent:
     return map_arrow(joined.select("a", "b", "ga", "gb"), run, f"a {key}, b {key}")
 
 
-def _sizes_fit(a: str, b: str, percent: int):
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def _may_link(a: str, b: str, percent: int):
+    """Whether rows that meet in a column can still reach the threshold if it is the first column they share.
+
+    Then the rest of the shorter remainder is the most they have in common; their sizes say how much they need. The columns
+    ``n`` and ``pos`` carry the suffixes ``a`` and ``b``.
+    """
+    most = F.least(F.col("n" + a) - F.col("pos" + a), F.col("n" + b) - F.col("pos" + b))
+    return most * (100 + percent) >= (F.col("n" + a) + F.col("n" + b)) * percent
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -269,34 +277,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # one row per (class, column of its block), dealt by column
     blocks = _blocks(here, key, levels, n, percent).join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    cells = blocks.select("id", "n", F.explode("grams").alias("x")).select("id", "n", F.col("x.g").alias("g"), F.col("x.l").alias("l"))
+    cells = blocks.select("id", "n", F.explode("grams").alias("x")).select("id", "n", F.col("x.g").alias("g"), F.col("x.l").alias("l"), F.col("x.pos").alias("pos"))
     parts = F.expr(f"shiftleft(1, greatest(cast(l as int) - {PART_LEVEL}, 0))")
     cells = cells.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
     w = Window.partitionBy("g", "part").orderBy("id")
-    told = cells.withColumns({"first": F.first("id").over(w), "first_n": F.first("n").over(w), "next": F.lead("id").over(w)})
-    cells = cut(told.filter(f"first <> id or next is not null or l > {PART_LEVEL}").select("g", "part", "id", "n", "first", "first_n", F.col("l").cast("int").alias("l")))
-    star = cells.filter(F.col("first") != F.col("id")).filter(_sizes_fit("first_n", "n", percent)).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    heads = cells.filter(f"l > {PART_LEVEL} and first = id").select("g", "id", "n")
-    over = Window.partitionBy("g").orderBy("id")
-    heads = heads.withColumns({"first": F.first("id").over(over), "first_n": F.first("n").over(over)})
-    heads = heads.filter(F.col("first") != F.col("id")).filter(_sizes_fit("first_n", "n", percent)).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    head = F.first(F.struct("id", "n", "pos"))
+    told = cells.withColumns({"head": head.over(w), "next": F.lead("id").over(w)})
+    told = told.filter(f"head.id <> id or next is not null or l > {PART_LEVEL}")
+    cells = cut(told.select("g", "id", "n", "pos", F.col("head.id").alias("first"), F.col("head.n").alias("n_first"), F.col("head.pos").alias("pos_first"), F.col("l").cast("int").alias("l")))
+    pair = [F.col("first").alias("a"), F.col("id").alias("b")]
+    star = cells.filter(F.col("first") != F.col("id")).filter(_may_link("", "_first", percent)).select(*pair)
+    heads = cells.filter(f"l > {PART_LEVEL} and first = id").select("g", "id", "n", "pos").withColumn("head", head.over(Window.partitionBy("g").orderBy("id")))
+    heads = heads.select("id", "n", "pos", F.col("head.id").alias("first"), F.col("head.n").alias("n_first"), F.col("head.pos").alias("pos_first"))
+    heads = heads.filter(F.col("first") != F.col("id")).filter(_may_link("", "_first", percent)).select(*pair)
     tried = cut(star.unionByName(heads).distinct())
     links = cut(_verified(here, key, tried, n, percent))
     members = links.select("a", "b")
 
-    # rows that still share a column with another class: full product of what is left
+    # rows that still share a column with another class: the product of what is left
     nodes = cut(connected_components(members, "a", "b"))
-    cls = F.coalesce("component", "id")
-    held = cells.select("g", "id", "n").join(nodes.withColumnRenamed("node", "id"), "id", "left").select("g", "id", "n", cls.alias("cls"))
+    held = cells.select("g", "id", "n", "pos").join(nodes.withColumnRenamed("node", "id"), "id", "left")
+    held = held.select("g", "id", "n", "pos", F.coalesce("component", "id").alias("cls"))
     mixed = held.groupBy("g").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("g")
     left = cut(held.join(mixed, "g", "left_semi"))
-    x, y = left.select("g", *[F.col(c).alias(c + "a") for c in ("id", "n", "cls")]), left.select("g", *[F.col(c).alias(c + "b") for c in ("id", "n", "cls")])
-    met = x.join(y, "g").filter((F.col("clsa") < F.col("clsb")) & _sizes_fit("na", "nb", percent))
-    block = lambda c: F.col(c) - F.ceil(F.col(c) * percent / 100) + 1
-    counted = met.groupBy(F.col("ida").alias("a"), F.col("idb").alias("b"), "na", "nb").agg(F.count("*").alias("met"))
-    reach = F.col("met") + F.greatest(F.col("na") - block("na"), F.col("nb") - block("nb"))
-    counted = counted.filter(reach * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    pairs = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
+    side = lambda s: left.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "cls")])
+    met = side("a").join(side("b"), "g").filter((F.col("cls_a") < F.col("cls_b")) & _may_link("_a", "_b", percent))
+    pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(_verified(here, key, cut(pairs), n, percent))
 
     # rows of a repeated id are one node: tie their classes together
