@@ -422,9 +422,9 @@ def _search_pages(spark, sf):
 
 @query(
     "search_hits",
-    """WITH g AS (SELECT p_brand || '/' || p_size % 10 AS page_id, count(*) AS c FROM part GROUP BY ALL)
+    """WITH g AS (SELECT p_brand || '/' || p_size % 10 AS page_id FROM part GROUP BY ALL)
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY '<a class="btn-card" href="/metabolites/HMDB' || p_partkey || '">HMDB</a>') - 1 AS INTEGER) AS pos, 'HMDB' || p_partkey AS id
-FROM part JOIN g ON page_id = p_brand || '/' || p_size % 10 WHERE c <= 10""",
+FROM part JOIN g ON page_id = p_brand || '/' || p_size % 10""",
 )
 def search_hits(spark, sf):
     return P.search_hits(_search_pages(spark, sf))
@@ -580,7 +580,7 @@ UNION ALL SELECT substr(reaction_key, 2), 'kegg', reaction_key FROM n UNION ALL
 )
 def hmdb_reaction_pages(spark, sf):
     eq = equation_parts(spark, sf)
-    a = lambda p: F.concat(F.lit('<a href="/metabolites/HMDB'), F.substring(p["name"], 2, 20), F.lit('">Cpd '), p["name"], F.lit("</a>"))
+    a = lambda p: F.concat(F.lit('<a href="/metabolites/HMDB'), F.substring(p["name"], F.lit(2), F.length(p["name"])), F.lit('">Cpd '), p["name"], F.lit("</a>"))
     side = lambda w: F.array_join(F.transform(F.filter("parts", lambda p: p["side"] == w), a), " +\n\t")
     html = cat('<div class="panel reaction-panel"><div class="panel-heading"><strong>', side("left"), " = ", side("right"), "</strong></div></div><h4>External Links</h4><ol><li>KEGG Reaction: ",
                F.col("reaction_key"), '</li></ol><a href="/proteins/HMDBP7">p</a>')

@@ -195,7 +195,7 @@ WHERE reaction_key IN (SELECT reaction_key FROM equation)""",
 def equation_align_ids(spark, sf):
     """The same from a flat id list in which every other first id is listed twice in a row."""
     eq = equation_parts(spark, sf).select("reaction_key", "parts", E.format_equation("parts", "direction").alias("names"))
-    ids = F.transform("parts", lambda p: F.concat(F.lit("I"), F.substring(p["name"], 2, 100)))
+    ids = F.transform("parts", lambda p: F.concat(F.lit("I"), F.substring(p["name"], F.lit(2), F.length(p["name"]))))
     eq = eq.withColumn("ids", ids).withColumn("ids", F.when(F.length("reaction_key") % 2 == 0, F.concat(F.slice("ids", 1, 1), "ids")).otherwise(F.col("ids")))
     return spread(eq, E.align_ids("names", "ids"), "p", "reaction_key").select("reaction_key", "p.side", "p.pos", "p.stoich", "p.name")
 

@@ -2,37 +2,12 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Named character references that occur in record files and pages. "amp" is decoded last.
-ENTITIES = {
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "nbsp": " ",
-    "middot": "·",
-    "copy": "©",
-    "reg": "®",
-    "deg": "°",
-    "plusmn": "±",
-    "micro": "µ",
-    "times": "×",
-    "prime": "′",
-    "larr": "←",
-    "rarr": "→",
-    "harr": "↔",
-    "alpha": "α",
-    "beta": "β",
-    "gamma": "γ",
-    "delta": "δ",
-    "epsilon": "ε",
-    "omega": "ω",
-    "Delta": "Δ",
-    "amp": "&",
-}
-
 # Qualifier tags removed from names.
 QUALIFIERS = ["(non-preferred name)", "(brand name)", "(ambiguous)"]
 
@@ -53,25 +28,31 @@ def squeeze(col) -> Column:
 
 
 def decode_entities(col) -> Column:
-    """Decode numeric and the common named character references."""
+    """Decode all character references that end in ``;``: decimal, hexadecimal, and every name that HTML defines.
+
+    The text is split at ``&`` and each piece is decoded once, so what a reference decodes to is never decoded again.
+    Unknown names and numbers beyond Unicode stay as they are.
+    """
     c = _c(col)
+    table = {name[:-1]: text for name, text in html.entities.html5.items() if name.endswith(";")}
+    named = F.from_json(F.lit(json.dumps(table)), "map<string,string>")  # a constant, made once per plan
 
-    def numeric(piece: Column) -> Column:
-        dec = F.regexp_extract(piece, r"^(\d{1,7});", 1)
-        hexa = F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,6});", 1)
+    def piece(p: Column) -> Column:
+        body = F.substring_index(p, ";", 1)
+        dec = F.regexp_extract(body, r"^#([0-9]{1,7})$", 1)
+        hexa = F.regexp_extract(body, r"^#[xX]([0-9a-fA-F]{1,6})$", 1)
         code = F.when(dec != "", F.hex(F.when(dec != "", dec).cast("bigint"))).when(hexa != "", hexa)
-        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        rest = F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]+;", "")
-        return F.when(code.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), piece))
-
-    pieces = F.split(c, "&#")
-    joined = F.array_join(
-        F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(numeric(p))), ""
-    )
-    out = F.when(F.contains(c, F.lit("&#")), joined).otherwise(c)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+        good = F.length(body) < F.length(p)
+        number = F.conv(code, 16, 10).cast("bigint")
+        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+        name = F.when(body.rlike("^[A-Za-z][A-Za-z0-9]*$"), F.try_element_at(named, body))
+        found = F.when(good & F.startswith(body, F.lit("#")), char).when(good, name)
+        rest = F.substring(p, F.length(body) + 2, F.length(p))
+        return F.when(found.isNotNull(), F.concat(found, rest)).otherwise(F.concat(F.lit("&"), p))
+
+    joined = F.array_join(F.transform(F.split(c, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(piece(p))), "")
+    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 
 
 def strip_tags(col) -> Column:

@@ -26,6 +26,7 @@ MODES = {
     "global": ["gp", "pg", "pr", "rp", "cr", "rc"],
 }
 ENTITY_TYPES = ["gene", "protein", "reaction", "compound"]
+COMPACT = 16  # tables of reached states that are written together as one
 STATE = ["mode_key", "node_type", "node_key"]
 KIND = {t[0]: t for t in ENTITY_TYPES}
 # Link types outside the mode table and the entity types at their ends.
@@ -130,21 +131,19 @@ def expand_mode(seeds: DataFrame, edge: DataFrame, mode: str, stoplist: DataFram
     return out
 
 
-def expand(seeds: DataFrame, edge: DataFrame, modes: DataFrame, stoplist: DataFrame | None = None,
-           max_rounds: int = 1000) -> DataFrame:
+def expand(seeds: DataFrame, edge: DataFrame, modes: DataFrame, stoplist: DataFrame | None = None) -> DataFrame:
     """Entities reached by seeds ``(mode_key, node_type, node_key)`` of any mix of modes.
 
     States are kept per mode set, not per seed, so seeds of one mode share the walk. Every round joins only the
-    newly reached states with the links and is written to the checkpoint folder.
+    newly reached states with the links and is written to the checkpoint folder. Rounds end when nothing new is reached,
+    which they must: states only grow.
     """
     start = cut(_start(seeds, stoplist))
     visited = start.select(*STATE)
-    table = F.broadcast(modes.select("mode_key", "edge_type", "seed_only"))
-    used = F.broadcast(modes.select("edge_type", F.col("src_type").alias("node_type"), "dst_type").distinct())
-    # the links are read once, reduced to the types in use, and laid out by the key every round joins on
-    links = cut(
-        edge.select("edge_type", F.col("src_key").alias("node_key"), "dst_key").join(used, "edge_type")
-        .repartition("node_key"))
+    table = modes.select("mode_key", "edge_type", "seed_only")
+    used = modes.select("edge_type", F.col("src_type").alias("node_type"), "dst_type").distinct()
+    # the links are read once and reduced to the types in use
+    links = cut(edge.select("edge_type", F.col("src_key").alias("node_key"), "dst_key").join(used, "edge_type"))
 
     def follow(frontier: DataFrame, seed_only: bool) -> DataFrame:
         # links first: both sides are stored tables of known size, so a small frontier is broadcast
@@ -157,19 +156,20 @@ def expand(seeds: DataFrame, edge: DataFrame, modes: DataFrame, stoplist: DataFr
     fresh = cut(unseen(
         follow(start.select(*STATE), False).unionByName(follow(start.filter("open").select(*STATE), True)).distinct(),
         visited, STATE))
-    for _ in range(max_rounds):
-        if fresh.isEmpty():
-            return visited
-        visited = visited.unionByName(fresh)
+    parts = 1
+    while not fresh.isEmpty():
+        visited, parts = visited.unionByName(fresh), parts + 1
+        if parts >= COMPACT:  # one table again, so that plans stay short over long chains
+            visited, parts = cut(visited), 1
         fresh = cut(unseen(follow(fresh, False), visited, STATE))
-    raise RuntimeError(f"expansion did not settle in {max_rounds} rounds")
+    return visited
 
 
 def reached_edges(reached: DataFrame, seeds: DataFrame, edge: DataFrame, modes: DataFrame,
                   stoplist: DataFrame | None = None) -> DataFrame:
     """The links walked between reached entities: ``(mode_key, edge_type, src_key, dst_key)``."""
     open_seeds = _start(seeds, stoplist).filter("open").select(*STATE)
-    table = F.broadcast(modes)
+    table = modes
     links = edge.select("edge_type", F.col("src_key").alias("node_key"), "dst_key")
 
     def walk(nodes: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -184,26 +184,26 @@ def reached_edges(reached: DataFrame, seeds: DataFrame, edge: DataFrame, modes:
     ).distinct()
 
 
-def protein_family(seeds: DataFrame, family: DataFrame, peers: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def protein_family(seeds: DataFrame, family: DataFrame, peers: DataFrame | None = None) -> DataFrame:
     """Proteins tied to seed proteins by complexes and subunits, followed to the end, and one step to EC peers.
 
     ``family(edge_type, src_key, dst_key)`` holds ``in_complex`` and ``has_subunits`` links, ``peers`` links that are
     not followed further. Returns ``(protein_key)``.
     """
     start = seeds.select("protein_key").distinct()
-    links = family.filter(F.col("edge_type").isin("in_complex", "has_subunits")).select(
+    links = cut(family.filter(F.col("edge_type").isin("in_complex", "has_subunits")).select(
         F.col("src_key").alias("protein_key"), "dst_key"
-    )
-    visited = cut(start)
-    fresh = visited
-    for _ in range(max_rounds):
+    ))
+    visited = fresh = cut(start)
+    parts = 1
+    while True:
         nxt = fresh.join(links, "protein_key").select(F.col("dst_key").alias("protein_key")).distinct()
         fresh = cut(unseen(nxt, visited, ["protein_key"]))
         if fresh.isEmpty():
             break
-        visited = visited.unionByName(fresh)
-    else:
-        raise RuntimeError(f"family did not settle in {max_rounds} rounds")
+        visited, parts = visited.unionByName(fresh), parts + 1
+        if parts >= COMPACT:
+            visited, parts = cut(visited), 1
     if peers is not None:
         hop = visited.join(peers.select(F.col("src_key").alias("protein_key"), "dst_key"), "protein_key")
         visited = visited.unionByName(hop.select(F.col("dst_key").alias("protein_key")))

@@ -12,7 +12,8 @@ FIRST = 7  # annotations start in this column
 
 
 def _tokens(lines: DataFrame, keep: list[str], first: int = 1) -> DataFrame:
-    cells = F.slice(F.split("value", "\t"), first, 1_000_000)
+    cells = F.split("value", "\t")
+    cells = F.slice(cells, first, F.size(cells))
     cell = spread(lines, cells, "cell", *keep).filter(F.contains(F.col("cell"), F.lit(":")))
     at = F.instr("cell", F.lit(":"))
     return cell.select(

@@ -7,6 +7,7 @@ go through ``mapInPandas`` with the standard library parser; every page is handl
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.arrays import spread
 from linkloom.functions.equations import align_equation, fix_html_sign, parse_equation, standardize_equation
 from linkloom.functions.text import is_available, squeeze, strip_prefix, strip_tags
-from linkloom.session import cut
+from linkloom.session import cut, ship_package
 
 LABEL_TAGS = {"nobr", "th", "h2", "h4", "dt", "td"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "col"}
@@ -136,32 +137,46 @@ class _Outline(HTMLParser):
     def handle_data(self, data):
         self.pieces.append(data)
 
+    def short_text(self, i: int, longest: int) -> str | None:
+        """The text of an element as a label; none if it is far longer than any label."""
+        _, a, b = self.elements[i]
+        text = ""
+        for piece in self.pieces[a:b]:
+            text = (text + piece).lstrip()
+            if len(text.rstrip()) > 4 * longest:
+                return None
+        return unicodedata.normalize("NFKD", text).strip().rstrip(":")
+
     def text(self, i: int) -> str:
         _, a, b = self.elements[i]
         return unicodedata.normalize("NFKD", "".join(self.pieces[a:b]))
 
 
 def _page_boxes(html: str, labels: set[str]):
-    """``(label, value, cells)`` for each label cell: the text of the element after it and of the cells inside."""
+    """``(label, pos, value, cells)`` for each label cell: the text of the element after it and of the cells inside.
+
+    ``pos`` counts the boxes of the same label on the page, from 0.
+    """
     page = _Outline()
     page.feed(html or "")
     page.close()
     for e in page.elements:
         if e[2] is None:
             e[2] = len(page.pieces)
-    seen = set()
+    longest, seen, until = max(map(len, labels), default=0) + 1, Counter(), {}
     for i, (tag, a, b) in enumerate(page.elements[:-1]):
-        if tag not in LABEL_TAGS or b - a > 3:
+        if tag not in LABEL_TAGS:
             continue
-        label = page.text(i).strip().rstrip(":")
-        if label not in labels or label in seen:
+        label = page.short_text(i, longest)
+        if label not in labels or a < until.get(label, 0):  # a label cell inside a label cell is the same one
             continue
         nxt = i + 1
         while nxt < len(page.elements) and page.elements[nxt][1] < b:
             nxt += 1  # elements inside the label cell itself
         if nxt == len(page.elements):
             continue
-        seen.add(label)
+        pos, until[label] = seen[label], b
+        seen[label] += 1
         end = page.elements[nxt][2]
         cells = []
         for j in range(nxt + 1, len(page.elements)):
@@ -169,20 +184,21 @@ def _page_boxes(html: str, labels: set[str]):
                 break
             if page.elements[j][0] == "td":
                 cells.append(page.text(j).strip())
-        yield label, page.text(nxt).strip("\n").strip(), cells
+        yield label, pos, page.text(nxt).strip("\n").strip(), cells
 
 
-def extract_boxes(pages: DataFrame, labels: list[str]) -> DataFrame:
-    """``(page_id, label, value, cells)``: the first box of each label on a page."""
-    wanted = set(labels)
+def extract_boxes(pages: DataFrame, labels: list[str], keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``(*keep, label, pos, value, cells)``: every box of each label on a page; ``pos`` counts a label's boxes from 0."""
+    wanted, names = set(labels), [*keep, "label", "pos", "value", "cells"]
+    ship_package(pages.sparkSession)
 
     def run(batches):
         for pdf in batches:
-            rows = [(pid, *box) for pid, html in zip(pdf["page_id"], pdf["html"]) for box in _page_boxes(html, wanted)]
-            yield pd.DataFrame(rows, columns=["page_id", "label", "value", "cells"])
+            rows = [(*row[1:], *box) for row in pdf.itertuples(index=False) for box in _page_boxes(row[0], wanted)]
+            yield pd.DataFrame(rows, columns=names)
 
-    kind = dict(pages.select("page_id").dtypes)["page_id"]
-    return pages.select("page_id", "html").mapInPandas(run, f"page_id {kind}, label string, value string, cells array<string>")
+    kinds = "".join(f"{c} {t}, " for c, t in pages.select(*keep).dtypes)
+    return pages.select("html", *keep).mapInPandas(run, f"{kinds}label string, pos int, value string, cells array<string>")
 
 
 def box_pairs(boxes: DataFrame) -> DataFrame:
@@ -191,8 +207,9 @@ def box_pairs(boxes: DataFrame) -> DataFrame:
     pairs = F.transform(
         F.sequence(F.lit(1), F.greatest((n / 2).cast("int"), F.lit(1))),
         lambda i: F.struct((i - 1).alias("pos"), F.try_element_at("cells", 2 * i - 1).alias("k"), F.try_element_at("cells", 2 * i).alias("v")))
-    return boxes.filter(n >= 2).select("page_id", "label", F.explode(pairs).alias("p")).select(
-        "page_id", "label", "p.pos", F.regexp_replace("p.k", ":$", "").alias("k"), F.col("p.v").alias("v"))
+    keep = [c for c in boxes.columns if c not in ("value", "cells", "pos")]
+    return boxes.filter(n >= 2).select(*keep, F.explode(pairs).alias("p")).select(
+        *keep, "p.pos", F.regexp_replace("p.k", ":$", "").alias("k"), F.col("p.v").alias("v"))
 
 
 def page_key(url="url") -> Column:
@@ -208,15 +225,17 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 
 def page_cells(pages: DataFrame, tag: str) -> DataFrame:
-    """Text of every ``tag`` element in order: ``(page_id, pos, value)``."""
+    """Text of every ``tag`` element in order: ``(page_id, pos, value)``; a column ``entity_key`` goes along."""
     inner = F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
-    return spread(pages, inner, "raw", "page_id", pos="pos").select("page_id", "pos", squeeze(strip_tags("raw")).alias("value"))
+    keep = ["page_id", *[c for c in ("entity_key",) if c in pages.columns]]
+    return spread(pages, inner, "raw", *keep, pos="pos").select(*keep, "pos", squeeze(strip_tags("raw")).alias("value"))
 
 
 def page_links(pages: DataFrame, pattern: str | None = None) -> DataFrame:
     """Targets of links in order: ``(page_id, pos, href)``; ``pattern`` keeps those that match it."""
     href = F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    out = spread(pages, href, "href", "page_id", pos="pos")
+    keep = ["page_id", *[c for c in ("entity_key",) if c in pages.columns]]
+    out = spread(pages, href, "href", *keep, pos="pos")
     return out.filter(F.col("href").rlike(pattern)) if pattern else out
 
 
@@ -253,18 +272,18 @@ def classify_links(urls: DataFrame, patterns: list[tuple[str, str]] = LINK_PATTE
     return urls.select(*keep, u.alias("url"), kind.alias("id_type"), clean.alias("id_value")).filter(F.col("id_type").isNotNull())
 
 
-def search_hits(pages: DataFrame, max_hits: int = 10, cap: int = 20) -> DataFrame:
+def search_hits(pages: DataFrame, max_hits: int | None = None, cap: int | None = None) -> DataFrame:
     """Candidate ids of search result pages: ``(page_id, pos, id)``.
 
-    Pages without results, with a 'did you mean' notice or with more than ``max_hits`` hits give nothing; ``cap``
-    is the feature's own limit on listed candidates (0 for none).
+    Pages without results or with a 'did you mean' notice give nothing. All hits are listed; a caller may leave out
+    pages with more than ``max_hits`` hits, and candidates of a page from the ``cap``-th on.
     """
     info = strip_tags(F.regexp_extract("html", r'(?is)class="page_info"[^>]*>(.*?)</div>', 1))
     numbers = F.transform(F.regexp_extract_all(F.concat(info, F.lit(" ")), F.lit(r"(\d+)\s"), F.lit(1)), lambda x: x.cast("int"))
     total = F.when(F.size(numbers) == 3, F.element_at(numbers, 3)).otherwise(F.try_element_at(numbers, F.lit(1)))
     bad = F.contains("html", F.lit("no-results")) | F.contains("html", F.lit('id="didyoumean"'))
     ids = F.array_distinct(F.regexp_extract_all("html", F.lit(r'(?is)<a[^>]*btn-card[^>]*/metabolites/(HMDB\d+)'), F.lit(1)))
-    ok = pages.filter(~bad & (total <= max_hits))
+    ok = pages.filter(~bad if max_hits is None else ~bad & (total <= max_hits))
     listed = F.slice(ids, 1, cap) if cap else ids
     return spread(ok, listed, "id", "page_id", pos="pos")
 
@@ -303,9 +322,9 @@ def _edge(df: DataFrame, edge_type: str, source_db: str) -> DataFrame:
 
 
 def _keyed(pages: DataFrame, labels: list[str]) -> DataFrame:
-    """Boxes with the key of their page. Written once: every field of a page is read from it, the page is parsed once."""
-    keys = pages.select("page_id", page_key().alias("entity_key"))
-    return cut(extract_boxes(pages, labels).join(keys, "page_id"))
+    """First boxes with the key of their page. Written once: every field of a page is read from it, the page is parsed once."""
+    keyed = pages.withColumn("entity_key", page_key())
+    return cut(extract_boxes(keyed, labels, ("page_id", "entity_key")).filter("pos = 0").drop("pos"))
 
 
 def _named(b: DataFrame, label: str, id_type: str, sep: str, lower: bool = False) -> DataFrame:
@@ -324,7 +343,7 @@ def _tagged(b: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 def _pairs(b: DataFrame, label: str) -> DataFrame:
-    return box_pairs(b.filter(F.col("label") == label)).join(b.select("page_id", "entity_key").distinct(), "page_id")
+    return box_pairs(b.filter(F.col("label") == label))
 
 
 def kegg_gene(pages: DataFrame) -> dict[str, DataFrame]:
@@ -403,7 +422,7 @@ def hmdb_compound(pages: DataFrame) -> dict[str, DataFrame]:
         .when(F.col("id_type") == "synonyms", F.lower("id_value")).otherwise(F.col("id_value"))
     )
     v = v.select("entity_key", "id_type", F.explode(F.when(F.col("id_type") == "location", F.split("id_value", "\n")).otherwise(F.array(value))).alias("id_value"))
-    enzymes = page_links(pages, r"^/proteins/HMDBP\d+").join(pages.select("page_id", page_key().alias("entity_key")), "page_id").select(
+    enzymes = page_links(pages.withColumn("entity_key", page_key()), r"^/proteins/HMDBP\d+").select(
         "entity_key", F.regexp_extract("href", r"(HMDBP\d+)", 1).alias("target"))
     return {"xref": _xref(_own(pages, "hmdb").unionByName(v), "compound", "hmdb"), "edge": _edge(enzymes, "cp", "hmdb")}
 
@@ -415,8 +434,8 @@ def hmdb_protein(pages: DataFrame) -> dict[str, DataFrame]:
     clean = F.regexp_replace("id_value", r'["\[\]]', "")
     many = lambda m: _tagged(b, m).select("entity_key", "id_type", F.explode(
         F.when(F.col("id_type") == "synonyms", F.array("id_value")).otherwise(F.split(clean, r"[,\n]"))).alias("id_value")).filter(squeeze("id_value") != "")
-    keys = pages.select("page_id", page_key().alias("entity_key"))
-    reactions = page_links(pages, r"/reactions/\d+").join(keys, "page_id").select("entity_key", F.regexp_extract("href", r"/reactions/(\d+)", 1).alias("target"))
+    keys = pages.withColumn("entity_key", page_key())
+    reactions = page_links(keys, r"/reactions/\d+").select("entity_key", F.regexp_extract("href", r"/reactions/(\d+)", 1).alias("target"))
     protein = _xref(_own(pages, "hmdb").unionByName(many(HMDB_PROTEIN)), "protein", "hmdb")
     gene = _xref(_own(pages, "hmdb").unionByName(many(HMDB_GENE)), "gene", "hmdb")
     both = keys.select("entity_key", F.col("entity_key").alias("target"))
@@ -428,7 +447,7 @@ def hmdb_protein(pages: DataFrame) -> dict[str, DataFrame]:
 
 def hmdb_reaction(pages: DataFrame) -> dict[str, DataFrame]:
     """Reaction pages: equation text, participants by linked name, external id, linked proteins."""
-    keys = pages.select("page_id", page_key().alias("entity_key"))
+    keys = pages.withColumn("entity_key", page_key())
     panel = F.regexp_extract("html", r'(?is)class="[^"]*panel-heading[^"]*"[^>]*>.*?<strong[^>]*>(.*?)</strong>', 1)
     raw = strip_tags(F.regexp_replace(panel, r"[\n\t]", ""))
     text = fix_html_sign(F.replace(F.replace(raw, F.lit("+"), F.lit(" + ")), F.lit("="), F.lit(" = ")))
@@ -440,10 +459,10 @@ def hmdb_reaction(pages: DataFrame) -> dict[str, DataFrame]:
     parts = spread(eq, parse_equation("equation"), "p", "entity_key").select("entity_key", "p.*").withColumn("lname", F.lower("name"))
     p = parts.join(names, ["entity_key", "lname"], "left").select(
         F.col("entity_key").alias("reaction_key"), "side", "pos", "stoich", "stoich_raw", "name", F.lit("hmdb").alias("source_db"), "source_id")
-    ext = page_cells(pages, "li").filter(F.contains(F.lower("value"), F.lit("kegg")) & F.contains("value", F.lit(":"))).join(keys, "page_id").select(
+    ext = page_cells(keys, "li").filter(F.contains(F.lower("value"), F.lit("kegg")) & F.contains("value", F.lit(":"))).select(
         "entity_key", F.lit("kegg").alias("id_type"), F.trim(F.element_at(F.split("value", ":"), 2)).alias("id_value"))
     strs = eq.select("entity_key", F.lit("reaction_str").alias("id_type"), F.col("equation").alias("id_value"))
-    proteins = page_links(pages, r"/proteins/HMDBP\d+").join(keys, "page_id").select("entity_key", F.regexp_extract("href", r"(HMDBP\d+)", 1).alias("target"))
+    proteins = page_links(keys, r"/proteins/HMDBP\d+").select("entity_key", F.regexp_extract("href", r"(HMDBP\d+)", 1).alias("target"))
     return {"xref": _xref(_own(pages, "hmdb").unionByName(strs).unionByName(ext), "reaction", "hmdb"), "participant": p, "edge": _edge(proteins, "rp", "hmdb")}
 
 

@@ -14,6 +14,7 @@ def test_strip_tags(spark):
     assert one(spark, "<i>a</i>&alpha;&#946;&#x3b3; &lt;b&gt;&amp;", T.strip_tags) == "aαβγ <b>&"
     assert one(spark, "x <!-- <b> --> y", T.strip_tags) == "x  y"
     assert one(spark, "1 < 2", T.strip_tags) == "1 < 2"
+    assert one(spark, "&Omega;-3 a&ndash;b &zeta; &amp;lt; &nosuch; &#x110000; &#55296; R&D; &", T.strip_tags) == "Ω-3 a–b ζ &lt; &nosuch; &#x110000; &#55296; R&D; &"
 
 
 def test_synonyms(spark):

@@ -1,11 +1,10 @@
 """Micro files in each source format, with invented values."""
 
-
-
 from linkloom.plans.annotate import annotate
 from linkloom.sinks import export as B
 from linkloom.sources import annotations as A
 from linkloom.sources import models as MD
+from linkloom.sources import pages as P
 from linkloom.sources import records as R
 from linkloom.sources import seeds as S
 from linkloom.sources import tables as T
@@ -90,3 +89,18 @@ def test_annotate_end_to_end(spark, tmp_path):
     got = annotate(seeds, xref, edge, part, reaction)
     assert {tuple(r) for r in got["sif"].collect()} == {("p1", "pr", "r1"), ("c1", "cr", "r1"), ("r1", "rc", "c2")}
     assert "reaction_compounds:c1 => c2" in "\n".join(r.value for r in B.entity_lines(got["kv"]).collect())
+
+
+def test_labels_in_pieces_and_repeated(spark):
+    html = "<table><tr><th>I<sub>n</sub>C<sub>h</sub>I:</th><td>a</td></tr><tr><th><nobr>Name</nobr></th><td>x</td></tr><tr><th>Name</th><td>y</td></tr></table>"
+    got = P.extract_boxes(spark.createDataFrame([(1, html)], "page_id long, html string"), ["InChI", "Name"]).collect()
+    assert [(r.label, r.pos, r.value) for r in got] == [("InChI", 0, "a"), ("Name", 0, "x"), ("Name", 1, "y")]
+
+
+def test_a_line_of_over_a_million_fields(spark):
+    from pyspark.sql import functions as F
+
+    n = 1_000_005
+    line = spark.range(1).select(F.lit("compound").alias("entity_type"), F.concat(F.lit("internal_id:7\t"), F.array_join(
+        F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("k:"), i.cast("string"))), "\t")).alias("value"))
+    assert A.parse_entity_lines(line).count() == n
