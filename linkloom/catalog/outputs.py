@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from linkloom.catalog.registry import query
 from linkloom.catalog.roles import EDGE, EQUATION, edges, key, participants, reactions, table, xref_rows
 from linkloom.operators import property_graph as G
+from linkloom.operators.resolve import resolve_all
 from linkloom.session import cut
 from linkloom.sinks import export as B
 from linkloom.sources.annotations import parse_entity_lines
@@ -51,6 +52,40 @@ def entity_round_trip(spark, sf):
     return parse_entity_lines(B.entity_lines(kv(spark, sf)))
 
 
+def _shared(spark, sf):
+    """Nations (genes) and customers (proteins) under the same keys; nations of a region are one gene."""
+    n, c = table(spark, sf, "nation"), table(spark, sf, "customer")
+    x = xref_rows(n, "gene", key("K", "n_nationkey"), "nation", {"uniprot": key("R", "n_regionkey")}).unionByName(
+        xref_rows(c, "protein", key("K", "c_custkey"), "customer", {"uniprot": key("U", "c_custkey")}))
+    e = c.select(F.lit("pg").alias("edge_type"), key("K", "c_custkey").alias("src_key"), key("K", "c_nationkey").alias("dst_key"), F.lit("customer").alias("source_db"))
+    got = resolve_all(x, e, participants(spark, sf).limit(0), reaction=reactions(spark, sf).limit(0))
+    ids = cut(B.dense_ids(got["xref"]))
+    return B.entity_kv(got["xref"], got["edge"], got["participant"], got["reaction"], ids)
+
+
+SHARED_SQL = """g AS (SELECT n_nationkey, n_regionkey, min('K' || n_nationkey) OVER (PARTITION BY n_regionkey) AS k FROM nation),
+i AS (SELECT entity_type, entity_key, CAST(row_number() OVER (ORDER BY o, entity_key) - 1 AS VARCHAR) AS internal_id
+  FROM (SELECT DISTINCT 0 AS o, 'gene' AS entity_type, k AS entity_key FROM g UNION ALL SELECT 1, 'protein', 'K' || c_custkey FROM customer)),
+kv AS (SELECT DISTINCT 'gene' AS entity_type, internal_id, 'uniprot' AS k, 'R' || n_regionkey AS v FROM g JOIN i ON entity_type = 'gene' AND entity_key = g.k
+UNION ALL SELECT 'protein', internal_id, 'uniprot', 'U' || c_custkey FROM customer JOIN i ON entity_type = 'protein' AND entity_key = 'K' || c_custkey
+UNION ALL SELECT 'protein', p.internal_id, 'genes_connected', x.internal_id FROM customer JOIN i p ON p.entity_type = 'protein' AND p.entity_key = 'K' || c_custkey
+  JOIN g ON n_nationkey = c_nationkey JOIN i x ON x.entity_type = 'gene' AND x.entity_key = g.k)"""
+
+
+@query("shared_keys", f"WITH {SHARED_SQL} SELECT * FROM kv")
+def shared_keys(spark, sf):
+    """Resolution, dense ids and fields where entities of different types have the same key."""
+    return _shared(spark, sf)
+
+
+@query(
+    "shared_key_nodes",
+    f"WITH {SHARED_SQL} SELECT internal_id AS id, CASE entity_type WHEN 'gene' THEN 'Gene' ELSE 'Protein' END AS label FROM kv GROUP BY ALL",
+)
+def shared_key_nodes(spark, sf):
+    return G.property_nodes(_shared(spark, sf)).select("id", "label")
+
+
 @query(
     "dense_ids",
     """WITH e AS (SELECT 0 AS o, 'gene' AS entity_type, 'G' || n_nationkey AS entity_key FROM nation UNION ALL SELECT 1, 'protein', 'P' || c_custkey FROM customer

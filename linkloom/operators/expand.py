@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators.lookup import unseen
@@ -40,6 +40,13 @@ def ends(edge_type: str) -> tuple[str, str]:
     return EXTRA.get(edge_type) or (KIND[edge_type[0]], KIND[edge_type[1]])
 
 
+def end_type(edge_type, side: int) -> Column:
+    """The entity type at the source (0) or target (1) of the link type in a column; null for unknown link types."""
+    known = dict.fromkeys([*EXTRA, *(a[0] + b[0] for a in ENTITY_TYPES for b in ENTITY_TYPES)])
+    table = F.create_map(*[F.lit(x) for e in known for x in (e, ends(e)[side])])
+    return F.try_element_at(table, F.col(edge_type) if isinstance(edge_type, str) else edge_type)
+
+
 def mode_key(modes: list[str]) -> str:
     """One name for a set of modes that are active together."""
     return ",".join(sorted(set(modes)))

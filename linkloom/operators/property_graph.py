@@ -28,8 +28,8 @@ NA = ["NA", "N_A"]
 def property_nodes(kv: DataFrame) -> DataFrame:
     """One node per entity of ``kv(entity_type, internal_id, k, v)``; reactions say whether they are reversible."""
     eq = F.when(F.col("k") == "reaction_compounds", F.contains(F.col("v"), F.lit("<=>")))
-    return kv.groupBy(F.col("internal_id").alias("id")).agg(
-        F.initcap(F.min("entity_type")).alias("label"), F.bool_or(eq).alias("reversible"),
+    return kv.groupBy(F.col("internal_id").alias("id"), F.initcap("entity_type").alias("label")).agg(
+         F.bool_or(eq).alias("reversible"),
         F.max(F.when(F.col("k") == "reaction_compounds", equation_sides("v")["sign"])).alias("direction"),
     )
 

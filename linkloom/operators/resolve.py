@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.text import is_ec
 from linkloom.operators.components import connected_components
+from linkloom.operators.expand import end_type
 from linkloom.operators.lookup import name_search
 from linkloom.operators.matching import DEFAULTS, MatchConfig, features, match_links, participant_signature
+from linkloom.session import cut
 
 
 def clusters(xref: DataFrame, config: MatchConfig, forced_pairs: DataFrame | None = None) -> DataFrame:
@@ -26,20 +28,38 @@ def clusters(xref: DataFrame, config: MatchConfig, forced_pairs: DataFrame | Non
 
 
 def merge_xref(xref: DataFrame, cluster: DataFrame) -> DataFrame:
-    """Xref of the merged entities: counts of all members are added, sources are kept as a sorted list."""
+    """Xref of the merged entities: counts of all members are added, sources are kept as a sorted list.
+
+    A ``cluster`` with a column ``entity_type`` holds clusters of several types, whose keys may be the same.
+    """
     return (
-        xref.join(cluster, "entity_key")
+        xref.join(cluster, _own_key(cluster))
         .groupBy("entity_type", F.col("cluster_key").alias("entity_key"), "id_type", "id_value")
         .agg(F.sum("n").cast("bigint").alias("n"), F.array_sort(F.collect_set("source_db")).alias("sources"))
     )
 
 
+def _own_key(cluster: DataFrame) -> list[str]:
+    return [c for c in ("entity_type", "entity_key") if c in cluster.columns]
+
+
 def rekey_edges(edge: DataFrame, cluster: DataFrame) -> DataFrame:
-    """Links moved from members to their cluster, on both ends, once per source."""
-    src = cluster.select(F.col("entity_key").alias("src_key"), F.col("cluster_key").alias("s"))
-    dst = cluster.select(F.col("entity_key").alias("dst_key"), F.col("cluster_key").alias("d"))
+    """Links moved from members to their cluster, on both ends, once per source.
+
+    Where ``cluster`` tells entity types, each end is looked up among the entities of its own type.
+    """
+    typed = "entity_type" in cluster.columns
+
+    def end(key: str, to: str, side: int):
+        m = cluster.select(F.col("entity_key").alias(key), F.col("cluster_key").alias(to), *([F.col("entity_type").alias(f"{to}_type")] if typed else []))
+        return m, [key, *([f"{to}_type"] if typed else [])]
+
+    src, on_src = end("src_key", "s", 0)
+    dst, on_dst = end("dst_key", "d", 1)
+    if typed:
+        edge = edge.withColumns({"s_type": end_type("edge_type", 0), "d_type": end_type("edge_type", 1)})
     return (
-        edge.join(src, "src_key", "left").join(dst, "dst_key", "left")
+        edge.join(src, on_src, "left").join(dst, on_dst, "left")
         .select("edge_type", F.coalesce("s", "src_key").alias("src_key"), F.coalesce("d", "dst_key").alias("dst_key"),
                 "source_db")
         .distinct()
@@ -84,22 +104,38 @@ def resolve_all(
     participant: DataFrame,
     configs: dict[str, MatchConfig] | None = None,
     forced_pairs: DataFrame | None = None,
+    reaction: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Resolve compounds, then reactions on re-keyed participants, then proteins and genes; merge everything."""
+    """Resolve compounds, then reactions on re-keyed participants, then proteins and genes; merge everything.
+
+    Keys are looked up within their entity type: a gene and a protein may share one. A merged reaction takes its
+    participants, and from ``reaction`` its direction, from the same member.
+    """
     cfg = {**DEFAULTS, **(configs or {})}
     of = lambda kind: xref.filter(F.col("entity_type") == kind)
     compound = clusters(of("compound"), cfg["compound"])
     parts = rekey_participants(participant, compound)
     cols = ["entity_type", "entity_key", "id_type", "id_value"]
-    reaction = clusters(of("reaction").select(*cols).unionByName(participant_signature(parts)), cfg["reaction"])
+    merged_reaction = clusters(of("reaction").select(*cols).unionByName(participant_signature(parts)), cfg["reaction"])
     protein = clusters(of("protein"), cfg["protein"], forced_pairs)
     gene = clusters(of("gene"), cfg["gene"])
-    everyone = compound.unionByName(reaction).unionByName(protein).unionByName(gene)
+    tag = lambda df, kind: df.withColumn("entity_type", F.lit(kind))
+    everyone = cut(tag(compound, "compound").unionByName(tag(merged_reaction, "reaction")).unionByName(tag(protein, "protein")).unionByName(tag(gene, "gene")))
     # a merged reaction keeps the participants of its smallest member that has any
-    owned = parts.join(reaction.withColumnRenamed("entity_key", "reaction_key"), "reaction_key")
+    members = everyone.filter("entity_type = 'reaction'").select(F.col("entity_key").alias("reaction_key"), "cluster_key")
+    owned = parts.join(members, "reaction_key")
     giver = owned.groupBy("cluster_key").agg(F.min("reaction_key").alias("reaction_key"))
     merged = owned.join(giver, ["cluster_key", "reaction_key"]).withColumn("reaction_key", F.col("cluster_key"))
+    out = {}
+    if reaction is not None:
+        # reactions without participants of any member keep what their smallest member says
+        held = reaction.join(members, "reaction_key")
+        first = held.groupBy("cluster_key").agg(F.min("reaction_key").alias("smallest"))
+        source = first.join(giver, "cluster_key", "left").select("cluster_key", F.coalesce("reaction_key", "smallest").alias("reaction_key"))
+        given = held.join(source, ["cluster_key", "reaction_key"]).withColumn("reaction_key", F.col("cluster_key"))
+        out["reaction"] = given.select(*reaction.columns)
     return {
+        **out,
         "cluster": everyone,
         "xref": merge_xref(xref, everyone),
         "edge": rekey_edges(edge, everyone),

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import is_ec
-from linkloom.operators.expand import ends
+from linkloom.operators.expand import end_type, ends
 from linkloom.session import cut
 
 # Field name of an outgoing link, by the entity type it leads to; complexes have their own.
@@ -36,20 +36,26 @@ def dense_ids(entities: DataFrame) -> DataFrame:
 def entity_kv(xref: DataFrame, edge: DataFrame, participant: DataFrame, reaction: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """``(entity_type, internal_id, k, v)`` of all entities.
 
-    A full enzyme number under another key than ``enzyme_ec`` is not written. ``ids(entity_key, internal_id)`` renames
-    the keys; without it keys are written as they are.
+    A full enzyme number under another key than ``enzyme_ec`` is not written. ``ids(entity_type, entity_key,
+    internal_id)`` renames the keys of each type (of all alike without its ``entity_type``); without it keys are written
+    as they are. A reaction of unknown direction is written as reversible.
     """
     detail = xref.filter(~(is_ec("id_value", 4) & (F.col("id_type") != "enzyme_ec"))).select(
         "entity_type", "entity_key", F.col("id_type").alias("k"), F.col("id_value").alias("v")).distinct()
     links = edge.select("edge_type", "src_key", "dst_key").distinct()
     parts = participant.select("reaction_key", "side", "pos", "stoich", "compound_key")
     if ids is not None:
-        new = ids.select("entity_key", "internal_id")
-        detail = detail.join(new, "entity_key").drop("entity_key").withColumnRenamed("internal_id", "entity_key")
-        for col in ("src_key", "dst_key"):
-            links = links.join(new.withColumnRenamed("entity_key", col), col).drop(col).withColumnRenamed("internal_id", col)
-        for col in ("compound_key",):
-            parts = parts.join(new.withColumnRenamed("entity_key", col), col).drop(col).withColumnRenamed("internal_id", col)
+        typed = "entity_type" in ids.columns
+
+        def renamed(df: DataFrame, col: str, kind) -> DataFrame:
+            """``df`` with the keys in ``col``, of the entity type ``kind``, replaced."""
+            new = ids.select(F.col("entity_key").alias(col), "internal_id", *([F.col("entity_type").alias("_kind")] if typed else []))
+            df = df.withColumn("_kind", kind) if typed else df
+            return df.join(new, [col, *(["_kind"] if typed else [])]).drop(col, "_kind").withColumnRenamed("internal_id", col)
+
+        detail = renamed(detail, "entity_key", F.col("entity_type"))
+        links = renamed(renamed(links, "src_key", end_type("edge_type", 0)), "dst_key", end_type("edge_type", 1))
+        parts = renamed(parts, "compound_key", F.lit("compound"))
     types = F.create_map(*[F.lit(x) for e in ("gp", "pg", "pr", "rp", "cr", "rc", "pp", "cp", *FAMILY) for x in (e, ends(e)[0])])
     fields = F.create_map(*[F.lit(x) for e in ("gp", "pg", "pr", "rp", "cr", "pp", "cp") for x in (e, LINK_FIELD[ends(e)[1]])],
                           *[F.lit(x) for e in FAMILY for x in (e, e)])
@@ -58,14 +64,14 @@ def entity_kv(xref: DataFrame, edge: DataFrame, participant: DataFrame, reaction
         F.element_at(fields, F.col("edge_type")).alias("k"), F.col("dst_key").alias("v"))
     side = lambda s: F.array_join(F.transform(F.filter("p", lambda x: x["side"] == s), lambda x: x["compound_key"]), " + ")
     eq = parts.groupBy("reaction_key").agg(F.array_sort(F.collect_list(F.struct("side", "pos", "stoich", "compound_key"))).alias("p")).join(
-        reaction.select("reaction_key", "direction"), "reaction_key").select(
+        reaction.select("reaction_key", F.col("direction").alias("said")), "reaction_key", "left").withColumn("direction", F.coalesce("said", F.lit("<=>"))).select(
         F.col("reaction_key").alias("entity_key"),
         F.explode(F.array(
             F.struct(F.lit("reaction_compounds").alias("k"), F.concat_ws(" ", side("left"), "direction", side("right")).alias("v")),
             F.struct(F.lit("stoichiometry").alias("k"), F.array_join(F.transform("p", lambda x: x["stoich"].cast("string")), ",").alias("v")),
         )).alias("x"))
     if ids is not None:
-        eq = eq.join(ids.select("entity_key", "internal_id"), "entity_key").drop("entity_key").withColumnRenamed("internal_id", "entity_key")
+        eq = renamed(eq, "entity_key", F.lit("reaction"))
     rows = detail.unionByName(conn).unionByName(eq.select(F.lit("reaction").alias("entity_type"), "entity_key", "x.k", "x.v"))
     return rows.select("entity_type", F.col("entity_key").alias("internal_id"), "k", "v").distinct()
 

@@ -7,7 +7,8 @@ import pytest
 
 from linkloom.operators import matching as M
 from linkloom.operators.components import connected_components
-from linkloom.operators.resolve import clusters
+from linkloom.operators.resolve import clusters, resolve_all
+from linkloom.sinks import export as B
 
 SCHEMA = "entity_type string, entity_key string, source_db string, id_type string, id_value string, n long"
 
@@ -72,3 +73,28 @@ def test_components(spark):
     assert got["c"] == "a" and got["y"] == "x" and got["q"] == "q" and got["n100"] == "n000"
     back = connected_components(spark.createDataFrame([(b, a) for a, b in edges if b], "src string, dst string"))
     assert {r.node: r.component for r in back.collect()} == {k: v for k, v in got.items() if k != "q"}
+
+
+EDGE = "edge_type string, src_key string, dst_key string, source_db string"
+PART = "reaction_key string, side string, pos int, stoich int, stoich_raw string, compound_key string"
+REACTION = "reaction_key string, direction string"
+
+
+def test_gene_and_protein_with_the_same_key(spark):
+    xref = spark.createDataFrame([("gene", "X1", "h", "uniprot", "U1", 1), ("protein", "X1", "h", "uniprot", "U1", 1)], SCHEMA)
+    edge = spark.createDataFrame([("gp", "X1", "X1", "h")], EDGE)
+    got = resolve_all(xref, edge, spark.createDataFrame([], PART), reaction=spark.createDataFrame([], REACTION))
+    assert {(r.entity_type, r.n) for r in got["xref"].collect()} == {("gene", 1), ("protein", 1)}
+    ids = B.dense_ids(got["xref"])
+    kv = B.entity_kv(got["xref"], got["edge"], got["participant"], got["reaction"], ids)
+    assert {tuple(r) for r in kv.collect()} == {("gene", "0", "uniprot", "U1"), ("protein", "1", "uniprot", "U1"), ("gene", "0", "proteins_connected", "1")}
+
+
+@pytest.mark.parametrize(("said", "want"), [("<=", "c1 => c2"), (None, "c1 => c2")])
+def test_merged_reactions_keep_the_equation_of_one_member(spark, said, want):
+    rows = [("reaction", r, "k", t, "R", 1) for r in ("r0", "r1") for t in ("kegg", "reaction_str")] + [("compound", c, "k", "kegg", c, 1) for c in ("c1", "c2")]
+    part = spark.createDataFrame([("r1", "left", 0, 1, "", "c1"), ("r1", "right", 0, 1, "", "c2")], PART)
+    reaction = spark.createDataFrame([("r1", "=>")] + ([("r0", said)] if said else []), REACTION)
+    got = resolve_all(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], EDGE), part, reaction=reaction)
+    kv = B.entity_kv(got["xref"], got["edge"], got["participant"], got["reaction"])
+    assert [(r.internal_id, r.v) for r in kv.filter("k = 'reaction_compounds'").collect()] == [("r0", want)]
