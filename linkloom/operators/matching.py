@@ -6,13 +6,17 @@ each has (its mask) and what they share. So entities with the same mask that sha
 set ``O`` either all match a given other such group or none does. We therefore group by ``(O, values of O, mask)``
 and link groups by one representative: the number of links is linear in the rows, however hot a value is, and the
 connected components are the same as over all matching pairs. No value is capped or dropped.
+
+Groups are built level by level. A value that one entity alone holds can never be shared, so it is left out at once (its
+type stays in the mask). A group of k types is extended to k + 1 only where two entities or more hold it, where some
+pair of its masks does not match yet, and where that pair still can. Sharing more never undoes a match, so nothing is
+lost, and the number of groups follows what is really shared.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +42,12 @@ class MatchConfig:
     threshold: float
     use_absolute: bool = True
     ceil: bool = False
-    max_keys: int = 20_000  # entities that would need more block keys go through the pairwise path
     hmdb_type: str | None = "hmdb"
     fold_case: tuple[str, ...] = field(default_factory=tuple)
 
     def __post_init__(self):
-        if len(self.rules) > 20:
-            raise ValueError("at most 20 id types per rule set: the mask tables are sized by it")
+        if len(self.rules) > 30:
+            raise ValueError("at most 30 id types per rule set: a mask is a 32 bit number")
 
     @property
     def bits(self) -> dict[str, int]:
@@ -57,8 +60,7 @@ class MatchConfig:
         return t - SCALE + 1 if self.ceil else t
 
     def with_threshold(self, threshold: float) -> "MatchConfig":
-        return MatchConfig(self.rules, threshold, self.use_absolute, self.ceil, self.max_keys, self.hmdb_type,
-                           self.fold_case)
+        return MatchConfig(self.rules, threshold, self.use_absolute, self.ceil, self.hmdb_type, self.fold_case)
 
 
 # The default rule sets. Types that two lists name twice count twice.
@@ -229,97 +231,45 @@ def any_match(entities: DataFrame, pairs_scored: DataFrame) -> DataFrame:
     return entities.join(hit, "entity_key", "left_semi")
 
 
-def needed_sets(mask: int, config: MatchConfig) -> list[int]:
-    """Id-type sets on which an entity with this mask has to be blocked.
-
-    A set is needed if sharing it can be enough for a match while no smaller part of it is. Leaving a set out is
-    only allowed when one of its parts already decides every case, so a few extra sets are kept.
-    """
-    k = len(config.rules)
-    gain = [round(r.gain * SCALE) for r in config.rules]
-    pen = [round(r.penalty * SCALE) for r in config.rules]
-    absolute = sum(1 << i for i, r in enumerate(config.rules) if r.absolute)
-    strict = sum(1 << i for i, r in enumerate(config.rules) if r.strict)
-    limit = config.limit
-
-    def total(m: int, w: list[int]) -> int:
-        return sum(w[i] for i in range(k) if m >> i & 1)
-
-    def slack(o: int) -> int:  # penalty an overlap of o can carry and still be accepted by score
-        return total(o, gain) + total(o, pen) - limit
-
-    full_pen = total(mask, pen)
-    out = []
-    o = mask
-    while o:
-        worst = max((slack(o & ~(1 << i)) for i in range(k) if o >> i & 1), default=-1)
-        room = slack(o)
-        by_score = room >= total(o, pen) and min(room, full_pen) > worst
-        by_rule = (
-            config.use_absolute
-            and o & ~(absolute | strict) == 0
-            and o & absolute
-            # sharing exactly these types may be too little by score, so the absolute rule has to decide
-            and room < total(o, pen) + total(mask & ~absolute & ~o, pen)
-        )
-        if by_score or by_rule:
-            out.append(o)
-        o = (o - 1) & mask
-    return sorted(out)
-
-
-def _needed(seen: DataFrame, config: MatchConfig) -> DataFrame:
-    """``(mask, o_masks)`` for the distinct masks; there are at most 2**(number of id types) of them."""
-
-    def each(batches):
-        for pdf in batches:
-            sets = [needed_sets(int(m), config) for m in pdf["mask"]]
-            yield pd.DataFrame({"mask": pdf["mask"].astype("int32"), "o_masks": sets})
+def _open_masks(level: DataFrame, config: MatchConfig) -> DataFrame:
+    """``(o_mask, key, mask)`` of groups that have a pair of masks which does not match yet but may with more types."""
+    ms = level.groupBy("o_mask", "key", "mask").agg(F.count("*").alias("c")).groupBy("o_mask", "key").agg(
+        F.collect_list(F.struct("mask", "c")).alias("ms"))  # at most one entry per combination of id types
+    o = F.col("o_mask")
+    higher = F.bitwise_not(F.expr("shiftleft(1, cast(floor(log2(o_mask)) as int) + 1) - 1"))
 
-    return seen.select("mask").distinct().mapInPandas(each, "mask int, o_masks array<int>")
+    def undecided(x: Column, y: Column) -> Column:
+        common = x["mask"].bitwiseAND(y["mask"])
+        best = o.bitwiseOR(common.bitwiseAND(higher))
+        return ((x["mask"] != y["mask"]) | (x["c"] > 1)) & ~accepts(o, x["mask"], y["mask"], config) & accepts(best, x["mask"], y["mask"], config)
 
+    left = F.filter("ms", lambda x: F.exists("ms", lambda y: undecided(x, y)))
+    return spread(ms, left, "x", "o_mask", "key").select("o_mask", "key", F.col("x.mask").alias("mask"))
 
-def _volume(counts: Column, o_masks: Column, config: MatchConfig) -> Column:
-    """How many block keys an entity needs: over its sets, the product of its value counts."""
 
-    def keys(o: Column) -> Column:
-        n = F.lit(1.0)
-        for b in config.bits.values():
-            n = n * F.when(o.bitwiseAND(F.lit(b)) != 0, F.coalesce(F.try_element_at(counts, F.lit(b)), F.lit(1.0))).otherwise(1.0)
-        return n
-
-    return F.aggregate(o_masks, F.lit(0.0), lambda acc, o: acc + keys(o))
-
-
-def block_rows(feats: DataFrame, small: DataFrame, config: MatchConfig) -> DataFrame:
-    """``(entity_key, mask, o_mask, key)``: one row per needed set and combination of the entity's values of it."""
-    packed = feats.join(small, "entity_key").groupBy("entity_key", "mask", "o_masks").agg(
-        F.collect_list(F.struct("bit", "value")).alias("vals")
-    )
-    rows = packed.select("entity_key", "mask", "vals", F.explode("o_masks").alias("o_mask"))
-
-    def extend(keys: Column, b: Column) -> Column:
-        mine = F.transform(F.filter("vals", lambda v: v["bit"] == b), lambda v: v["value"])
-        return F.flatten(F.transform(keys, lambda k: F.transform(mine, lambda v: F.concat(k, F.lit("\u0001"), v))))
-
-    used = F.filter(F.array(*[F.lit(b) for b in config.bits.values()]), lambda b: F.col("o_mask").bitwiseAND(b) != 0)
-    keys = F.aggregate(used, F.array(F.lit("")), extend)
-    return spread(rows, keys, "k", "entity_key", "mask", "o_mask").select(
-        "entity_key", "mask", "o_mask", F.md5(F.col("k")).alias("key")
-    )
+def block_rows(feats: DataFrame, config: MatchConfig, side: Column | None = None) -> DataFrame:
+    """``(entity_key, side, mask, o_mask, key)``: the groups of each entity, for all sets of types that are worth looking at.
 
-
-def _split(feats: DataFrame, config: MatchConfig) -> tuple[DataFrame, DataFrame]:
-    """Entities with their block sets, and the ones too wide for block keys."""
-    per_type = feats.groupBy("entity_key", "bit").agg(F.count("*").cast("double").alias("c"))
-    ent = per_type.groupBy("entity_key").agg(
-        F.bit_or("bit").alias("mask"), F.map_from_entries(F.collect_list(F.struct("bit", "c"))).alias("counts")
-    )
-    ent = cut(ent)
-    sized = ent.join(_needed(ent, config), "mask").withColumn("volume", _volume(F.col("counts"), F.col("o_masks"), config))
-    small = sized.filter(F.col("volume") <= config.max_keys).select("entity_key", "mask", "o_masks")
-    wide = sized.filter(F.col("volume") > config.max_keys).select("entity_key", "mask")
-    return small, wide
+    With ``side`` a group counts only if it has entities of two sides; without, if it has two entities.
+    """
+    values = feats.join(masks(feats), "entity_key").select(
+        "entity_key", (side if side is not None else F.lit("")).alias("side"), "mask", "bit",
+        F.md5(F.concat_ws("\u0001", F.col("bit").cast("string"), "value").cast("binary")).alias("vk"))
+    level = values.select("entity_key", "side", "mask", F.col("bit").alias("o_mask"), F.col("vk").alias("key"))
+    shared = F.min("side") != F.max("side") if side is not None else F.count("*") > 1
+    out = kept = None
+    while True:
+        held = level.groupBy("o_mask", "key").agg(shared.alias("shared")).filter("shared").select("o_mask", "key")
+        level = cut(level.join(held, ["o_mask", "key"], "left_semi"), {"n": F.count(F.lit(1))})
+        if kept is None:
+            # values that can be shared at all; the first level holds just these
+            kept = level.select("entity_key", F.col("o_mask").alias("bit"), F.col("key").alias("vk"))
+        out = level if out is None else out.unionByName(level)
+        if not level.observed["n"]:
+            return out
+        grown = level.join(_open_masks(level, config), ["o_mask", "key", "mask"], "left_semi").join(kept, "entity_key")
+        level = grown.filter(F.col("bit") > F.col("o_mask")).select(
+            "entity_key", "side", "mask", F.col("o_mask").bitwiseOR(F.col("bit")).alias("o_mask"), F.md5(F.concat("key", "vk").cast("binary")).alias("key"))
 
 
 def profiles(feats: DataFrame) -> DataFrame:
@@ -341,8 +291,7 @@ def match_links(feats: DataFrame, config: MatchConfig) -> DataFrame:
     feats = cut(feats)
     prof = cut(profiles(feats))
     rep_feats = feats.join(prof.filter(F.col("entity_key") == F.col("rep")).select("entity_key"), "entity_key", "left_semi")
-    small, wide = _split(rep_feats, config)
-    rows = cut(block_rows(rep_feats, small, config))
+    rows = block_rows(rep_feats, config)
 
     blocks = rows.groupBy("o_mask", "key", "mask").agg(
         F.min("entity_key").alias("rep"), F.count("*").alias("c")
@@ -368,9 +317,6 @@ def match_links(feats: DataFrame, config: MatchConfig) -> DataFrame:
         F.col("entity_key").alias("src"), F.col("rep").alias("dst")
     )
     links = between.unionByName(within)
-    if not wide.isEmpty():
-        links = links.unionByName(_wide_links(rep_feats, wide, config))
-
     same = prof.join(masks(rep_feats).withColumnRenamed("entity_key", "rep"), "rep").filter(
         accepts(F.col("mask"), F.col("mask"), F.col("mask"), config)
     )
@@ -378,25 +324,6 @@ def match_links(feats: DataFrame, config: MatchConfig) -> DataFrame:
     return links.unionByName(twins).filter(F.col("src") != F.col("dst")).distinct()
 
 
-def _wide_links(feats: DataFrame, wide: DataFrame, config: MatchConfig) -> DataFrame:
-    """Entities with very many values: join their values to all others and decide on the shared types."""
-    m = masks(feats)
-    wf = feats.join(wide.select("entity_key"), "entity_key", "left_semi").select(
-        F.col("entity_key").alias("src"), "bit", "value"
-    )
-    shared = (
-        wf.join(feats.select(F.col("entity_key").alias("dst"), "bit", "value"), ["bit", "value"])
-        .filter(F.col("src") != F.col("dst"))
-        .groupBy("src", "dst").agg(F.bit_or("bit").alias("shared"))
-    )
-    return (
-        shared.join(m.select(F.col("entity_key").alias("src"), F.col("mask").alias("m1")), "src")
-        .join(m.select(F.col("entity_key").alias("dst"), F.col("mask").alias("m2")), "dst")
-        .filter(accepts(F.col("shared"), F.col("m1"), F.col("m2"), config))
-        .select("src", "dst")
-    )
-
-
 def candidates(records: DataFrame, existing: DataFrame, config: MatchConfig) -> DataFrame:
     """For every record the smallest existing entity that matches it: ``(record_key, candidate_key)``.
 
@@ -404,9 +331,7 @@ def candidates(records: DataFrame, existing: DataFrame, config: MatchConfig) ->
     """
     tag = lambda df, side: df.select(F.concat(F.lit(side), "entity_key").alias("entity_key"), "bit", "value")
     both = cut(tag(records, "q").unionByName(tag(existing, "e")))
-    small, wide = _split(both, config)
-    rows = cut(block_rows(both, small, config).withColumn("side", F.substring("entity_key", 1, 1))
-               .withColumn("entity_key", F.expr("substring(entity_key, 2)")))
+    rows = block_rows(both, config, F.substring("entity_key", 1, 1)).withColumn("entity_key", F.expr("substring(entity_key, 2)"))
     blocks = rows.filter("side = 'e'").groupBy("o_mask", "key", "mask").agg(F.min("entity_key").alias("cand"))
     hits = (
         rows.filter("side = 'q'").select(F.col("entity_key").alias("record_key"), F.col("mask").alias("qm"), "o_mask", "key")
@@ -414,11 +339,4 @@ def candidates(records: DataFrame, existing: DataFrame, config: MatchConfig) ->
         .filter(accepts(F.col("o_mask"), F.col("qm"), F.col("mask"), config))
         .select("record_key", "cand")
     )
-    if not wide.isEmpty():
-        extra = _wide_links(both, wide, config)
-        flip = extra.unionByName(extra.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        hits = hits.unionByName(
-            flip.filter(F.col("src").startswith("q") & F.col("dst").startswith("e"))
-            .select(F.expr("substring(src, 2)").alias("record_key"), F.expr("substring(dst, 2)").alias("cand"))
-        )
     return hits.groupBy("record_key").agg(F.min("cand").alias("candidate_key"))
