@@ -330,7 +330,7 @@ def enrich_compounds(spark, sf):
 
 
 NAME_SQL = """
-q AS (SELECT DISTINCT query FROM (SELECT text AS query FROM benchmark UNION ALL SELECT p_name FROM part UNION ALL SELECT left(text, 40) FROM documents WHERE source = 'src0')),
+q AS (SELECT DISTINCT query FROM (SELECT text AS query FROM benchmark UNION ALL SELECT p_name FROM part UNION ALL SELECT text FROM documents)),
 n AS (SELECT 'D' || doc_id AS entity_key, lower(text) AS name FROM documents UNION ALL SELECT 'C' || p_partkey, lower(p_name) FROM part),
 exact AS (SELECT query, min(entity_key) AS entity_key FROM q JOIN n ON lower(query) = name GROUP BY query)"""
 
@@ -341,10 +341,10 @@ exact AS (SELECT query, min(entity_key) AS entity_key FROM q JOIN n ON lower(que
 UNION ALL SELECT DISTINCT query, entity_key, 'contains' FROM q JOIN n ON contains(name, lower(query)) WHERE query NOT IN (SELECT query FROM exact)""",
 )
 def name_search(spark, sf):
-    """Benchmark passages, part names and document openings looked up in whole documents and part names."""
+    """Benchmark passages, part names and whole documents looked up in whole documents and part names."""
     d, p = table(spark, sf, "documents"), table(spark, sf, "part")
     q = table(spark, sf, "benchmark").select(F.col("text").alias("query")).unionByName(p.select(F.col("p_name").alias("query"))).unionByName(
-        d.filter("source = 'src0'").select(F.substring("text", 1, 40).alias("query")))
+        d.select(F.col("text").alias("query")))
     names = d.select(key("D", "doc_id").alias("entity_key"), F.col("text").alias("name")).unionByName(
         p.select(key("C", "p_partkey").alias("entity_key"), F.col("p_name").alias("name")))
     return L.name_search(q, names)

@@ -106,13 +106,13 @@ def rejected_reactions(spark, sf):
     "species_map",
     f"""WITH s AS (SELECT 'M_' || p_partkey || {SUFFIX_SQL} AS species_key, p_name, p_brand FROM part WHERE p_size <= 25)
 SELECT min(k) AS compound_key, species_key FROM (
-  SELECT species_key, 'C' || p.p_partkey AS k FROM s JOIN part p ON p.p_name = s.p_name AND p.p_size > 45
-  UNION ALL SELECT species_key, 'C' || p.p_partkey FROM s JOIN part p ON p.p_brand = s.p_brand AND p.p_size > 45 AND p.p_type = 'SMALL') GROUP BY species_key""",
+  SELECT species_key, 'C' || p.p_partkey AS k FROM s JOIN part p ON p.p_name = s.p_name AND p.p_size > 25
+  UNION ALL SELECT species_key, 'C' || p.p_partkey FROM s JOIN part p ON p.p_brand = s.p_brand AND p.p_size > 25 AND p.p_type = 'SMALL') GROUP BY species_key""",
 )
 def species_map_query(spark, sf):
     """Species to compounds on a shared name or brand; the smallest compound takes the species."""
     p = table(spark, sf, "part")
-    ours = xref_rows(p.filter("p_size > 45"), "compound", key("C", "p_partkey"), "part",
+    ours = xref_rows(p.filter("p_size > 25"), "compound", key("C", "p_partkey"), "part",
                      {"name": F.col("p_name"), "brand": F.when(F.col("p_type") == "SMALL", F.col("p_brand"))})
     s = xref_rows(p.filter("p_size <= 25"), "species", F.concat(key("M_", "p_partkey"), _suffix()), "part", {"name": F.col("p_name"), "brand": F.col("p_brand")})
     return N.match_species(ours, s)
@@ -227,7 +227,7 @@ def new_by_participants(spark, sf):
 FILTERS = """
 pid AS (SELECT 'P' || c_custkey AS protein_key, '1.1.1.' || c_nationkey AS ec, c_custkey, c_nationkey FROM customer WHERE c_mktsegment <> 'FURNITURE'
         UNION ALL SELECT 'P' || c_custkey, NULL, c_custkey, c_nationkey FROM customer WHERE c_mktsegment = 'FURNITURE'),
-ann AS (SELECT 'S' || s_suppkey AS sample, '1.1.1.' || s_nationkey AS ec FROM supplier WHERE s_acctbal > 5000
+ann AS (SELECT 'S' || s_suppkey AS sample, '1.1.1.' || s_nationkey AS ec FROM supplier 
         UNION SELECT 'S' || s_suppkey, 'M' || s_suppkey FROM supplier),
 h1 AS (SELECT DISTINCT sample, protein_key, c_custkey, p.ec FROM ann JOIN pid p ON ann.ec = p.ec
        UNION SELECT DISTINCT sample, protein_key, c_custkey, p.ec FROM ann JOIN pid p ON ann.ec = 'M' || c_custkey),
@@ -243,7 +243,7 @@ def _stages(spark, sf):
     ids = xref_rows(c, "protein", key("P", "c_custkey"), "customer", {"enzyme_ec": ec, "metacyc": key("M", "c_custkey")}).withColumnRenamed("entity_key", "protein_key")
     s = table(spark, sf, "supplier")
     row = lambda df, t, v: df.select(key("S", "s_suppkey").alias("sample"), F.lit(t).alias("id_type"), v.alias("id_value"))
-    ann = row(s.filter("s_acctbal > 5000"), "enzyme_ec", key("1.1.1.", "s_nationkey")).unionByName(row(s, "metacyc", key("M", "s_suppkey")))
+    ann = row(s, "enzyme_ec", key("1.1.1.", "s_nationkey")).unionByName(row(s, "metacyc", key("M", "s_suppkey")))
     e = edges(spark, sf)
     known = table(spark, sf, "nation").filter("n_regionkey = 1").select(F.lit("enzyme_ec").alias("id_type"), key("1.1.1.", "n_nationkey").alias("id_value"))
     h1 = N.proteins_in_sample(ids, ann)

@@ -172,7 +172,7 @@ def without_na_nodes(spark, sf):
 
 
 NETWORK_SQL = f"""{RELS_SQL},
-np AS (SELECT 'P' || c_custkey AS id FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9500)),
+np AS (SELECT 'P' || c_custkey AS id FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)),
 nr AS (SELECT DISTINCT 'R' || o_orderkey AS id FROM orders WHERE 'P' || o_custkey IN (FROM np)),
 ng AS (SELECT DISTINCT 'G' || c_nationkey AS id FROM customer WHERE 'P' || c_custkey IN (FROM np)),
 nc AS (SELECT DISTINCT dst AS id FROM rels WHERE rel_type LIKE 'IS%' AND src IN (FROM nr)),
@@ -180,7 +180,7 @@ net AS (SELECT id, 'Protein' AS label FROM np UNION ALL SELECT id, 'Reaction' FR
 
 
 def _annotations(spark, sf):
-    return table(spark, sf, "supplier").filter("s_acctbal > 9500").select(F.lit("enzyme_ec").alias("id_type"), key("1.1.1.", "s_nationkey").alias("id_value"))
+    return table(spark, sf, "supplier").select(F.lit("enzyme_ec").alias("id_type"), key("1.1.1.", "s_nationkey").alias("id_value"))
 
 
 @query("network_from_annotations", f"WITH {NETWORK_SQL} SELECT id, label FROM net")
