@@ -12,10 +12,23 @@ from pyspark.sql import DataFrame
 from linkloom.session import ensure_checkpoint_dir, ship_package
 
 
+BATCH_BYTES = "8m"  # of an Arrow batch, unless the session says otherwise: texts are long, and workers should stay small
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARK_DEFAULT = "67108864b"
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package sent to the executors first."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """``df.mapInArrow`` with this package sent to the executors, and batches bounded by bytes."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(_LIMIT, None) == _SPARK_DEFAULT:
+        spark.conf.set(_LIMIT, BATCH_BYTES)
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def slices(batches, column: str, max_bytes: int = 2 << 20):
@@ -31,6 +44,7 @@ def slices(batches, column: str, max_bytes: int = 2 << 20):
             held += int(size)
         if start < batch.num_rows:
             yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
 
 
 def shared_folder(spark, name: str) -> str:

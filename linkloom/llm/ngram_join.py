@@ -112,9 +112,9 @@ def _levels(texts_df: DataFrame, total: int, n: int) -> bytes:
     """For each bucket of n-gram hashes the logarithm of the largest count of a frequent n-gram in it, else 0.
 
     Keys travel sorted, as differences split into byte planes, so each costs two to three bytes; a key that a task
-    meets often is sent once with its count. Hash ranges hold about four million keys each.
+    meets often is sent once with its count. Hash ranges hold about a million keys each.
     """
-    ranges = max(8, -(-total // 4_000_000))
+    ranges = max(8, -(-total // 1_000_000))
     shift = np.uint64(64 - KEY_BITS)
     step = np.uint64(-(-(1 << KEY_BITS) // ranges))
 
@@ -197,7 +197,7 @@ def _blocks(texts_df: DataFrame, key: str, levels, n: int, percent: int) -> Data
 
 
 def _wanted_sets(texts_df: DataFrame, key: str, ids: DataFrame, n: int, bits: int = 23) -> DataFrame:
-    """``(id, grams)``, whole sets as binary, of all rows whose id is in ``ids`` and of a few more.
+    """``(id, grams)``, whole sets, of all rows whose id is in ``ids`` and of a few more.
 
     The ids travel as a bitmap of fixed size, so texts are not shuffled to find them.
     """
@@ -217,31 +217,23 @@ def _wanted_sets(texts_df: DataFrame, key: str, ids: DataFrame, n: int, bits: in
             if len(hit):
                 for part in slices([batch.take(pa.array(hit))], "text"):
                     grams, at = ngram_sets(part.column("text"), n)
-                    raw = grams.tobytes()
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-                                                     names=["id", "grams"])
+                    sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(grams.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([part.column("id"), sets], names=["id", "grams"])
 
-    return map_arrow(texts_df.select("id", "text", slot.alias("slot")), run, f"id {key}, grams binary")
+    return map_arrow(texts_df.select("id", "text", slot.alias("slot")), run, f"id {key}, grams array<long>")
 
 
 def _verified(texts_df: DataFrame, key: str, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = _wanted_sets(texts_df, key, ids, n)
-    sets = cut(sets.join(ids, "id", "left_semi"))
+    sets = cut(sets)
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     joined = joined.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
 
-    def run(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return map_arrow(joined.select("a", "b", "ga", "gb"), run, f"a {key}, b {key}")
+    both = F.size(F.array_intersect("ga", "gb"))
+    enough = (both > 0) & (both * 100 >= (F.size("ga") + F.size("gb") - both) * percent)
+    return joined.filter(enough).select("a", "b")
 
 
 def _may_link(a: str, b: str, percent: int):
@@ -272,11 +264,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = classes.agg(F.sum("n"), F.sum(F.col("n") * F.col("copies"))).first()
     if not total[0]:
         return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.col("id").alias("class_id"))
+    # one text for each set: rows whose id names no class go, and only they are shuffled for it
     here = texts.filter("id is not null")
-    levels = spark.sparkContext.broadcast(_levels(here, total[1], n))
+    named = classes.select("rep").distinct()
+    gone = cut(live.select("id").distinct().join(named, F.col("id") == F.col("rep"), "left_anti"))
+    single = drop_keys(here, gone, ["id"])
+    levels = spark.sparkContext.broadcast(_levels(single, total[1], n))
 
     # one row per (class, column of its block), dealt by column
-    blocks = _blocks(here, key, levels, n, percent).join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    blocks = _blocks(single, key, levels, n, percent)
     cells = blocks.select("id", "n", F.explode("grams").alias("x")).select("id", "n", F.col("x.g").alias("g"), F.col("x.l").alias("l"), F.col("x.pos").alias("pos"))
     parts = F.expr(f"shiftleft(1, greatest(cast(l as int) - {PART_LEVEL}, 0))")
     cells = cells.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
