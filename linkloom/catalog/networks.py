@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linkloom.catalog.registry import query
 from linkloom.catalog.roles import COMPONENTS, edges, key, sides, table, xref_rows
+from linkloom.session import cut
 from linkloom.operators import network as N
 from linkloom.operators import samples as S
 from linkloom.sinks.export import sif_organisms
@@ -246,10 +247,11 @@ def _stages(spark, sf):
     ann = row(s, "enzyme_ec", key("1.1.1.", "s_nationkey")).unionByName(row(s, "metacyc", key("M", "s_suppkey")))
     e = edges(spark, sf)
     known = table(spark, sf, "nation").filter("n_regionkey = 1").select(F.lit("enzyme_ec").alias("id_type"), key("1.1.1.", "n_nationkey").alias("id_value"))
-    h1 = N.proteins_in_sample(ids, ann)
-    h2 = N.with_reaction(h1, e)
-    h3 = N.proteins_not_in_model(h2, ids, known)
-    h4 = N.reactions_of(h3, e)
+    # each stage is counted and built upon: written once
+    h1 = cut(N.proteins_in_sample(ids, ann))
+    h2 = cut(N.with_reaction(h1, e))
+    h3 = cut(N.proteins_not_in_model(h2, ids, known))
+    h4 = cut(N.reactions_of(h3, e))
     rid = o.filter("o_orderpriority <> '5-LOW'").select(key("R", "o_orderkey").alias("reaction_key"), F.lit("kegg").alias("id_type"), F.col("o_custkey").cast("string").alias("id_value"))
     model = o.filter("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.lit("kegg").alias("id_type"), F.col("o_custkey").cast("string").alias("id_value"))
     h5 = N.reactions_not_in_model_by_id(rid.join(h4, "reaction_key", "left_semi"), model)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.equations import equation_sides
 from linkloom.operators.components import connected_components
+from linkloom.session import cut
 
 ADDED = "RD_"
 MODEL = "R_"
@@ -102,8 +103,12 @@ def n_metabolites(edges: DataFrame) -> DataFrame:
 
 
 def compare_dead_ends(base: DataFrame, expanded: DataFrame) -> DataFrame:
-    """One row: dead ends of both networks, the newly connected ones, and their share of all nodes in percent."""
-    d1, d2 = dead_ends(base), dead_ends(expanded)
+    """One row: dead ends of both networks, the newly connected ones, and their share of all nodes in percent.
+
+    Networks and dead ends are written once, since each is read several times.
+    """
+    base, expanded = cut(base), cut(expanded)
+    d1, d2 = cut(dead_ends(base)), cut(dead_ends(expanded))
     fixed = d1.select("node").join(d2.select("node"), "node", "left_anti")
     count = lambda df, name: df.agg(F.count("*").alias("v")).select(F.lit(name).alias("k"), "v")
     rows = count(d1, "d1").unionByName(count(d2, "d2")).unionByName(count(fixed, "fixed")).unionByName(
@@ -221,7 +226,7 @@ def reactions_of(proteins: DataFrame, edge: DataFrame) -> DataFrame:
 
 
 def funnel(stages: dict[str, DataFrame]) -> DataFrame:
-    """``(pos, stage, n)``: row count after each filter, in one job."""
+    """``(pos, stage, n)``: row count after each filter, in one job. Stages that build on one another are best ``cut``."""
     out = None
     for i, (name, df) in enumerate(stages.items()):
         one = df.agg(F.count("*").alias("n")).select(F.lit(i).alias("pos"), F.lit(name).alias("stage"), "n")

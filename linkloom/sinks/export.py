@@ -76,10 +76,17 @@ def entity_kv(xref: DataFrame, edge: DataFrame, participant: DataFrame, reaction
     return rows.select("entity_type", F.col("entity_key").alias("internal_id"), "k", "v").distinct()
 
 
-def entity_lines(kv: DataFrame) -> DataFrame:
-    """``(entity_type, value)``: one line per entity, its fields sorted."""
+def entity_lines(kv: DataFrame, per_line: int = 100_000) -> DataFrame:
+    """``(entity_type, value)``: one line per entity, its fields sorted.
+
+    An entity of more than ``per_line`` fields gets several lines of about that many; the reader takes lines with the same
+    ``internal_id`` as one entity, so no hub is gathered in one row.
+    """
+    key = ["entity_type", "internal_id"]
+    long = kv.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > per_line).select(*key, F.ceil(F.col("n") / per_line).alias("pieces"))
+    piece = F.coalesce(F.pmod(F.xxhash64("k", "v"), F.col("pieces")), F.lit(0))
     fields = F.array_sort(F.collect_list(F.concat_ws(":", "k", "v")))
-    return kv.groupBy("entity_type", "internal_id").agg(fields.alias("f")).select(
+    return kv.join(long, key, "left").groupBy(*key, piece.alias("piece")).agg(fields.alias("f")).select(
         "entity_type", F.concat_ws("\t", F.concat(F.lit("internal_id:"), "internal_id"), F.array_join("f", "\t")).alias("value"))
 
 

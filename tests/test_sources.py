@@ -104,3 +104,10 @@ def test_a_line_of_over_a_million_fields(spark):
     line = spark.range(1).select(F.lit("compound").alias("entity_type"), F.concat(F.lit("internal_id:7\t"), F.array_join(
         F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("k:"), i.cast("string"))), "\t")).alias("value"))
     assert A.parse_entity_lines(line).count() == n
+
+
+def test_hub_lines_come_in_pieces(spark):
+    kv = spark.createDataFrame([("compound", "7", "reactions_connected", f"r{i}") for i in range(500)] + [("compound", "8", "kegg", "C8")], "entity_type string, internal_id string, k string, v string")
+    lines = B.entity_lines(kv, per_line=100)
+    assert lines.count() > 5 and max(r.value.count("\t") for r in lines.collect()) < 200
+    assert sorted(map(tuple, A.parse_entity_lines(lines).collect())) == sorted(map(tuple, kv.collect()))
