@@ -7,6 +7,9 @@ position, after the bytes have been compared with that first occurrence.
 
 All of it is DataFrame functions. Chunk hashes are counted with a map-side combine; the texts of chunks are read again
 only where a bitmap of the repeated hashes allows it, and only documents that lose something are shuffled.
+
+Chunks miss what stands before the first and after the last boundary inside a passage, and most short passages.
+``remove_passages`` has no boundaries: every run of lines with words is held against all others.
 """
 
 from __future__ import annotations
@@ -112,6 +115,78 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return still.unionByName(changed)
 
 
+def _windows(text: Column, min_lines: int) -> Column:
+    """Array of structs ``start, last, hash, digest`` of the runs of ``min_lines`` lines with words and the lines between them."""
+
+    def of(lines):
+        def one(full):
+            def make(start, k):
+                last = F.get(full, k + (min_lines - 1))
+                body = lambda x: F.struct(start.alias("start"), last.alias("last"), F.xxhash64(x).alias("hash"), F.unhex(F.sha2(x, 256)).alias("digest"))
+                return let(F.array_join(F.slice(lines, start + 1, last - start + 1), "\n"), body)
+
+            return F.transform(F.slice(full, 1, F.greatest(F.size(full) - (min_lines - 1), F.lit(0))), make)
+
+        return let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORD)), one)
+
+    return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), of)
+
+
+def _without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines at the positions ``gone``."""
+
+    def of(lines):
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n")
+
+    return let(F.split(text, "\n", -1), of)
+
+
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+    """``docs`` without the repeated passages of ``min_lines`` lines with words or more, and the column ``lines_removed`` (long).
+
+    A run of ``min_lines`` such lines, with the wordless lines between them, is repeated where the same bytes (SHA-256) stand at
+    an earlier place: smallest id (null ids last), then digest of the text, then line. A line goes where it lies in a repeated run
+    and in no run whose first occurrence a later one refers to, so what has been removed stands whole at its first place.
+    Repeated passages of any length lose all lines, whatever stands around them, but for lines that are such a first
+    occurrence together with their neighbours. Odd rows fare as in ``remove_repeated``.
+    """
+    names = [c for c in docs.columns if c != "lines_removed"]
+    keyed = docs.select(*names, F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"))
+    runs = spread(keyed, _windows(F.col(text_col), min_lines), "c", "_id", "_th").select("_id", "_th", "c.start", "c.last", "c.hash", "c.digest")
+    often = cut(runs.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
+    place = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("start").alias("start"))
+    seen = runs.filter(may_be_in(often, ["hash"], ["hash"])).join(often, "hash", "left_semi")
+    seen = cut(seen.select("_id", "_th", "digest", place.alias("place"), F.sequence("start", "last").alias("span")))
+    firsts = seen.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("final")).filter("first <> final")
+    marked = seen.join(firsts.select("digest", "first"), "digest")
+    spans = lambda c: F.flatten(F.collect_list(F.when(c, F.col("span"))))
+    gone = marked.groupBy("_id", "_th").agg(
+        F.array_except(spans(F.col("place") != F.col("first")), spans(F.col("place") == F.col("first"))).alias("gone")).filter(F.size("gone") > 0)
+    gone = cut(gone.withColumnsRenamed({"_id": "_g_id", "_th": "_g_th", "gone": "_g_lines"}))
+    hit = may_be_in(gone, ["_g_id", "_g_th"], ["_id", "_th"])
+    same = F.col("_id").eqNullSafe(F.col("_g_id")) & (F.col("_th") == F.col("_g_th"))
+    new = F.when(F.col("_g_lines").isNull(), F.col(text_col)).otherwise(_without_lines(F.col(text_col), F.col("_g_lines")))
+    changed = keyed.filter(hit).join(gone, same, "left").select(
+        *[new.alias(c) if c == text_col else F.col(c) for c in names], F.coalesce(F.size("_g_lines"), F.lit(0)).cast("long").alias("lines_removed"))
+    return keyed.filter(~hit).select(*names, F.lit(0).cast("long").alias("lines_removed")).unionByName(changed)
+
+
+def remove_passages_sql(table: str = "documents", min_lines: int = 2) -> str:
+    """The same as SQL for unique ids, comparing whole runs."""
+    return f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i
+  FROM {table}),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+w AS (SELECT x.doc_id, x.i AS a, y.i AS b FROM f x JOIN f y ON y.doc_id = x.doc_id AND y.k = x.k + {min_lines - 1}),
+s AS (SELECT w.doc_id, a, b, string_agg(line, chr(10) ORDER BY i) AS body FROM w JOIN l ON l.doc_id = w.doc_id AND i BETWEEN a AND b GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) > 1 AS again, count(*) OVER (PARTITION BY body) > 1 AS often FROM s),
+g AS (SELECT l.doc_id, i FROM l JOIN r ON r.doc_id = l.doc_id AND i BETWEEN a AND b WHERE often GROUP BY ALL HAVING bool_and(again))
+SELECT t.doc_id, CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text, x.lines_removed
+FROM {table} t JOIN (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text, count(g.i) AS lines_removed
+  FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id) x ON x.doc_id = t.doc_id"""
+
+
 def remove_repeated_sql(table: str = "documents", min_lines: int = 2) -> str:
     """The same as SQL for unique ids, comparing whole chunks."""
     return f"""

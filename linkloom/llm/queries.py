@@ -79,6 +79,13 @@ def op6(spark, sf_dir):
     return docs.select("doc_id", "text", "chunks_removed", "lines_removed")
 
 
+@_query("op6_passage_dedup", line_dedup.remove_passages_sql())
+def op6_passages(spark, sf_dir):
+    """Documents without the passages of two lines or more that an earlier document holds, wherever a passage begins and ends."""
+    docs = line_dedup.remove_passages(_table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "text", "lines_removed")
+
+
 @_query("op1_quality_rules")
 def op1(spark, sf_dir):
     """Base rules and robust distances of every document."""
