@@ -185,6 +185,29 @@ def component_histogram(spark, sf):
     return N.size_histogram(N.component_sizes(sparse_net(spark, sf)))
 
 
+# the full link set: every line, in one giant component with long chains and hubs
+FULL = """
+links AS (SELECT 'R_' || l_orderkey AS a, 'M_' || l_partkey || '_c' AS b FROM lineitem)"""
+
+
+def full_net(spark, sf):
+    return table(spark, sf, "lineitem").select(key("R_", "l_orderkey").alias("src"), F.concat(key("M_", "l_partkey"), F.lit("_c")).alias("dst"))
+
+
+@query("components_all_lines", f"WITH RECURSIVE {FULL}, {COMPONENTS} SELECT node, component FROM cc")
+def components_all_lines(spark, sf):
+    return N.connected_components(full_net(spark, sf))
+
+
+@query(
+    "component_histogram_all_lines",
+    f"""WITH RECURSIVE {FULL}, {COMPONENTS}, {SIZES} SELECT 'compounds' AS kind, n_compounds AS size, count(*) AS n_components FROM sizes GROUP BY ALL
+UNION ALL SELECT 'reactions', n_reactions, count(*) FROM sizes GROUP BY ALL""",
+)
+def component_histogram_all_lines(spark, sf):
+    return N.size_histogram(N.component_sizes(full_net(spark, sf)))
+
+
 @query(
     "network_report",
     f"""WITH RECURSIVE {NET}, links AS (SELECT src AS a, dst AS b FROM grown), {COMPONENTS}, {SIZES}
