@@ -103,13 +103,23 @@ equation AS (
 )"""
 
 
-def equation_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """``(reaction_key, direction, status, parts)`` of reactions that have both sides."""
+# the same for every reaction with lines: an empty side is an empty list
+EQUATION_ALL = PARTICIPANT + "," + REACTION + """,
+equation AS (
+  SELECT p.reaction_key, any_value(direction) AS direction,
+         coalesce(string_agg(stoich || ' ' || compound_key, ' + ' ORDER BY pos) FILTER (side = 'left'), '') || ' ' || any_value(direction) || ' ' ||
+         coalesce(string_agg(stoich || ' ' || compound_key, ' + ' ORDER BY pos) FILTER (side = 'right'), '') AS equation
+  FROM participant p JOIN reaction USING (reaction_key) GROUP BY p.reaction_key
+)"""
+
+
+def equation_parts(spark: SparkSession, sf: str, one_sided: bool = False) -> DataFrame:
+    """``(reaction_key, direction, status, parts)`` of reactions that have both sides, or of all with ``one_sided``."""
     p = participants(spark, sf)
     parts = p.groupBy("reaction_key").agg(
         F.array_sort(F.collect_list(F.struct("side", "pos", "stoich", "stoich_raw", F.col("compound_key").alias("name")))).alias("parts"),
         F.count_distinct("side").alias("n"))
-    return parts.filter("n = 2").drop("n").join(reactions(spark, sf), "reaction_key")
+    return (parts if one_sided else parts.filter("n = 2")).drop("n").join(reactions(spark, sf), "reaction_key")
 
 
 def xref_rows(df: DataFrame, entity_type: str, entity_key, source_db: str, fields: dict) -> DataFrame:

@@ -84,11 +84,15 @@ def _terms(tokens: Column) -> Column:
 
 
 def parse_equation(col, plus: str = " + ") -> Column:
-    """Equation to ``array<struct<side, pos, stoich, stoich_raw, name>>`` in reading order; null without a sign."""
+    """Equation to ``array<struct<side, pos, stoich, stoich_raw, name>>`` in reading order; null without a sign.
+
+    An empty side gives no parts, also where the blank next to the sign has been trimmed.
+    """
     quoted = "\\Q" + plus + "\\E"
 
     def side(name: str, text: Column) -> Column:
-        return F.transform(_terms(F.split(text, quoted)), lambda t, i: F.struct(
+        terms = F.filter(F.split(text, quoted), lambda t: F.trim(text) != "")
+        return F.transform(_terms(terms), lambda t, i: F.struct(
             F.lit(name).alias("side"), i.alias("pos"), t["stoich"].alias("stoich"), t["stoich_raw"].alias("stoich_raw"),
             t["name"].alias("name")))
 
@@ -99,8 +103,7 @@ def parse_equation(col, plus: str = " + ") -> Column:
             side("left", F.substring(text, F.lit(1), at - 1)),
             side("right", F.substring(text, at + F.length(sign), F.length(text)))))
 
-    c = _c(col)
-    return let(F.struct(c.alias("text"), find_sign(c).alias("sign")), parts)
+    return let(F.concat(F.lit(" "), _c(col), F.lit(" ")), lambda c: let(F.struct(c.alias("text"), find_sign(c).alias("sign")), parts))
 
 
 def align_equation(name_eq, id_eq) -> Column:
@@ -171,7 +174,7 @@ def format_equation(parts, sign, with_stoich: bool = True) -> Column:
 
 
 def equation_sides(col) -> Column:
-    """``struct<sign, reversible, left, right>`` of an id equation, both sides split on ``+``."""
+    """``struct<sign, reversible, left, right>`` of an id equation, both sides split on ``+``; an empty side is an empty list."""
     c = _c(col)
     sign = (
         F.when(F.contains(c, F.lit("<=>")), F.lit("<=>"))
@@ -183,7 +186,7 @@ def equation_sides(col) -> Column:
     right = F.substring(c, at + F.length(sign), F.length(c))
 
     def ids(t: Column) -> Column:
-        return F.transform(F.split(t, r"\+"), lambda x: F.trim(x))
+        return F.transform(F.filter(F.split(t, r"\+"), lambda x: F.trim(t) != ""), lambda x: F.trim(x))
 
     return F.struct(
         sign.alias("sign"),
