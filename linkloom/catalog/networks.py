@@ -334,11 +334,14 @@ sp AS (SELECT DISTINCT sample, protein_key FROM ann JOIN pa USING (id_type, id_v
 om AS (SELECT sample, metabolite, count(DISTINCT (reaction_key, compound_key)) AS n FROM sp JOIN rp USING (protein_key) JOIN linked USING (reaction_key) JOIN mapping USING (compound_key) GROUP BY ALL)"""
 
 
-def _sample_frames(spark, sf):
+ALL_NAMES_SQL = SAMPLE_SQL.replace(" WHERE p_name LIKE 'red %'", "")
+
+
+def _sample_frames(spark, sf, names="p_name like 'red %'"):
     s, c, p = table(spark, sf, "supplier"), table(spark, sf, "customer"), table(spark, sf, "part")
     ann = xref_rows(s, "sample", key("S", "s_suppkey"), "supplier", {"enzyme_ec": key("1.1.1.", "s_nationkey"), "metacyc": key("SEG", F.col("s_suppkey") % 7)}).withColumnRenamed("entity_key", "sample")
     pid = xref_rows(c, "protein", key("P", "c_custkey"), "customer", {"enzyme_ec": key("1.1.1.", "c_nationkey"), "metacyc": key("SEG", F.col("c_custkey") % 50)}).withColumnRenamed("entity_key", "protein_key")
-    wanted = p.filter("p_name like 'red %'").select(F.upper("p_name").alias("id")).distinct().unionByName(
+    wanted = p.filter(names).select(F.upper("p_name").alias("id")).distinct().unionByName(
         table(spark, sf, "region").select(F.concat(F.lit("unknown "), "r_name").alias("id")))
     x = xref_rows(p, "compound", key("C", "p_partkey"), "part", {"synonyms": F.col("p_name")})
     mapping, unmapped = S.map_metabolites(wanted, x)
@@ -402,6 +405,38 @@ def report_matrix(spark, sf):
     return S.report_matrix(S.organism_metabolites(f["pa"], f["ann"], f["rp"], f["linked"], f["mapping"]), RED)
 
 
+def _all_names(spark, sf):
+    return _sample_frames(spark, sf, "p_name is not null")
+
+
+@query("map_metabolites_all_names", f"WITH {ALL_NAMES_SQL} SELECT metabolite, compound_key FROM mapping")
+def map_metabolites_all_names(spark, sf):
+    return _all_names(spark, sf)["mapping"]
+
+
+@query("linked_reactions_all_names", f"WITH {ALL_NAMES_SQL} SELECT reaction_key, protein_key, (SELECT count(*) FROM linked l WHERE l.reaction_key = rp.reaction_key) AS n_compounds FROM rp")
+def linked_reactions_all_names(spark, sf):
+    f = _all_names(spark, sf)
+    return f["rp"].join(f["linked"].groupBy("reaction_key").agg(F.count("*").alias("n_compounds")), "reaction_key")
+
+
+@query("organism_proteins_all_names", f"WITH {ALL_NAMES_SQL} SELECT sample, protein_key FROM sp")
+def organism_proteins_all_names(spark, sf):
+    f = _all_names(spark, sf)
+    return S.organism_proteins(f["pa"], f["ann"])
+
+
+@query(
+    "report_long_all_names",
+    f"""WITH {ALL_NAMES_SQL} SELECT sample, metabolite, coalesce(om.n, 0) AS n
+FROM (SELECT DISTINCT sample FROM om) CROSS JOIN (SELECT DISTINCT metabolite FROM om) LEFT JOIN om USING (sample, metabolite)""",
+)
+def report_long_all_names(spark, sf):
+    """Every metabolite that occurs, with zeros."""
+    f = _all_names(spark, sf)
+    return S.report_long(S.organism_metabolites(f["pa"], f["ann"], f["rp"], f["linked"], f["mapping"]), zeros=True)
+
+
 @query(
     "sif_organisms",
     f"""WITH {SAMPLE_SQL} SELECT compound_key AS SOURCE, 'cr' AS INTERACTION, reaction_key AS TARGET FROM linked

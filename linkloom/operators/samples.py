@@ -81,6 +81,18 @@ def report_matrix(counts: DataFrame, columns: list[str] | None = None) -> DataFr
     return wide.agg(F.sum("n").cast("bigint")).na.fill(0)
 
 
+def report_long(counts: DataFrame, zeros: bool = False) -> DataFrame:
+    """``(sample, metabolite, n)`` of every metabolite that occurs; with ``zeros`` a row for each sample and metabolite.
+
+    Unlike the columns of ``report_matrix`` the names need no list, and their number has no bound.
+    """
+    counts = counts.groupBy("sample", "metabolite").agg(F.sum("n").cast("bigint").alias("n"))
+    if not zeros:
+        return counts
+    grid = counts.select("sample").distinct().crossJoin(counts.select("metabolite").distinct())
+    return grid.join(counts, ["sample", "metabolite"], "left").na.fill(0, ["n"])
+
+
 def top_participants(participant: DataFrame, names: DataFrame, n: int = 100) -> DataFrame:
     """The ``n`` compounds that occur in most equations, with their names ``(compound_key, name)``."""
     top = participant.groupBy("compound_key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "compound_key").limit(n)
