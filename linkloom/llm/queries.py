@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, lattice, line_dedup, mixing, ngram_join, ordering, pii, quality, token_counts, warc
+from linkloom.llm import bpe, conversation, lattice, line_dedup, mixing, ngram_join, ordering, pii, quality, recompression, resampling, token_counts, warc
 
 QUERIES, SQL = {}, {}
 
@@ -96,3 +96,21 @@ def op1(spark, sf_dir):
 def op3(spark, sf_dir):
     """Embeddings of one label with a cosine of 0.93 or more: links, components and what to keep."""
     return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op11_importance_resampling", resampling.resample_sql())
+def op11(spark, sf_dir):
+    """A quarter of the documents with words enough, drawn towards the features of ``benchmark``."""
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op12_conversation_repair", conversation.repair_sql())
+def op12(spark, sf_dir):
+    """Conversations with damaged rows, and the cheapest edits that let their roles alternate again."""
+    return conversation.repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
+@_query("op13_substring_dedup", recompression.remove_substrings_sql())
+def op13(spark, sf_dir):
+    """Documents without the words of passages of fifty words or more that an earlier document holds."""
+    return recompression.remove_substrings(_table(spark, sf_dir, "documents")).drop("kept")
