@@ -10,8 +10,9 @@ are interior to a passage.
 Spark's rounds then work on symbols, from many words to few:
 
 1. Every window of ``window`` words has an anchor, the interior symbol of smallest hash (where runs leave no interior
-   symbol, a word). Neighbouring windows share anchors; the words of all windows of one anchor are a block. Equal
-   windows have equal anchors. Blocks, about one for 15 words, are counted by anchor and by 128-bit digest of the block.
+   symbol, a word), known by the words it depends on. Neighbouring windows share anchors; the words of all windows of one
+   anchor are a block. Equal windows have equal anchors. Blocks, about one for 15 words, are counted by anchor and by
+   128-bit digest of the block.
 2. A block that an earlier document holds whole is a verified repeat: all its windows go. This settles copies and the
    inside of common passages, with one grouped minimum that is combined before it travels.
 3. Where one anchor has several different blocks, at the ends of passages and around edits, windows of one document for
@@ -138,7 +139,7 @@ def anchors(names: np.ndarray, at: np.ndarray, window: int = WINDOW, rounds: int
     size = np.maximum(np.diff(at) - window + 1, 0)
     doc = np.repeat(np.arange(len(size)), size)
     starts = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[:-1], size)
-    picked, name = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.uint64)
+    picked, begin, end = (np.zeros(len(starts), np.int64) for _ in range(3))
     todo = np.ones(len(starts), bool)
     for sym, salt in ((high, _A), (words, _B)):
         first = np.searchsorted(sym.left, starts[todo], "left")
@@ -147,15 +148,15 @@ def anchors(names: np.ndarray, at: np.ndarray, window: int = WINDOW, rounds: int
         keys = (_mix(sym.name ^ salt) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(sym.name), dtype=np.uint64)
         which = (_least(keys, first[inner], last[inner]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         here = np.flatnonzero(todo)[inner]
-        picked[here], name[here] = sym.start[which] * 2 + (sym is words), _mix(sym.name[which] + salt)
+        picked[here], begin[here], end[here] = sym.start[which] * 2 + (sym is words), sym.left[which], sym.right[which]
         todo[here] = False
         if not todo.any():
             break
     if not len(starts):
-        return doc, name, starts, starts
+        return doc, starts, starts, starts
     head = np.flatnonzero(np.concatenate([[True], (picked[1:] != picked[:-1]) | (doc[1:] != doc[:-1])]))
     tail = np.append(head[1:], len(starts)) - 1
-    return doc[head], name[head], starts[head], starts[tail]
+    return doc[head], _digests(names, begin[head], end[head])[:, 0], starts[head], starts[tail]
 
 
 def _digests(names: np.ndarray, first, stop) -> np.ndarray:
@@ -176,7 +177,7 @@ def _blocks(texts: DataFrame, key: str, window: int, rounds: int) -> DataFrame:
             body = _digests(names, lo, hi + window)
             rows = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id").take(rows), part.column("th").take(rows), pa.array(x.view(np.int64)), pa.array(body[:, 0]), pa.array(body[:, 1]),
+                [part.column("id").take(rows), part.column("th").take(rows), pa.array(x), pa.array(body[:, 0]), pa.array(body[:, 1]),
                  pa.array((lo - at[doc]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32))], names=["id", "th", "x", "b1", "b2", "lo", "n"])
 
     return map_arrow(texts, run, f"id {key}, th long, x long, b1 long, b2 long, lo int, n int")
