@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -17,6 +18,14 @@ _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SPARK_DEFAULT = "67108864b"
 
 
+def give_back() -> None:
+    """Return free memory of this worker to the machine: it may sit idle beside workers of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU C library only
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package sent to the executors, and batches bounded by bytes."""
     spark = df.sparkSession
@@ -26,7 +35,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
 
     def run(batches):
         yield from fn(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -47,6 +56,13 @@ def slices(batches, column: str, max_bytes: int = 2 << 20):
         pa.default_memory_pool().release_unused()
 
 
+def deal(df: DataFrame, tasks_per_core: int = 4) -> DataFrame:
+    """A short list dealt over the cluster, one row a task as far as cores allow; the number given keeps adaptive execution from merging them."""
+    spark = df.sparkSession
+    most = max(tasks_per_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(1, min(df.count(), most)))
+
+
 def shared_folder(spark, name: str) -> str:
     """A new folder's URI below ``spark.checkpoint.dir``, where the driver and all executors see the same files."""
     ensure_checkpoint_dir(spark)

@@ -7,10 +7,12 @@ lengths of the tokens, so a token that ends inside a character is given that who
 
 The vocabulary is a rank file: a pair may merge when its bytes are a token, lowest rank first, leftmost first. All
 splits of a token into two tokens are therefore given to the model as merges in the order of the token's rank. That
-leaves one freedom: two different splits of the same token that overlap. Such a token overlaps itself by whole
-periods, so only matches with a repeated block followed by the block's first character can be concerned; those are
-checked against ``tiktoken`` and take its answer. So do texts with code points that are unassigned in this Python's
-Unicode tables, because libraries may disagree about their class.
+leaves one freedom: two different splits of the same token that overlap, three tokens in a row of which the first two
+and the last two are that token. The vocabulary says which byte strings these are, a few hundred; one automaton pass
+finds them, and matches that hold one take ``tiktoken``'s answer. So do texts with code points that are unassigned in
+this Python's Unicode tables, because libraries may disagree about their class.
+
+Work is linear in the text also where a match has no blanks (unspaced scripts, encoded data).
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ from pyspark.sql import functions as F
 from linkloom.llm.arrow import map_arrow, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE = 300_000  # entries of at most CACHE_CHARS characters kept by a worker
-CACHE_CHARS = 40
+CACHE_BYTES = 16 << 20  # of frequent matches kept by a worker, counted with CACHE_ENTRY for each
+CACHE_ENTRY = 200
+CACHE_CHARS = 40  # longer matches are not kept
+SLICE_BYTES = 256 << 10  # of texts that are split into Python strings at once
 # the splitting pattern for texts of ASCII characters only; what it finds there is what the vocabulary's own pattern finds
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-SELF_OVERLAP = re.compile(rb"((.).*)\1\2", re.S)
 
 
 def byte_characters() -> list[str]:
@@ -43,6 +46,17 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def overlapping(tokens) -> set[bytes]:
+    """Three tokens in a row whose first two and last two give the same token by different splits."""
+    found = set()
+    for token in tokens:
+        for i in range(1, len(token)):
+            one, two = token[:i], token[i:]
+            if one != two and one in tokens and two in tokens and token.startswith(two) and token[len(two):] in tokens:
+                found.add(one + two + token[len(two):])
+    return found
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -54,6 +68,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import ahocorasick
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer, models, pre_tokenizers
@@ -74,7 +89,12 @@ class Encoder:
         for token, rank in self.model.get_vocab().items():
             self.token_bytes[rank] = bytes(back[c] for c in token)  # the byte table, read backwards
         self.token_size = np.array([len(t or b"") for t in self.token_bytes], dtype=np.int64)
+        self.doubtful = ahocorasick.Automaton()
+        for raw in overlapping(self.ranks):
+            self.doubtful.add_word(raw.decode("latin-1"), True)
+        self.doubtful.make_automaton()
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
         self._known: set[str] = set()
         self._tiktoken = None
 
@@ -93,29 +113,44 @@ class Encoder:
             self._known |= new
         return bad
 
+    def _by_tiktoken(self, text: str) -> bytes | None:
+        """The ids that ``tiktoken`` gives; none where its pattern engine gives up, as it does on a million blanks."""
+        try:
+            return np.array(self.tiktoken.encode_ordinary(text), dtype="<u4").tobytes()
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":
+                raise
+            return None
+
+    def _doubted(self, raw: bytes) -> bool:
+        return len(self.doubtful) > 0 and next(self.doubtful.iter(raw.decode("latin-1")), None) is not None
+
     def _ids(self, pieces: list[str]):
         """The ids of each piece as little-endian 32-bit integers."""
         for piece, out in zip(pieces, self.model.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
             ids, raw = out.ids, piece.encode()
-            if len(ids) > 1 and SELF_OVERLAP.search(raw):
+            if len(ids) > 1 and self._doubted(raw):
                 ids = self.tiktoken._encode_single_piece(raw)
             yield piece, np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE:
+        if self.cached > CACHE_BYTES:
             self.cache.clear()
-        split = [self.find_ascii(t) if t.isascii() else None if self._unsure(t) else self.find(t) for t in texts]
+            self.cached = 0
+        whole = {i: ids for i, t in enumerate(texts) if not t.isascii() and self._unsure(t) and (ids := self._by_tiktoken(t)) is not None}
+        split = [None if i in whole else self.find_ascii(t) if t.isascii() else self.find(t) for i, t in enumerate(texts)]
         here = self.cache
         missing = [p for p in set().union(*[p for p in split if p]) if p not in here]
         if missing:
             new = dict(self._ids(missing))
-            self.cache.update((k, v) for k, v in new.items() if len(k) <= CACHE_CHARS)
+            kept = {k: v for k, v in new.items() if len(k) <= CACHE_CHARS}
+            self.cached += sum(2 * len(k) + len(v) for k, v in kept.items()) + CACHE_ENTRY * len(kept)
+            self.cache.update(kept)
             if any(len(k) > CACHE_CHARS for k in new):
                 here = {**self.cache, **new}
         get = here.__getitem__
-        return [b"".join(map(get, p)) if p is not None else np.array(self.tiktoken.encode_ordinary(t), dtype="<u4").tobytes()
-                for t, p in zip(texts, split, strict=True)]
+        return [whole[i] if p is None else b"".join(map(get, p)) for i, p in enumerate(split)]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids; whole again where tokens split a character."""
@@ -159,7 +194,7 @@ def encode_texts(docs: DataFrame, columns: list[str], id_col: str = "doc_id", te
 
     def run(batches):
         enc = encoder(place)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             texts = [t or "" for t in part.column("text").to_pylist()]
             ids = enc.encode(texts)
             out = {"n_tokens": lambda: [len(x) // 4 for x in ids], "ids": lambda: ids,

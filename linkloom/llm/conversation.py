@@ -36,7 +36,8 @@ SYSTEM, USER, ASSISTANT, OTHER = range(4)
 NAMES = {2: "user", 3: "assistant"}  # the role by which a state is reached
 KEEP, REROLE, DELETE, INSERT, UNREPAIRED = 0, 3, 4, 3, 3
 STRETCH = 512  # turns whose rows are packed by one task
-CACHE = 50_000  # edit strings of short conversations kept by a worker
+CACHE = 50_000  # edit strings of conversations of at most CACHE_ROWS rows kept by a task
+CACHE_ROWS = 64
 _NEXT = (2, 2, 3, 2)  # the state after an inserted or renamed message
 _END = ((0, ""), (2 * INSERT, "II"), (INSERT, "I"), (0, ""))
 LETTER = r"[^\x20\x09-\x0D]"
@@ -240,22 +241,22 @@ def repair_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
 
     def solve(batches):
         known: dict[bytes, tuple[int, str]] = {}
-        kind, done, name, codes, span, writer = None, [], None, None, None, None
+        kind, done, name, codes, span, writer, cost = None, [], None, None, None, None, 0
 
-        def begin():
-            codes_ = bytes(codes)
-            if codes_ not in known:
+        def best():
+            row_codes = bytes(codes)
+            if len(row_codes) > CACHE_ROWS:
+                return repair(row_codes)
+            if row_codes not in known:
                 if len(known) >= CACHE:
                     known.clear()
-                known[codes_] = repair(codes_)
-            return Writer(known[codes_][1])
+                known[row_codes] = repair(row_codes)
+            return known[row_codes]
 
         def close():
-            codes_ = bytes(codes)
-            cost, audit = known[codes_] if codes_ in known else repair(codes_)
-            faults = np.bincount(np.frombuffer(codes_, np.uint8) >> 2, minlength=4).tolist()
+            faults = np.bincount(np.frombuffer(codes, np.uint8) >> 2, minlength=4).tolist()
             gaps = span[1] - span[0] + 1 - span[2] if span[0] is not None else 0
-            done.append((name, gaps, *faults[1:], illegal(codes_), cost, audit, writer.digest()))
+            done.append((name, gaps, *faults[1:], illegal(codes), cost, writer.audit, writer.digest()))
 
         def out():
             types = [kind, *[pa.int64()] * 6, pa.string(), pa.string()]
@@ -274,7 +275,9 @@ def repair_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
                     if least is not None:
                         span = [least if span[0] is None else span[0], most, span[2] + turns]
                 else:
-                    writer = writer or begin()
+                    if writer is None:
+                        cost, audit = best()
+                        writer = Writer(audit)
                     writer.row(role, text)
             if len(done) > 1000:
                 yield out()

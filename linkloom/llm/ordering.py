@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.arrow import map_arrow, put_file, shared_folder, slices, storage
+from linkloom.llm.arrow import deal, map_arrow, put_file, shared_folder, slices, storage
 from linkloom.session import cut
 
 ROUNDS = 6
@@ -177,7 +177,7 @@ def read_slots(shards: DataFrame, start: int = 0, stop: int | None = None) -> Da
     """
     last = F.lit(stop) if stop is not None else F.col("n_sequences")
     wanted = shards.withColumns({"from": F.greatest(F.col("first_slot"), F.lit(start)), "to": F.least(F.col("first_slot") + F.col("n_slots"), last)})
-    wanted = wanted.filter(F.col("from") < F.col("to")).repartition(F.xxhash64("shard"))
+    wanted = deal(wanted.filter(F.col("from") < F.col("to")))
 
     def run(batches):
         for batch in batches:

@@ -33,6 +33,7 @@ from linkloom.llm.arrow import map_arrow, slices
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "address", "account")
 SCHEMES = ("://", "mailto:", "tel:", "sip:", "xmpp:")
+NEXT_SCHEME = re.compile(rf"(?<![^\W_])(?:{'|'.join(SCHEMES[1:])})", re.I)
 CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "passport", "ssn")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -93,27 +94,48 @@ def anchors():
     return _machine
 
 
-def _address(text: str, start: int, word: str) -> tuple[int, int] | None:
-    found = URL_RIGHT.match(text, start + len(word))
-    if not found:
-        return None
-    end = found.end()
-    while end > found.start() and text[end - 1] in ".,;:!?)]}":
+class Runs:
+    """Runs of URL characters of one text; each run's end is found once, whatever number of schemes it holds."""
+
+    def __init__(self, text: str):
+        self.text, self.begin, self.stop, self.trimmed = text, 0, 0, 0
+
+    def end(self, at: int) -> tuple[int, int]:
+        """End of the run around ``at``, with closing punctuation and without."""
+        if not self.begin <= at < self.stop:
+            found = URL_RIGHT.match(self.text, at)
+            self.begin, self.stop = at, found.end() if found else at
+            self.trimmed = _trim(self.text, at, self.stop)
+        return self.stop, self.trimmed
+
+
+def _trim(text: str, start: int, end: int) -> int:
+    while end > start and text[end - 1] in ".,;:!?)]}":
         end -= 1
-    body = text[found.start() : end]
+    return end
+
+
+def _address(text: str, start: int, word: str, runs: Runs) -> tuple[int, int] | None:
+    """The span of an address by its scheme; no part of a run is parsed twice: an authority ends at a slash, the others at the next scheme."""
+    at = start + len(word)
     if word == "://":
+        _, end = runs.end(at)
         left = start
         while left and text[left - 1] in SCHEME_LEFT:
             left -= 1
         while left < start and not text[left].isalpha():
             left += 1
-        host = AUTHORITY.match(body)
+        host = AUTHORITY.match(text, at, end)
         if left == start or not host or not (host[1] or host[2].startswith("[") or IP.fullmatch(host[2])):
             return None
         return left, end
     if start and text[start - 1].isalnum():
         return None
-    rest = body.split("?")[0]
+    stop, _ = runs.end(at)
+    following = NEXT_SCHEME.search(text, at, stop)
+    cut = following.start() if following else stop
+    end = _trim(text, at, cut)
+    rest = text[at:end].split("?")[0]
     good = TELEPHONE.fullmatch(rest) if word == "tel:" else "@" in rest and HOST.fullmatch(rest.rpartition("@")[2].split(";")[0])
     return (start, end) if good else None
 
@@ -137,6 +159,7 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)
     last_digit = -2
+    runs = Runs(text)
     for at, (what, size) in anchors().iter(text):
         if what == "digit":
             begins, last_digit = at != last_digit + 1, at
@@ -167,7 +190,7 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
             start = at - size + 1
             kind = "address" if what == "scheme" else "account"
             if start >= done[kind]:
-                span = _address(text, start, text[start : at + 1].lower()) if what == "scheme" else _account(text, start, at + 1)
+                span = _address(text, start, text[start : at + 1].lower(), runs) if what == "scheme" else _account(text, start, at + 1)
                 if span and span[0] >= done[kind]:
                     done[kind] = span[1]
                     spans[kind].append(span)

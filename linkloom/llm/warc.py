@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.arrow import map_arrow, shared_folder, slices, storage
+from linkloom.llm.arrow import deal, map_arrow, shared_folder, slices, storage
 from linkloom.session import cut
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -251,8 +251,8 @@ def read_archives(archives: DataFrame, payloads: bool = True, archive_col: str =
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     kinds = ", ".join(f"{n} {'binary' if n == 'payload' else 'long' if n == 'payload_bytes' else 'string'}" for n in names)
-    spread = archives.select(F.col(archive_col).alias("archive")).repartition(F.xxhash64("archive"))
-    return map_arrow(spread, run, f"archive string, offset long, {kinds}")
+    dealt = deal(archives.select(F.col(archive_col).alias("archive")))
+    return map_arrow(dealt, run, f"archive string, offset long, {kinds}")
 
 
 def list_archives(spark: SparkSession, path: str) -> DataFrame:

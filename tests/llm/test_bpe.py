@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -51,6 +52,30 @@ def test_overlapping_merges_and_unassigned_characters(enc):
         assert enc.decode(plain(enc, text)) == text.encode()
 
 
+def test_every_doubtful_token_row(enc):
+    rows = bpe.overlapping(enc.ranks)
+    assert rows and all(enc._doubted(raw) for raw in rows)
+    for raw in rows:
+        text = raw.decode("utf-8", "ignore")
+        for t in (text, text * 2, "x" + text + text[:1], text * 7):
+            assert enc.encode([t])[0] == plain(enc, t)
+
+
+def test_one_match_of_a_million_characters(spark, enc):
+    rng = random.Random(2)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1_000_000))
+    coded = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    for text in (han, coded, "a" * 1_000_000, "=" * 1_000_000, "日本" * 500_000, "ab" * 500_000, " " * 1_000_000):
+        begun = time.perf_counter()
+        got = enc.encode([text])[0]
+        assert time.perf_counter() - begun < 5, text[:10]
+        # the whole text is one match; tiktoken's own pattern gives up on a million blanks
+        assert got == np.array(enc.tiktoken._encode_single_piece(text.encode()), dtype="<u4").tobytes()
+    assert enc.decode(enc.encode(["\u0378" + " " * 1_000_000])[0]) == ("\u0378" + " " * 1_000_000).encode()
+    df = spark.createDataFrame([(1, han), (2, coded)], "doc_id long, text string")
+    assert [r.n_tokens for r in bpe.encode_texts(df, ["doc_id", "n_tokens"][1:]).orderBy("doc_id").collect()] == [len(plain(enc, t)) // 4 for t in (han, coded)]
+
+
 def test_decode_joins_split_characters(spark, enc):
     ids = enc.encode(["𝔘𝔫𝔦 日本"])[0]
     df = spark.createDataFrame([(1, bytearray(ids), "x"), (2, None, "y"), (3, bytearray(), "z")], "k long, ids binary, decoded string")
@@ -59,7 +84,7 @@ def test_decode_joins_split_characters(spark, enc):
 
 
 def test_cache_stays_bounded(enc, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 10)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 10 * bpe.CACHE_ENTRY)
     for i in range(30):
         enc.encode([f"word{i} and{i} more{i}"])
     assert len(enc.cache) < 40

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -82,8 +83,18 @@ def test_awkward_rows(spark):
 
 
 def test_long_runs_stay_linear():
-    for text in ("1" * 200_000, "a" * 200_000 + "@", "+" * 100_000, "a@" * 100_000, "1." * 100_000, "iban " * 50_000, "1 " * 100_000):
+    for text in ("x://" * 250_000, "mailto:" * 150_000, "mailto:a@b.co," * 80_000, "x://y@" * 150_000, ".mailto:" * 150_000, "x://1.2.3.4/" * 80_000, "1" * 200_000, "a" * 200_000 + "@", "+" * 100_000, "a@" * 100_000, "1." * 100_000, "iban " * 50_000, "1 " * 100_000):
+        begun = time.perf_counter()
         pii.find_spans(text)
+        assert time.perf_counter() - begun < 5, text[:20]
+
+
+@pytest.mark.parametrize("text, spans", [
+    ("see http://jo@h.org/?u=http://x, ok", ["http://jo@h.org/?u=http://x"]), ("mailto:a@b.co,mailto:c@d.co.", ["mailto:a@b.co", "mailto:c@d.co"]),
+    ("mailto:a@b.co?body=http://x/ y", ["mailto:a@b.co?body=http://x/"]), ("http://x/,sip:a@b.co;", ["sip:a@b.co"]),
+])
+def test_several_schemes_in_a_run(text, spans):
+    assert [text[a:b] for a, b in pii.find_spans(text)["address"]] == spans
 
 
 def test_mask(spark):
