@@ -14,8 +14,9 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def dedup_lines(spark, docs, sf_dir):
-    """Passages that an earlier document holds are cut from the texts; ``n_chars`` follows."""
+    """Passages that an earlier document holds are cut from the texts; ``n_chars`` follows. A document that loses all its words goes."""
     cleaned = line_dedup.remove_repeated(docs)
+    cleaned = cleaned.filter((F.col("lines_removed") == 0) | F.col("text").rlike(line_dedup.WORD))
     chars = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", chars).select(*docs.columns)
 
