@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from linkloom.llm import bpe, mixing, quality
 from tests.llm import test_line_dedup, test_ngram_join
-from tests.llm.helpers import SF, awkward_docs, duck, table
+from tests.llm.helpers import SF, WORD, awkward_docs, duck, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,7 +27,8 @@ def test_each_stage_against_brute_force(spark):
 
     lines = spark.createDataFrame(dedup_lines(spark, kept, SF).collect(), docs.schema)
     want = test_line_dedup.by_hand(pairs(kept))
-    assert dict(pairs(lines)) == {i: t for i, (t, *_) in want.items()}
+    emptied = {i for i, (t, *_) in want.items() if want[i][2] and not WORD.search(t)}
+    assert dict(pairs(lines)) == {i: t for i, (t, *_) in want.items() if i not in emptied}
     assert all(r.n_chars == len(r.text) for r in lines.collect() if want[r.doc_id][2])
 
     single = spark.createDataFrame(dedup_documents(spark, lines, SF).collect(), docs.schema)
@@ -52,3 +53,12 @@ def test_awkward_rows_pass_every_stage(spark):
         assert stage(spark, docs, SF).count() >= 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_emptied_copies_leave_with_the_line_stage(spark):
+    """Of a large group of copies one text goes on; rows that had no words, and rows that keep a word, stay."""
+    text = "\n".join(f"line {i} has words {i * 7}" for i in range(40))
+    rows = [(i, text, "en", "a", len(text)) for i in range(2000)] + [(3000, "", "en", "a", 0), (3001, None, "en", "a", None), (3002, "own words\n" + text, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, SF).collect()}
+    assert set(got) == {0, 3000, 3001, 3002} and got[0] == text and got[3000] == "" and got[3001] is None and "own words" in got[3002]
