@@ -19,6 +19,7 @@ from linkloom.catalog.roles import (
     table,
     xref_rows,
 )
+from linkloom.operators import incremental as I
 from linkloom.operators import matching as M
 from linkloom.operators import resolve as R
 from linkloom.operators.matching import MatchConfig, Rule
@@ -199,6 +200,33 @@ def resolve_score_only(spark, sf):
     return R.clusters(compound_xref(spark, sf, True), rules)
 
 
+@query("resolve_incremental", cluster_sql(True, "SELECT node AS entity_key, component AS cluster_key FROM cc"))
+def resolve_incremental(spark, sf):
+    """Half of the compounds are stored, the others arrive in two batches; the same as resolving all at once."""
+    x = compound_xref(spark, sf, True)
+    n = F.substring("entity_key", 2, 20).cast("long")
+    store = I.insert(I.empty(spark), x.filter(n % 2 == 0), PART_RULES)
+    for part in (1, 3):
+        store = I.insert(store, x.filter(n % 4 == part), PART_RULES)
+    return store.cluster
+
+
+# names of two colours are withdrawn after resolution
+WITHDRAWN = "id_type = 'name' AND (id_value LIKE 'red %' OR id_value LIKE 'blue %')"
+
+
+@query(
+    "resolve_after_removal",
+    cluster_sql(True, "SELECT node AS entity_key, component AS cluster_key FROM cc").replace(
+        "WHERE id_value IS NOT NULL", f"WHERE id_value IS NOT NULL AND NOT ({WITHDRAWN})"),
+)
+def resolve_after_removal(spark, sf):
+    """Clusters once some names are gone: the same as resolving anew what is left."""
+    x = compound_xref(spark, sf, True)
+    store = I.insert(I.empty(spark), x, PART_RULES)
+    return I.remove(store, x, x.filter(WITHDRAWN), PART_RULES)[0].cluster
+
+
 @query(
     "merged_xref",
     cluster_sql(True, """SELECT 'compound' AS entity_type, component AS entity_key, id_type, id_value, count(*) AS n,
