@@ -507,7 +507,7 @@ def kegg_enzyme_pages(spark, sf):
 
 @query(
     "kegg_reaction_pages",
-    f"""WITH {EQUATION} SELECT 'x' AS part, reaction_key AS entity_key, 'kegg' AS k, reaction_key AS v FROM equation UNION ALL SELECT 'x', reaction_key, 'reaction_str', replace(equation, 'C', 'name ') FROM equation
+    f"""WITH {EQUATION} SELECT 'x' AS part, reaction_key AS entity_key, 'kegg' AS k, reaction_key AS v FROM equation UNION ALL SELECT 'x', reaction_key, 'reaction_str', trim(replace(equation, 'C', 'name ')) FROM equation
 UNION ALL SELECT 'x', reaction_key, 'pathways', 'rn1 : Path' FROM equation UNION ALL SELECT 'x', reaction_key, 'rhea', substr(reaction_key, 2) FROM equation UNION ALL SELECT 'e', reaction_key, 'rp', '1.1.1.1' FROM equation
 UNION ALL SELECT 'p', reaction_key, side || pos, stoich || ' ' || compound_key FROM participant WHERE reaction_key IN (SELECT reaction_key FROM equation)""",
 )
@@ -574,7 +574,7 @@ def hmdb_protein_pages(spark, sf):
 
 @query(
     "hmdb_reaction_pages",
-    f"""WITH {PARTICIPANT}, n AS (SELECT DISTINCT reaction_key FROM participant GROUP BY ALL HAVING count(DISTINCT side) = 2)
+    f"""WITH {PARTICIPANT}, n AS (SELECT DISTINCT reaction_key FROM participant)
 SELECT substr(reaction_key, 2) AS entity_key, side || pos AS k, 'HMDB' || substr(compound_key, 2) AS v FROM participant JOIN n USING (reaction_key)
 UNION ALL SELECT substr(reaction_key, 2), 'kegg', reaction_key FROM n UNION ALL SELECT substr(reaction_key, 2), 'hmdb', substr(reaction_key, 2) FROM n UNION ALL SELECT substr(reaction_key, 2), 'rp', 'HMDBP7' FROM n""",
 )

@@ -152,19 +152,19 @@ def metabolite_count(spark, sf):
     return N.n_metabolites(grown(spark, sf)[0])
 
 
-# a sparse network with many components: returned lines of large quantity
-SPARSE = """
-links AS (SELECT 'R_' || l_orderkey AS a, 'M_' || l_partkey || '_c' AS b FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48)"""
+# the full link set: every line, in one giant component with long chains and hubs
+FULL = """
+links AS (SELECT 'R_' || l_orderkey AS a, 'M_' || l_partkey || '_c' AS b FROM lineitem)"""
 
 
-def sparse_net(spark, sf):
-    return table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_quantity > 48").select(
-        key("R_", "l_orderkey").alias("src"), F.concat(key("M_", "l_partkey"), F.lit("_c")).alias("dst"))
+def full_net(spark, sf):
+    return table(spark, sf, "lineitem").select(key("R_", "l_orderkey").alias("src"), F.concat(key("M_", "l_partkey"), F.lit("_c")).alias("dst"))
 
 
-@query("components", f"WITH RECURSIVE {SPARSE}, {COMPONENTS} SELECT node, component FROM cc")
+@query("components", f"WITH RECURSIVE {FULL}, {COMPONENTS} SELECT node, component FROM cc")
 def components(spark, sf):
-    return N.connected_components(sparse_net(spark, sf))
+    """Components over every line."""
+    return N.connected_components(full_net(spark, sf))
 
 
 @query("components_dense", f"WITH RECURSIVE {NET}, links AS (SELECT src AS a, dst AS b FROM grown), {COMPONENTS} SELECT node, component FROM cc")
@@ -178,20 +178,11 @@ SIZES = "sizes AS (SELECT component, count(*) FILTER (node NOT LIKE 'R%') AS n_c
 
 @query(
     "component_histogram",
-    f"""WITH RECURSIVE {SPARSE}, {COMPONENTS}, {SIZES} SELECT 'compounds' AS kind, n_compounds AS size, count(*) AS n_components FROM sizes GROUP BY ALL
+    f"""WITH RECURSIVE {FULL}, {COMPONENTS}, {SIZES} SELECT 'compounds' AS kind, n_compounds AS size, count(*) AS n_components FROM sizes GROUP BY ALL
 UNION ALL SELECT 'reactions', n_reactions, count(*) FROM sizes GROUP BY ALL""",
 )
 def component_histogram(spark, sf):
-    return N.size_histogram(N.component_sizes(sparse_net(spark, sf)))
-
-
-# the full link set: every line, in one giant component with long chains and hubs
-FULL = """
-links AS (SELECT 'R_' || l_orderkey AS a, 'M_' || l_partkey || '_c' AS b FROM lineitem)"""
-
-
-def full_net(spark, sf):
-    return table(spark, sf, "lineitem").select(key("R_", "l_orderkey").alias("src"), F.concat(key("M_", "l_partkey"), F.lit("_c")).alias("dst"))
+    return N.size_histogram(N.component_sizes(full_net(spark, sf)))
 
 
 @query("components_all_lines", f"WITH RECURSIVE {FULL}, {COMPONENTS} SELECT node, component FROM cc")
@@ -326,7 +317,7 @@ ann AS (SELECT 'S' || s_suppkey AS sample, 'enzyme_ec' AS id_type, '1.1.1.' || s
         UNION ALL SELECT 'S' || s_suppkey, 'metacyc', 'SEG' || s_suppkey % 7 FROM supplier),
 pa AS (SELECT 'P' || c_custkey AS protein_key, 'enzyme_ec' AS id_type, '1.1.1.' || c_nationkey AS id_value FROM customer
        UNION ALL SELECT 'P' || c_custkey, 'metacyc', 'SEG' || c_custkey % 50 FROM customer),
-met AS (SELECT DISTINCT upper(p_name) AS metabolite FROM part WHERE p_name LIKE 'red %' UNION SELECT 'unknown ' || r_name FROM region),
+met AS (SELECT DISTINCT upper(p_name) AS metabolite FROM part UNION SELECT 'unknown ' || r_name FROM region),
 mapping AS (SELECT metabolite, 'C' || p_partkey AS compound_key FROM met JOIN part ON lower(metabolite) = p_name),
 linked AS (SELECT DISTINCT 'R' || l_orderkey AS reaction_key, 'C' || l_partkey AS compound_key FROM lineitem WHERE 'C' || l_partkey IN (SELECT compound_key FROM mapping)),
 rp AS (SELECT 'R' || o_orderkey AS reaction_key, 'P' || o_custkey AS protein_key FROM orders WHERE 'R' || o_orderkey IN (SELECT reaction_key FROM linked)),
@@ -334,14 +325,11 @@ sp AS (SELECT DISTINCT sample, protein_key FROM ann JOIN pa USING (id_type, id_v
 om AS (SELECT sample, metabolite, count(DISTINCT (reaction_key, compound_key)) AS n FROM sp JOIN rp USING (protein_key) JOIN linked USING (reaction_key) JOIN mapping USING (compound_key) GROUP BY ALL)"""
 
 
-ALL_NAMES_SQL = SAMPLE_SQL.replace(" WHERE p_name LIKE 'red %'", "")
-
-
-def _sample_frames(spark, sf, names="p_name like 'red %'"):
+def _sample_frames(spark, sf):
     s, c, p = table(spark, sf, "supplier"), table(spark, sf, "customer"), table(spark, sf, "part")
     ann = xref_rows(s, "sample", key("S", "s_suppkey"), "supplier", {"enzyme_ec": key("1.1.1.", "s_nationkey"), "metacyc": key("SEG", F.col("s_suppkey") % 7)}).withColumnRenamed("entity_key", "sample")
     pid = xref_rows(c, "protein", key("P", "c_custkey"), "customer", {"enzyme_ec": key("1.1.1.", "c_nationkey"), "metacyc": key("SEG", F.col("c_custkey") % 50)}).withColumnRenamed("entity_key", "protein_key")
-    wanted = p.filter(names).select(F.upper("p_name").alias("id")).distinct().unionByName(
+    wanted = p.select(F.upper("p_name").alias("id")).distinct().unionByName(
         table(spark, sf, "region").select(F.concat(F.lit("unknown "), "r_name").alias("id")))
     x = xref_rows(p, "compound", key("C", "p_partkey"), "part", {"synonyms": F.col("p_name")})
     mapping, unmapped = S.map_metabolites(wanted, x)
@@ -393,48 +381,45 @@ def organism_metabolites(spark, sf):
     return S.organism_metabolites(f["pa"], f["ann"], f["rp"], f["linked"], f["mapping"])
 
 
-RED = ["RED ANVIL", "RED BOLT", "RED GEAR", "RED GIZMO", "RED PLATE", "RED RING", "RED ROD", "RED WIDGET"]
+NAMES = [f"{colour} {thing}" for colour in ("BLUE", "COLD", "HOT", "LARGE", "NEW", "OLD", "RED", "SMALL")
+         for thing in ("ANVIL", "BOLT", "GEAR", "GIZMO", "PLATE", "RING", "ROD", "WIDGET")]
 
 
 @query(
     "report_matrix",
-    f"WITH {SAMPLE_SQL} SELECT sample, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (metabolite = '{m}'), 0) AS BIGINT) AS \"{m}\"" for m in RED) + " FROM om GROUP BY sample",
+    f"WITH {SAMPLE_SQL} SELECT sample, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (metabolite = '{m}'), 0) AS BIGINT) AS \"{m}\"" for m in NAMES) + " FROM om GROUP BY sample",
 )
 def report_matrix(spark, sf):
     f = _sample_frames(spark, sf)
-    return S.report_matrix(S.organism_metabolites(f["pa"], f["ann"], f["rp"], f["linked"], f["mapping"]), RED)
+    return S.report_matrix(S.organism_metabolites(f["pa"], f["ann"], f["rp"], f["linked"], f["mapping"]), NAMES)
 
 
-def _all_names(spark, sf):
-    return _sample_frames(spark, sf, "p_name is not null")
-
-
-@query("map_metabolites_all_names", f"WITH {ALL_NAMES_SQL} SELECT metabolite, compound_key FROM mapping")
+@query("map_metabolites_all_names", f"WITH {SAMPLE_SQL} SELECT metabolite, compound_key FROM mapping")
 def map_metabolites_all_names(spark, sf):
-    return _all_names(spark, sf)["mapping"]
+    return _sample_frames(spark, sf)["mapping"]
 
 
-@query("linked_reactions_all_names", f"WITH {ALL_NAMES_SQL} SELECT reaction_key, protein_key, (SELECT count(*) FROM linked l WHERE l.reaction_key = rp.reaction_key) AS n_compounds FROM rp")
+@query("linked_reactions_all_names", f"WITH {SAMPLE_SQL} SELECT reaction_key, protein_key, (SELECT count(*) FROM linked l WHERE l.reaction_key = rp.reaction_key) AS n_compounds FROM rp")
 def linked_reactions_all_names(spark, sf):
-    f = _all_names(spark, sf)
+    f = _sample_frames(spark, sf)
     return f["rp"].join(f["linked"].groupBy("reaction_key").agg(F.count("*").alias("n_compounds")), "reaction_key")
 
 
-@query("organism_proteins_all_names", f"WITH {ALL_NAMES_SQL} SELECT sample, protein_key FROM sp")
+@query("organism_proteins_all_names", f"WITH {SAMPLE_SQL} SELECT sample, protein_key FROM sp")
 def organism_proteins_all_names(spark, sf):
-    f = _all_names(spark, sf)
+    f = _sample_frames(spark, sf)
     return S.organism_proteins(f["pa"], f["ann"])
 
 
 @query(
     "report_long_all_names",
-    f"""WITH {ALL_NAMES_SQL} SELECT sample, metabolite, coalesce(om.n, 0) AS n
-FROM (SELECT DISTINCT sample FROM om) CROSS JOIN (SELECT DISTINCT metabolite FROM om) LEFT JOIN om USING (sample, metabolite)""",
+    f"""WITH {SAMPLE_SQL} SELECT sample, metabolite, coalesce(om.n, 0) AS n
+FROM (SELECT DISTINCT sample FROM om) CROSS JOIN (SELECT unnest({NAMES}) AS metabolite) LEFT JOIN om USING (sample, metabolite)""",
 )
 def report_long_all_names(spark, sf):
-    """Every metabolite that occurs, with zeros."""
-    f = _all_names(spark, sf)
-    return S.report_long(S.organism_metabolites(f["pa"], f["ann"], f["rp"], f["linked"], f["mapping"]), zeros=True)
+    """Every metabolite, with zeros."""
+    f = _sample_frames(spark, sf)
+    return S.report_long(S.organism_metabolites(f["pa"], f["ann"], f["rp"], f["linked"], f["mapping"]), NAMES)
 
 
 @query(

@@ -142,9 +142,7 @@ rels AS (SELECT internal_id AS src, 'CONNECTED_TO' AS rel_type, v AS dst, '-' AS
 def _graph(spark, sf):
     """Nodes, relations to ids, relations between entities; compounds join as nodes of their own."""
     fields = kv(spark, sf)
-    whole = fields.filter("k = 'reaction_compounds'").filter(~F.col("v").startswith(" ") & ~F.col("v").endswith(" ")).select("internal_id")
-    bad = fields.filter("k in ('reaction_compounds', 'stoichiometry')").join(whole, "internal_id", "left_anti")
-    fields = fields.join(bad.select("internal_id", "k"), ["internal_id", "k"], "left_anti").select("entity_type", "internal_id", "k", "v")
+    fields = fields.select("entity_type", "internal_id", "k", "v")
     comp = xref_rows(table(spark, sf, "part"), "compound", key("C", "p_partkey"), "part", {"synonyms": F.col("p_name")}).select(
         "entity_type", F.col("entity_key").alias("internal_id"), F.col("id_type").alias("k"), F.col("id_value").alias("v"))
     gene = xref_rows(table(spark, sf, "nation"), "gene", key("G", "n_nationkey"), "nation", {"synonyms": F.col("n_name")}).select(

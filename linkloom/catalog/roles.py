@@ -90,36 +90,23 @@ reaction AS (
   FROM orders
 )"""
 
-# each side of an equation as text; reactions need both sides
-EQUATION = PARTICIPANT + "," + REACTION + """,
+# each side of an equation as text, for every reaction with lines: an empty side is an empty list
+_SIDE = "coalesce(string_agg({what}, ' + ' ORDER BY pos) FILTER (side = '{side}'), '')"
+_BOTH = lambda what: f"{_SIDE.format(what=what, side='left')} || ' ' || any_value(direction) || ' ' || {_SIDE.format(what=what, side='right')}"
+EQUATION = PARTICIPANT + "," + REACTION + f""",
 equation AS (
   SELECT p.reaction_key, any_value(direction) AS direction, any_value(status) AS status,
-         string_agg(stoich || ' ' || compound_key, ' + ' ORDER BY pos) FILTER (side = 'left') || ' ' || any_value(direction) || ' ' ||
-         string_agg(stoich || ' ' || compound_key, ' + ' ORDER BY pos) FILTER (side = 'right') AS equation,
-         string_agg(compound_key, ' + ' ORDER BY pos) FILTER (side = 'left') || ' ' || any_value(direction) || ' ' ||
-         string_agg(compound_key, ' + ' ORDER BY pos) FILTER (side = 'right') AS reaction_compounds
+         {_BOTH("stoich || ' ' || compound_key")} AS equation, {_BOTH("compound_key")} AS reaction_compounds
   FROM participant p JOIN reaction USING (reaction_key) GROUP BY p.reaction_key
-  HAVING count(*) FILTER (side = 'left') > 0 AND count(*) FILTER (side = 'right') > 0
 )"""
 
 
-# the same for every reaction with lines: an empty side is an empty list
-EQUATION_ALL = PARTICIPANT + "," + REACTION + """,
-equation AS (
-  SELECT p.reaction_key, any_value(direction) AS direction,
-         coalesce(string_agg(stoich || ' ' || compound_key, ' + ' ORDER BY pos) FILTER (side = 'left'), '') || ' ' || any_value(direction) || ' ' ||
-         coalesce(string_agg(stoich || ' ' || compound_key, ' + ' ORDER BY pos) FILTER (side = 'right'), '') AS equation
-  FROM participant p JOIN reaction USING (reaction_key) GROUP BY p.reaction_key
-)"""
-
-
-def equation_parts(spark: SparkSession, sf: str, one_sided: bool = False) -> DataFrame:
-    """``(reaction_key, direction, status, parts)`` of reactions that have both sides, or of all with ``one_sided``."""
+def equation_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """``(reaction_key, direction, status, parts)`` of every reaction with lines; one of its sides may be empty."""
     p = participants(spark, sf)
     parts = p.groupBy("reaction_key").agg(
-        F.array_sort(F.collect_list(F.struct("side", "pos", "stoich", "stoich_raw", F.col("compound_key").alias("name")))).alias("parts"),
-        F.count_distinct("side").alias("n"))
-    return (parts if one_sided else parts.filter("n = 2")).drop("n").join(reactions(spark, sf), "reaction_key")
+        F.array_sort(F.collect_list(F.struct("side", "pos", "stoich", "stoich_raw", F.col("compound_key").alias("name")))).alias("parts"))
+    return parts.join(reactions(spark, sf), "reaction_key")
 
 
 def xref_rows(df: DataFrame, entity_type: str, entity_key, source_db: str, fields: dict) -> DataFrame:

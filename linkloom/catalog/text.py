@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkloom.catalog.registry import query
-from linkloom.catalog.roles import EQUATION, EQUATION_ALL, equation_parts, key, table
+from linkloom.catalog.roles import EQUATION, equation_parts, key, table
 from linkloom.functions import equations as E
 from linkloom.functions import text as T
 from linkloom.functions.arrays import spread
@@ -151,9 +151,9 @@ def equation_build(spark, sf):
         E.format_equation("parts", "direction", with_stoich=False).alias("reaction_compounds"))
 
 
-def _spelled(spark, sf, one_sided=False):
+def _spelled(spark, sf):
     """Equations in a spelling that depends on their status."""
-    eq = equation_parts(spark, sf, one_sided).withColumn("equation", E.format_equation("parts", "direction"))
+    eq = equation_parts(spark, sf).withColumn("equation", E.format_equation("parts", "direction"))
     odd = F.when(F.col("status") == "F", F.replace("equation", F.lit(" <=> "), F.lit(" ↔ "))).when(
         F.col("status") == "O", F.replace("equation", F.lit(" => "), F.lit(" -> "))).otherwise(
         F.replace("equation", F.lit(" <= "), F.lit(" &lt;- ")))
@@ -200,21 +200,21 @@ def equation_align_ids(spark, sf):
     return spread(eq, E.align_ids("names", "ids"), "p", "reaction_key").select("reaction_key", "p.side", "p.pos", "p.stoich", "p.name")
 
 
-@query("equation_build_one_sided", f"WITH {EQUATION_ALL} SELECT reaction_key, equation FROM equation")
+@query("equation_build_one_sided", f"WITH {EQUATION} SELECT reaction_key, equation FROM equation")
 def equation_build_one_sided(spark, sf):
     """Equations of all reactions with lines, those with one side too."""
-    return equation_parts(spark, sf, True).select("reaction_key", E.format_equation("parts", "direction").alias("equation"))
+    return equation_parts(spark, sf).select("reaction_key", E.format_equation("parts", "direction").alias("equation"))
 
 
-@query("equation_parse_one_sided", f"WITH {EQUATION_ALL} SELECT reaction_key, side, pos, stoich, compound_key AS name FROM participant JOIN equation USING (reaction_key)")
+@query("equation_parse_one_sided", f"WITH {EQUATION} SELECT reaction_key, side, pos, stoich, compound_key AS name FROM participant JOIN equation USING (reaction_key)")
 def equation_parse_one_sided(spark, sf):
-    return spread(_spelled(spark, sf, True), E.parse_equation("spelled"), "p", "reaction_key").select(
+    return spread(_spelled(spark, sf), E.parse_equation("spelled"), "p", "reaction_key").select(
         "reaction_key", "p.side", "p.pos", "p.stoich", "p.name")
 
 
-@query("equation_align_one_sided", f"WITH {EQUATION_ALL} SELECT reaction_key, side, pos, stoich, 'I' || substr(compound_key, 2) AS name FROM participant JOIN equation USING (reaction_key)")
+@query("equation_align_one_sided", f"WITH {EQUATION} SELECT reaction_key, side, pos, stoich, 'I' || substr(compound_key, 2) AS name FROM participant JOIN equation USING (reaction_key)")
 def equation_align_one_sided(spark, sf):
-    eq = equation_parts(spark, sf, True).select("reaction_key", E.format_equation("parts", "direction").alias("names"))
+    eq = equation_parts(spark, sf).select("reaction_key", E.format_equation("parts", "direction").alias("names"))
     eq = eq.withColumn("ids", F.regexp_replace(F.regexp_replace("names", r"\d+ C", "C"), "C", "I"))
     return spread(eq, E.align_equation("names", "ids"), "p", "reaction_key").select("reaction_key", "p.side", "p.pos", "p.stoich", "p.name")
 
@@ -222,8 +222,8 @@ def equation_align_one_sided(spark, sf):
 @query(
     "equation_sides",
     f"""WITH {EQUATION} SELECT reaction_key, trim(direction) AS sign, direction = '<=>' AS reversible,
-  (SELECT string_agg(compound_key, ',' ORDER BY pos) FROM participant p WHERE p.reaction_key = e.reaction_key AND side = 'left') AS left_ids,
-  (SELECT string_agg(compound_key, ',' ORDER BY pos) FROM participant p WHERE p.reaction_key = e.reaction_key AND side = 'right') AS right_ids
+  coalesce((SELECT string_agg(compound_key, ',' ORDER BY pos) FROM participant p WHERE p.reaction_key = e.reaction_key AND side = 'left'), '') AS left_ids,
+  coalesce((SELECT string_agg(compound_key, ',' ORDER BY pos) FROM participant p WHERE p.reaction_key = e.reaction_key AND side = 'right'), '') AS right_ids
 FROM equation e""",
 )
 def equation_sides(spark, sf):

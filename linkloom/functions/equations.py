@@ -49,14 +49,18 @@ def fix_html_sign(col) -> Column:
 
 
 def standardize_equation(col) -> Column:
-    """One spelling per direction: ``' <=> '``, ``' => '`` or ``' <= '``; doubled blanks collapsed."""
+    """One spelling per direction: ``' <=> '``, ``' => '`` or ``' <= '``; doubled blanks collapsed.
+
+    A side may be empty: the sign at the edge keeps both its blanks, other blanks at the edges go.
+    """
     def unify(x: Column) -> Column:
         text, sign = x["text"], x["sign"]
         return F.when(sign.isNotNull() & (sign != "?"), F.replace(text, sign, uniform_sign(sign))).otherwise(text)
 
     clean = squeeze(F.replace(_c(col), F.lit("  "), F.lit(" ")))
-    signed = let(clean, lambda t: F.struct(t.alias("text"), find_sign(t).alias("sign")))
-    return fix_html_sign(let(signed, unify))
+    signed = let(F.concat(F.lit(" "), clean, F.lit(" ")), lambda t: F.struct(t.alias("text"), find_sign(t).alias("sign")))
+    out = fix_html_sign(let(signed, unify))
+    return F.regexp_replace(F.regexp_replace(out, r"^ +(?!(?:<=>|=>|<=) )", ""), r"(?<! (?:<=>|=>|<=)) +$", "")
 
 
 def direction(col) -> Column:

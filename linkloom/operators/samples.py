@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.session import cut
+
 ANNOTATION_TYPES = ("enzyme_ec", "metacyc")
 
 
@@ -63,34 +65,47 @@ def organism_metabolites(protein_annotations: DataFrame, annotations: DataFrame,
                          mapping: DataFrame) -> DataFrame:
     """``(sample, metabolite, n)``: how many linked (reaction, compound) pairs tie a sample to a metabolite.
 
-    Samples with the same annotation reach the same reactions, so reactions are counted per annotation first: the
-    work is annotation x reaction, and samples are joined in after the reactions were made distinct.
+    Samples with the same annotations reach the same reactions, so each distinct set of annotations is followed once, by its
+    smallest sample, and reactions are counted per annotation first; the other samples of a set take over its counts.
     """
+    own = annotations.select("sample", "id_type", "id_value").distinct()
+    sets = own.groupBy("sample").agg(
+        F.bit_xor(F.xxhash64("id_type", "id_value")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("second"), "id_value", "id_type")).alias("h2"), F.count("*").alias("c"))
+    sets = cut(sets)
+    smallest = sets.groupBy("h1", "h2", "c").agg(F.min("sample").alias("rep"))
     ann_reaction = protein_annotations.join(rp, "protein_key").select("id_type", "id_value", "reaction_key").distinct()
     pairs = linked.join(mapping, "compound_key").select("reaction_key", "compound_key", "metabolite").distinct()
     per_reaction = pairs.groupBy("reaction_key", "metabolite").agg(F.count("*").alias("w"))
-    sample_reaction = annotations.select("sample", "id_type", "id_value").distinct().join(
-        ann_reaction, ["id_type", "id_value"]).select("sample", "reaction_key").distinct()
-    return sample_reaction.join(per_reaction, "reaction_key").groupBy("sample", "metabolite").agg(
-        F.sum("w").cast("bigint").alias("n"))
+    rep_reaction = own.join(smallest.select(F.col("rep").alias("sample")), "sample", "left_semi").join(
+        ann_reaction, ["id_type", "id_value"]).select(F.col("sample").alias("rep"), "reaction_key").distinct()
+    counts = rep_reaction.join(per_reaction, "reaction_key").groupBy("rep", "metabolite").agg(F.sum("w").cast("bigint").alias("n"))
+    return sets.join(smallest, ["h1", "h2", "c"]).select("sample", "rep").join(counts, "rep").select("sample", "metabolite", "n")
 
 
 def report_matrix(counts: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Sample by metabolite counts, zero where there is none. Give ``columns`` to skip the extra pass for names."""
+    """Sample by metabolite counts, zero where there is none.
+
+    ``columns`` names the metabolites, and one that occurs without being named is an error; without them the names are
+    collected, so it is for few metabolites only (``report_long`` has no such bound).
+    """
+    if columns:
+        named = F.when(F.col("metabolite").isin(columns), F.col("metabolite")).otherwise(
+            F.raise_error(F.concat(F.lit("metabolite without a column: "), F.coalesce("metabolite", F.lit("null")))))
+        counts = counts.withColumn("metabolite", named)
     wide = counts.groupBy("sample").pivot("metabolite", columns) if columns else counts.groupBy("sample").pivot("metabolite")
     return wide.agg(F.sum("n").cast("bigint")).na.fill(0)
 
 
-def report_long(counts: DataFrame, zeros: bool = False) -> DataFrame:
-    """``(sample, metabolite, n)`` of every metabolite that occurs; with ``zeros`` a row for each sample and metabolite.
+def report_long(counts: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``(sample, metabolite, n)`` of every metabolite that occurs; those in ``names`` have a row for each sample, with zeros.
 
-    Unlike the columns of ``report_matrix`` the names need no list, and their number has no bound.
+    Unlike the columns of ``report_matrix`` the metabolites need no list, and their number has no bound.
     """
-    counts = counts.groupBy("sample", "metabolite").agg(F.sum("n").cast("bigint").alias("n"))
-    if not zeros:
-        return counts
-    grid = counts.select("sample").distinct().crossJoin(counts.select("metabolite").distinct())
-    return grid.join(counts, ["sample", "metabolite"], "left").na.fill(0, ["n"])
+    if names:
+        zeros = counts.select("sample").distinct().select(
+            "sample", F.explode(F.array(*[F.lit(n) for n in names])).alias("metabolite"), F.lit(0).cast("bigint").alias("n"))
+        counts = counts.select("sample", "metabolite", "n").unionByName(zeros)
+    return counts.groupBy("sample", "metabolite").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def top_participants(participant: DataFrame, names: DataFrame, n: int = 100) -> DataFrame:

@@ -63,7 +63,10 @@ def read_alt_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_rhea_text(records: DataFrame) -> DataFrame:
-    """Text records ``(record)`` to ``(reaction_key, definition, equation, direction, reversible, parts)``."""
+    """Text records ``(record)`` to ``(reaction_key, definition, equation, direction, reversible, parts)``.
+
+    A side may be empty; the equation then begins or ends with its sign and a blank.
+    """
     field = lambda name: F.trim(F.regexp_extract("record", rf"(?m)^{name}[ \t]+(.*?)\r?$", 1))
     eq = standardize_equation(F.replace(field("EQUATION"), F.lit(","), F.lit(" + ")))
     eq = F.replace(eq, F.lit("CHEBI:"), F.lit(""))
