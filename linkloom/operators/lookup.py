@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions.arrays import spread
+from linkloom.functions.arrays import let, spread
 from linkloom.functions.equations import equation_ids
 from linkloom.functions.text import find_ecs
 from linkloom.operators.xref import index_by
+from linkloom.session import cut
 
 GRAM = 8  # gram size of the sampled name index
 SAMPLE = 16  # one gram in SAMPLE is indexed
+RUN, RUN_SAMPLE = 3, 4  # words in a run, and one run in RUN_SAMPLE is indexed
 
 
 def lookup(seeds: DataFrame, xref: DataFrame, misses: bool = False) -> DataFrame:
@@ -127,38 +129,81 @@ def _sampled(text: Column) -> Column:
     return F.array_distinct(F.filter(_grams(text, GRAM), lambda g: F.pmod(F.xxhash64(g), F.lit(SAMPLE)) == 0))
 
 
-def contains_search(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs where ``name`` contains ``query`` (both lower case columns), as ``(query, entity_key)``.
+def _word_runs(text: Column, inner: bool) -> Column:
+    """Hashes of the sampled runs of words between blanks; ``inner`` leaves out the first and the last word.
 
-    A query is looked up by one of its own grams; whatever contains the query contains that gram. Grams are
-    sampled by their hash, so only a fraction of a long text is indexed; queries too short to own a sampled gram
-    use an index of short grams. The index holds keys, not texts; the exact test runs on the pairs that meet.
+    The inner words of a query are whole words of whatever contains it.
     """
-    q = queries.select("query").distinct().withColumn("g8", F.array_sort(_sampled(F.col("query"))))
-    first = F.array_min(F.transform(_grams(F.col("query"), 3), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
-    long_q = q.filter(F.size("g8") > 0).select("query", F.col("g8")[0].alias("gram"))
-    mid_q = q.filter((F.size("g8") == 0) & (F.length("query") >= 3)).select("query", first["g"].alias("gram"))
-    short_q = q.filter((F.size("g8") == 0) & F.length("query").between(1, 2)).select("query", F.substring("query", 1, 1).alias("gram"))
+    def runs(w: Column) -> Column:
+        edge = 1 if inner else 0
+        starts = F.sequence(F.lit(edge), F.size(w) - RUN - edge)
+        hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(RUN)]))
+        return F.when(F.size(w) >= RUN + 2 * edge, F.array_distinct(F.filter(hashes, lambda h: F.pmod(h, F.lit(RUN_SAMPLE)) == 0)))
 
-    def meet(some: DataFrame, grams: Column) -> DataFrame:
-        return some.join(spread(names, grams, "gram", "entity_key"), "gram").select("query", "entity_key")
+    return F.coalesce(let(F.split(text, " "), runs), F.array().cast("array<bigint>"))
 
-    met = meet(long_q, _sampled(F.col("name")))
-    for some, size in ((mid_q, 3), (short_q, 1)):
-        met = met.unionByName(meet(some, F.array_distinct(_grams(F.col("name"), size))))
-    # each query sits in one class and a text lists a gram once, so the pairs are distinct unless a key has several names
-    text = names.select("entity_key", "name")
-    return met.join(text, "entity_key").filter(F.contains(F.col("name"), F.col("query"))).select("query", "entity_key").distinct()
+
+def _meet_rarest(queries: DataFrame, names: DataFrame, in_query: Column, in_name: Column) -> DataFrame:
+    """``(qid, entity_key)`` of names that hold the query's rarest gram; ``queries(qid, query)``.
+
+    Only grams that some query holds are kept of the names, in one pass over the texts; how many names hold a gram is
+    counted on that table.
+    """
+    asked = cut(spread(queries, in_query, "gram", "qid"))
+    held = cut(spread(names, in_name, "gram", "entity_key").join(asked.select("gram").distinct(), "gram", "left_semi"))
+    often = held.groupBy("gram").agg(F.count("*").alias("n"))
+    # a gram that no name holds is the rarest of all: its queries are found nowhere
+    best = asked.join(often, "gram", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("b"))
+    return best.filter("b.n > 0").select("qid", F.col("b.gram").alias("gram")).join(held, "gram").select("qid", "entity_key")
+
+
+def contains_search(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs where ``name`` contains ``query`` (both lower case columns), as ``(query, entity_key)``.
+
+    A name that contains a query contains each gram of it, so a query is looked up by the one that fewest names hold: by runs
+    of words where it has them, else by grams of letters. Runs and long grams are sampled by their hash, so only a fraction
+    of a text is indexed; queries that own no sampled gram use grams of three letters. The index holds keys, not texts, and the exact test runs on the pairs that meet. A query of one to
+    three letters is itself a gram, so holding it is the whole test. Empty and null queries and null names are in no pair.
+    """
+    # a query goes by a digest, so that its text is not carried along
+    q = queries.select("query").filter(F.col("query") != "").distinct().select(F.sha2("query", 256).alias("qid"), "query")
+    size = F.length("query")
+    col = F.col("query")
+    kind = F.when(size <= 3, size.cast("string")).when(F.size(_word_runs(col, True)) > 0, "runs").when(F.size(_sampled(col)) > 0, "grams").otherwise("short grams")
+    short = ("1", "2", "3")
+    indexes = {"runs": lambda c, inner: _word_runs(c, inner), "grams": lambda c, _: _sampled(c), "short grams": lambda c, _: F.array_distinct(_grams(c, 3))}
+    q = cut(q.withColumn("kind", kind), {k: F.count_if(F.col("kind") == k) for k in (*short, *indexes)})
+    text = names.select("entity_key", "name").filter(F.col("name").isNotNull())
+    of = lambda k: q.filter(F.col("kind") == k).select("qid", "query")
+    whole, met = q.select("query").limit(0).withColumn("entity_key", F.lit("")), None
+    for k in short:
+        if q.observed[k]:
+            index = spread(text, F.array_distinct(_grams(F.col("name"), int(k))), "query", "entity_key")
+            whole = whole.unionByName(index.join(of(k).select("query"), "query").select("query", "entity_key"))
+    for k, grams in indexes.items():
+        if q.observed[k]:
+            one = _meet_rarest(of(k), text, grams(col, True), grams(F.col("name"), False))
+            met = one if met is None else met.unionByName(one)
+    if met is not None:
+        # the same key may have several names
+        pairs = cut(met.distinct())
+        asked = pairs.join(q.select("qid", "query"), "qid").select("query", "entity_key")
+        whole = whole.unionByName(asked.join(text, "entity_key").filter(F.contains(F.col("name"), F.col("query"))).select("query", "entity_key"))
+    return whole.distinct()
 
 
 def name_search(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """``(query, entity_key, how)``: the smallest entity with exactly that name, otherwise all that contain it."""
-    q = queries.select("query").distinct().withColumn("lq", F.lower("query"))
+    """``(query, entity_key, how)``: the smallest entity with exactly that name, otherwise all that contain it.
+
+    Whole names are compared by SHA-256, so names do not travel to their queries.
+    """
+    q = queries.select("query").distinct().withColumn("lq", F.lower("query")).withColumn("h", F.sha2("lq", 256))
     n = names.select("entity_key", F.lower("name").alias("name"))
-    exact = q.join(n, q["lq"] == n["name"]).groupBy("query", "lq").agg(F.min("entity_key").alias("entity_key"))
-    rest = q.join(exact.select("query"), "query", "left_anti")
+    first = n.groupBy(F.sha2("name", 256).alias("h")).agg(F.min("entity_key").alias("entity_key"))
+    q = cut(q.join(first, "h", "left").select("query", "lq", "entity_key"))
+    rest = q.filter(F.col("entity_key").isNull()).select("query", "lq")
     part = contains_search(rest.select(F.col("lq").alias("query")), n).withColumnRenamed("query", "lq")
-    return exact.select("query", "entity_key", F.lit("exact").alias("how")).unionByName(
+    return q.filter(F.col("entity_key").isNotNull()).select("query", "entity_key", F.lit("exact").alias("how")).unionByName(
         rest.join(part, "lq").select("query", "entity_key", F.lit("contains").alias("how"))
     )
 
