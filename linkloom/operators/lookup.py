@@ -188,6 +188,8 @@ def contains_search(queries: DataFrame, names: DataFrame) -> DataFrame:
         # the same key may have several names
         pairs = cut(met.distinct())
         asked = pairs.join(q.select("qid", "query"), "qid").select("query", "entity_key")
+        # names that no query meets stay where they are; beyond Spark's broadcast threshold both joins share one shuffle
+        text = text.join(pairs.select("entity_key").distinct(), "entity_key", "left_semi")
         whole = whole.unionByName(asked.join(text, "entity_key").filter(F.contains(F.col("name"), F.col("query"))).select("query", "entity_key"))
     return whole.distinct()
 
@@ -197,11 +199,12 @@ def name_search(queries: DataFrame, names: DataFrame) -> DataFrame:
 
     Whole names are compared by SHA-256, so names do not travel to their queries.
     """
-    q = queries.select("query").distinct().withColumn("lq", F.lower("query")).withColumn("h", F.sha2("lq", 256))
+    lower = F.lower("query")
     n = names.select("entity_key", F.lower("name").alias("name"))
     first = n.groupBy(F.sha2("name", 256).alias("h")).agg(F.min("entity_key").alias("entity_key"))
-    q = cut(q.join(first, "h", "left").select("query", "lq", "entity_key"))
-    rest = q.filter(F.col("entity_key").isNull()).select("query", "lq")
+    q = queries.select("query").distinct().withColumn("h", F.sha2(lower, 256))
+    q = cut(q.join(first, "h", "left").select("query", "entity_key"))
+    rest = q.filter(F.col("entity_key").isNull()).select("query", lower.alias("lq"))
     part = contains_search(rest.select(F.col("lq").alias("query")), n).withColumnRenamed("query", "lq")
     return q.filter(F.col("entity_key").isNotNull()).select("query", "entity_key", F.lit("exact").alias("how")).unionByName(
         rest.join(part, "lq").select("query", "entity_key", F.lit("contains").alias("how"))
