@@ -20,3 +20,9 @@ def test_query(spark, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+
+
+@pytest.mark.parametrize("name", ["resolve_protein_default", "resolve_reaction_default", "annotate_flow"])
+def test_flow(spark, name):
+    ok, message = compare(spark, connect(SF), name, QUERIES[name], SQL[name], SF)
+    assert ok and not message.startswith("0 rows"), message
