@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linkloom.functions.arrays import let
 from linkloom.functions.text import MISSING, _c, squeeze
 
-# Direction signs, each with its blanks, in the order in which they are tried.
-SIGNS = (
-    r"( = | <=> | <= | => | → | ← | ↔ | ⇄ | <-> | <--> | <- | -> | [=-]?&gt; | &lt;=&gt; | &lt;[=-]? )"
-)
-BOTH = r"^( = | <=> | ↔ | ⇄ | <-> | <--> | &lt;=&gt; )$"
-RIGHT = r"^( => | → | -> | [=-]?&gt; )$"
-LEFT = r"^( <= | ← | <- | &lt;[=-]? )$"
+# Signs that stand between blanks, and the direction they mean.
+SIGNS = {
+    "=": "<=>", "<=>": "<=>", "↔": "<=>", "⇄": "<=>", "<->": "<=>", "<-->": "<=>", "&lt;=&gt;": "<=>",
+    "=>": "=>", "→": "=>", "->": "=>", "&gt;": "=>", "=&gt;": "=>", "-&gt;": "=>",
+    "<=": "<=", "←": "<=", "<-": "<=", "&lt;": "<=", "&lt;=": "<=", "&lt;-": "<=",
+}
+# Escaped arrows that need no blanks, in the order in which they are replaced.
+ESCAPED = {"&lt;=&gt;": "<=>", "[=-]?&gt;": "=>", "&lt;[=-]?": "<="}
+DIRECTIONS = ("<=>", "=>", "<=")  # the first one an id equation holds is its sign
 
 # Leading multipliers. "a"/"an" mean one; n-like tokens mean an undefined amount.
 MULTIPLIER = r"^((?:\d+n)|(?:\d+ )|(?:a )|(?:an )|(?:[b-z]\s)|(?:\(\d?n[+\-]?\d?\)))"
@@ -26,26 +30,19 @@ UNDEFINED = -1
 def find_sign(col) -> Column:
     """The direction sign with its blanks; a ``?`` when nothing else is found; null when there is none."""
     c = _c(col)
-    return let(
-        F.regexp_extract(c, SIGNS, 1), lambda sign: F.when(sign != "", sign).when(F.contains(c, F.lit("?")), F.lit("?"))
-    )
+    any_sign = "( (?:" + "|".join(SIGNS) + ") )"  # none of the signs holds a character with a meaning in patterns
+    return let(F.regexp_extract(c, any_sign, 1), lambda sign: F.when(sign != "", sign).when(F.contains(c, F.lit("?")), F.lit("?")))
 
 
 def uniform_sign(sign) -> Column:
-    s = _c(sign)
-    return (
-        F.when(s.rlike(BOTH), F.lit(" <=> "))
-        .when(s.rlike(RIGHT), F.lit(" => "))
-        .when(s.rlike(LEFT), F.lit(" <= "))
-        .otherwise(s)
-    )
+    """The usual sign of the same direction, with its blanks; anything else stays."""
+    ways = F.create_map(*[F.lit(f" {x} ") for pair in SIGNS.items() for x in pair])
+    return F.coalesce(F.try_element_at(ways, _c(sign)), _c(sign))
 
 
 def fix_html_sign(col) -> Column:
     """Turn escaped arrows without blanks around them into plain ones."""
-    c = F.regexp_replace(_c(col), r"&lt;=&gt;", "<=>")
-    c = F.regexp_replace(c, r"[=-]?&gt;", "=>")
-    return F.regexp_replace(c, r"&lt;[=-]?", "<=")
+    return reduce(lambda c, arrow: F.regexp_replace(c, *arrow), ESCAPED.items(), _c(col))
 
 
 def standardize_equation(col) -> Column:
@@ -180,11 +177,7 @@ def format_equation(parts, sign, with_stoich: bool = True) -> Column:
 def equation_sides(col) -> Column:
     """``struct<sign, reversible, left, right>`` of an id equation, both sides split on ``+``; an empty side is an empty list."""
     c = _c(col)
-    sign = (
-        F.when(F.contains(c, F.lit("<=>")), F.lit("<=>"))
-        .when(F.contains(c, F.lit("=>")), F.lit("=>"))
-        .when(F.contains(c, F.lit("<=")), F.lit("<="))
-    )
+    sign = F.coalesce(*[F.when(F.contains(c, F.lit(way)), F.lit(way)) for way in DIRECTIONS])
     at = F.instr(c, sign)
     left = F.substring(c, F.lit(1), at - 1)
     right = F.substring(c, at + F.length(sign), F.length(c))

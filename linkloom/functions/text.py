@@ -88,11 +88,14 @@ def normalize_synonym(col, entity_type) -> Column:
     return F.when(name == "", F.lit(None)).when(kind == "compound", compound).otherwise(name)
 
 
+def _specified_levels(number: Column) -> Column:
+    """How many levels of an enzyme number are given, that is, do not begin with a dash."""
+    return F.size(F.filter(F.split(number, r"\."), lambda x: ~x.startswith("-")))
+
+
 def is_ec(col, level: int = 3) -> Column:
     """True when the value starts like an enzyme number and has at least ``level`` specified levels."""
-    c = _c(col)
-    levels = F.size(F.split(F.replace(c, F.lit(".-"), F.lit("")), r"\."))
-    return F.coalesce(c.rlike(EC_START) & (levels >= level), F.lit(False))
+    return F.coalesce(_c(col).rlike(EC_START) & (_specified_levels(_c(col)) >= level), F.lit(False))
 
 
 def find_ecs(col, level: int = 3) -> Column:
@@ -104,16 +107,7 @@ def find_ecs(col, level: int = 3) -> Column:
     greedy = EC_TEXT + "+"
     pattern = rf"(?:(?<!\.)({greedy})(?![.a-zA-Z0-9-])|{greedy})"
     hits = F.filter(F.regexp_extract_all(_c(col), F.lit(pattern), F.lit(1)), lambda x: x != "")
-
-    def dots(x: Column) -> Column:
-        return F.length(x) - F.length(F.replace(x, F.lit("."), F.lit("")))
-
-    def dashes(x: Column) -> Column:
-        return F.length(x) - F.length(F.replace(x, F.lit("-"), F.lit("")))
-
-    return F.array_sort(
-        F.array_distinct(F.filter(hits, lambda x: (dots(x) >= level - 1) & (dots(x) + 1 - dashes(x) >= level)))
-    )
+    return F.array_sort(F.array_distinct(F.filter(hits, lambda x: _specified_levels(x) >= level)))
 
 
 def hmdb_variants(col) -> Column:

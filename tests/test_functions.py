@@ -31,6 +31,7 @@ def test_ec(spark):
     assert find("see 1.2.3.4 and 2.3.4.n1;") == ["1.2.3.4", "2.3.4.n1"]
     assert find("1.2.3.4.5 x1.2.3.4y .1.2.3.4") == []
     assert find("1.234.5.6.7") == []  # the tail of a rejected hit is no hit
+    assert [one(spark, v, lambda c: T.is_ec(c, 4)) for v in ("1.2.3.4", "1.2.3.n1", "1.2.3.-x", "1.2.3", None)] == [True, True, False, False, False]
     assert find("1.2.3.-", 3) == ["1.2.3.-"] and find("1.2.3.-", 4) == []
 
 
@@ -47,6 +48,9 @@ def test_small_helpers(spark):
 def test_signs(spark):
     for raw, want in {"A = B": "A <=> B", "A → B": "A => B", "A &lt;- B": "A <= B", "A &lt;=&gt; B": "A <=> B", "A  <--> B": "A <=> B"}.items():
         assert one(spark, raw, E.standardize_equation) == want
+    for sign, way in E.SIGNS.items():
+        assert one(spark, f"A {sign} B", E.find_sign) == f" {sign} " and one(spark, f" {sign} ", E.uniform_sign) == f" {way} "
+    assert one(spark, " ? ", E.uniform_sign) == " ? " and one(spark, "A B", E.find_sign) is None
     assert one(spark, "A ? B", E.find_sign) == "?"
     assert one(spark, "x&lt;=y", E.fix_html_sign) == "x<=y"  # a left arrow stays a left arrow
 
