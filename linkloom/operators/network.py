@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.equations import equation_sides
 from linkloom.operators.components import connected_components
+from linkloom.operators.samples import organism_proteins
 from linkloom.session import cut
 
 ADDED = "RD_"
@@ -199,8 +200,7 @@ def reactions_not_in_model_by_id(reaction_ids: DataFrame, model_ids: DataFrame,
 
 def proteins_in_sample(protein_ids: DataFrame, annotations: DataFrame, id_types: tuple[str, ...] = ("enzyme_ec", "metacyc")) -> DataFrame:
     """``(sample, protein_key)``: proteins that hold an annotation of the sample."""
-    p = protein_ids.filter(F.col("id_type").isin(list(id_types)))
-    return annotations.select("sample", "id_type", "id_value").join(p, ["id_type", "id_value"]).select("sample", "protein_key").distinct()
+    return organism_proteins(protein_ids.filter(F.col("id_type").isin(list(id_types))), annotations)
 
 
 def with_reaction(proteins: DataFrame, edge: DataFrame) -> DataFrame:

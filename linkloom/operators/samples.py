@@ -55,31 +55,50 @@ def annotations_of(proteins: DataFrame, protein_ids: DataFrame) -> DataFrame:
     return ids.join(proteins.select("protein_key").distinct(), "protein_key", "left_semi").select("protein_key", "id_type", "id_value").distinct()
 
 
+def _fold(rows: DataFrame, key: str, cols: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """``(key, name)`` and ``(name, *cols)``: keys with the same distinct ``cols`` share one set, which is listed once.
+
+    A set is known by two 64-bit hashes of its members and their number. Rows with a null in ``cols`` belong to no set.
+    """
+    own = rows.select(key, *cols).dropna(subset=cols).distinct()
+    named = cut(own.groupBy(key).agg(F.struct(
+        F.bit_xor(F.xxhash64(*cols)).alias("a"), F.bit_xor(F.xxhash64(F.lit("second"), *cols)).alias("b"), F.count("*").alias("n")).alias(name)))
+    return named, own.join(named.groupBy(name).agg(F.min(key).alias(key)), key).select(name, *cols)
+
+
+def _matching_sets(protein_annotations: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(sample, sset)``, ``(protein_key, pset)`` and the pairs ``(sset, pset)`` that share an annotation."""
+    ids = ["id_type", "id_value"]
+    samples, of_sample = _fold(annotations, "sample", ids, "sset")
+    proteins, of_protein = _fold(protein_annotations, "protein_key", ids, "pset")
+    return samples, proteins, of_sample.join(of_protein, ids).select("sset", "pset").distinct()
+
+
 def organism_proteins(protein_annotations: DataFrame, annotations: DataFrame) -> DataFrame:
-    """``(sample, protein_key)`` by a shared annotation."""
-    return annotations.select("sample", "id_type", "id_value").distinct().join(protein_annotations, ["id_type", "id_value"]).select(
-        "sample", "protein_key").distinct()
+    """``(sample, protein_key)`` by a shared annotation.
+
+    Samples, and proteins, with the same annotations are matched once as a set, so a pair comes out once however many
+    annotations it shares, and only the result itself has a row for each pair.
+    """
+    samples, proteins, pairs = _matching_sets(protein_annotations, annotations)
+    return samples.join(pairs, "sset").join(proteins, "pset").select("sample", "protein_key")
 
 
 def organism_metabolites(protein_annotations: DataFrame, annotations: DataFrame, rp: DataFrame, linked: DataFrame,
                          mapping: DataFrame) -> DataFrame:
     """``(sample, metabolite, n)``: how many linked (reaction, compound) pairs tie a sample to a metabolite.
 
-    Samples with the same annotations reach the same reactions, so each distinct set of annotations is followed once, by its
-    smallest sample, and reactions are counted per annotation first; the other samples of a set take over its counts.
+    No step has a row for each sample and reaction. Samples and proteins are folded into sets of equal annotations,
+    reactions into sets of equal protein sets; pairs are counted for each set of reactions and metabolite before a sample
+    set meets them. The samples of a set take over its counts.
     """
-    own = annotations.select("sample", "id_type", "id_value").distinct()
-    sets = own.groupBy("sample").agg(
-        F.bit_xor(F.xxhash64("id_type", "id_value")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("second"), "id_value", "id_type")).alias("h2"), F.count("*").alias("c"))
-    sets = cut(sets)
-    smallest = sets.groupBy("h1", "h2", "c").agg(F.min("sample").alias("rep"))
-    ann_reaction = protein_annotations.join(rp, "protein_key").select("id_type", "id_value", "reaction_key").distinct()
+    samples, proteins, reached = _matching_sets(protein_annotations, annotations)
+    reactions, of_reaction = _fold(rp.join(proteins, "protein_key"), "reaction_key", ["pset"], "rset")
     pairs = linked.join(mapping, "compound_key").select("reaction_key", "compound_key", "metabolite").distinct()
-    per_reaction = pairs.groupBy("reaction_key", "metabolite").agg(F.count("*").alias("w"))
-    rep_reaction = own.join(smallest.select(F.col("rep").alias("sample")), "sample", "left_semi").join(
-        ann_reaction, ["id_type", "id_value"]).select(F.col("sample").alias("rep"), "reaction_key").distinct()
-    counts = rep_reaction.join(per_reaction, "reaction_key").groupBy("rep", "metabolite").agg(F.sum("w").cast("bigint").alias("n"))
-    return sets.join(smallest, ["h1", "h2", "c"]).select("sample", "rep").join(counts, "rep").select("sample", "metabolite", "n")
+    weights = pairs.join(reactions, "reaction_key").groupBy("rset", "metabolite").agg(F.count("*").alias("w"))
+    counts = reached.join(of_reaction, "pset").select("sset", "rset").distinct().join(weights, "rset").groupBy("sset", "metabolite").agg(
+        F.sum("w").cast("bigint").alias("n"))
+    return samples.join(counts, "sset").select("sample", "metabolite", "n")
 
 
 def report_matrix(counts: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -46,6 +46,16 @@ def test_samples_with_equal_annotations(spark):
     assert {(r.sample, r.metabolite): r.n for r in got.collect()} == {k: len(v) for k, v in want.items()}
 
 
+def test_pairs_of_organisms_and_proteins(spark):
+    """Pairs come out once whatever they share; nulls share nothing; keys with equal sets are all there; empty tables give none."""
+    make = lambda rows, cols: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols.split()))
+    ann = make([("S1", "ec", "1"), ("S1", "ec", "2"), ("S2", "ec", "2"), ("S2", "ec", "1"), ("S3", "ec", None), ("S4", None, "1"), ("S5", "kegg", "1"), ("S6", "ec", "7")], "sample id_type id_value")
+    pa = make([("P1", "ec", "1"), ("P1", "ec", "2"), ("P2", "ec", "2"), ("P3", "ec", None), ("P4", "ec", "2"), ("P4", "ec", "2"), ("P5", "kegg", "1")], "protein_key id_type id_value")
+    got = sorted(map(tuple, S.organism_proteins(pa, ann).collect()))
+    assert got == sorted((s, p) for s in ("S1", "S2") for p in ("P1", "P2", "P4")) + [("S5", "P5")]
+    assert S.organism_proteins(pa.limit(0), ann).count() == S.organism_proteins(pa, ann.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", ["map_metabolites_all_names", "linked_reactions_all_names", "organism_proteins_all_names", "report_long_all_names"])
 def test_against_sql(spark, name):
     ok, message = compare(spark, connect(SF), name, QUERIES[name], SQL[name], SF)
