@@ -8,12 +8,15 @@ from linkloom.catalog.registry import query
 from linkloom.catalog.roles import EQUATION, PARTICIPANT, equation_parts, key, participants, sides, table
 from linkloom.functions.arrays import spread
 from linkloom.functions.equations import format_equation
+from linkloom.session import scratch
+from linkloom.sinks.export import read_ledger
 from linkloom.sources import annotations as A
 from linkloom.sources import models as MD
 from linkloom.sources import pages as P
 from linkloom.sources import records as R
 from linkloom.sources import seeds as S
 from linkloom.sources import tables as T
+from linkloom.streaming.ledger import follow_seeds
 
 s = lambda c: F.col(c).cast("string")
 cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
@@ -47,6 +50,20 @@ def seed_list(spark, sf):
     return got.select("id", "id_type", "entity_type", F.array_join("modes", ",").alias("modes"), F.array_join("organisms", ",").alias("organisms"))
 
 
+@query("seeds_over_time", "SELECT 'P' || user_id AS id, event_type AS entity_type, 1::BIGINT AS n, 1::BIGINT AS n_logged FROM events WHERE user_id IS NOT NULL GROUP BY ALL")
+def seeds_over_time(spark, sf):
+    """Every event names a seed. They arrive in three folders of files; the stream is started anew, from its checkpoint, after each."""
+    e = table(spark, sf, "events").filter("user_id is not null")
+    arrivals = e.select(line(key("P", "user_id"), "kegg", F.coalesce("event_type", F.lit(""))).alias("value"), F.pmod(F.xxhash64("event_id"), F.lit(3)).alias("part"))
+    base = scratch(spark, "seeds")
+    for part in range(3):
+        arrivals.filter(F.col("part") == part).select("value").write.mode("append").text(f"{base}/in")
+        follow_seeds(spark, f"{base}/in", f"{base}/ledger", f"{base}/stream", lambda df: df.select("id", "entity_type", "line").write.mode("append").parquet(f"{base}/done")).awaitTermination()
+    done = spark.read.schema("id string, entity_type string, line string").parquet(f"{base}/done").groupBy("id", "entity_type", "line").agg(F.count("*").alias("n"))
+    logged = read_ledger(spark, f"{base}/ledger").groupBy("line").agg(F.count("*").alias("n_logged"))
+    return done.join(logged, "line", "full").select("id", "entity_type", "n", "n_logged")
+
+
 @query("seed_validation", f"WITH {SEED_SQL} SELECT id, coalesce(reason, 'ok') AS reason FROM bad")
 def seed_validation(spark, sf):
     ok, bad = S.validate_seeds(S.parse_seeds(seed_lines(spark, sf)))

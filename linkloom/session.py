@@ -20,6 +20,7 @@ def build_session(app: str = "linkloom", master: str | None = None, partitions:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     if master:
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
@@ -44,6 +45,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/linkloom-{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, observe: dict | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 

@@ -143,7 +143,14 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger, empty when it does not exist yet."""
     jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return spark.read.parquet(path) if fs.exists(jvm) else spark.createDataFrame([], "line string")
+    if not fs.exists(jvm):
+        return spark.createDataFrame([], "line string")
+    return spark.read.schema("line string").option("recursiveFileLookup", True).parquet(path)
+
+
+def log_batch(seeds: DataFrame, path: str, number: int) -> None:
+    """The lines of a stream's batch in the ledger, under its number: logging a batch again replaces its entry."""
+    seeds.select("line").write.mode("overwrite").parquet(f"{path}/batch-{number}")
 
 
 def log_finished(seeds: DataFrame, path: str) -> None:

@@ -105,10 +105,17 @@ FORMATS = {
 
 
 def read_records(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """One row ``(record)`` per record, decoded; the text before the first record is dropped."""
-    raw = spark.read.option("lineSep", MARK).text(path)
-    return raw.select(F.decode(F.col("value").cast("binary"), encoding).alias("record")).filter(
-        ~F.col("record").startswith("#") & (squeeze("record") != ""))
+    """One row ``(record)`` per record, decoded and without its mark.
+
+    A record begins where a line begins with the mark; the mark inside a line, as in a comment, is text. The scan cuts at
+    the attribute's name only, so a record shows the rest of its mark and what stands before a file's first record, with
+    or without ``#``, does not: it is dropped. Files are split at any byte, and no record is read twice or cut.
+    """
+    name, rest = MARK[: MARK.index(" ")], MARK[MARK.index(" "):]
+    raw = spark.read.option("lineSep", "\n" + name).text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("x"))
+    record = F.when(F.col("x").startswith(rest), F.substr("x", F.lit(len(rest) + 1))).when(
+        F.col("x").startswith(MARK), F.substr("x", F.lit(len(MARK) + 1)))  # the latter where a file begins with a record
+    return raw.select(record.alias("record")).filter(F.col("record").isNotNull() & (squeeze("record") != ""))
 
 
 def _mapping(d: dict[str, str]) -> Column:

@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 SOME = ["expand_prc", "expand_mixed", "reached_network", "ec_extract", "equation_align_ids", "main_id", "chebi_fallback", "name_search",
         "resolve_sparse", "candidate_search", "participant_resolution", "expanded_network", "dead_end_diff", "components", "same_reaction",
         "organism_metabolites", "seed_validation", "reaction_records", "hmdb_reaction_pages", "entity_round_trip", "network_sif", "dense_ids",
-        "shared_keys", "shared_key_nodes"]
+        "shared_keys", "shared_key_nodes", "seeds_over_time", "organism_proteins", "model_filters", "equation_sides", "equation_standardize",
+        "reaction_record_ids"]
 
 
 @pytest.mark.parametrize("name", SOME)

@@ -8,6 +8,7 @@ from linkloom.sources import pages as P
 from linkloom.sources import records as R
 from linkloom.sources import seeds as S
 from linkloom.sources import tables as T
+from linkloom.sinks.export import log_batch, read_ledger
 from linkloom.streaming.ledger import follow_seeds
 
 
@@ -25,6 +26,26 @@ def test_record_file_is_latin1(spark, tmp_path):
                    ("CPD-2", "metacyc", "CPD-2"), ("CPD-2", "inchi", "1S/x")}
 
 
+def test_records_begin_at_line_starts(spark, tmp_path):
+    """The mark inside a comment, heads without ``#``, files without a head, Windows line ends, and splits at any byte."""
+    (tmp_path / "r").mkdir()
+    put(tmp_path / "r", "a.dat", "Compounds of some database\nVersion - 7\n\nUNIQUE-ID - C1\nCOMMENT - see UNIQUE-ID - C9 and\n/UNIQUE-ID - C8\nCOMMON-NAME - one\n//\nUNIQUE-ID - C2\nCOMMON-NAME - two\n//\n")
+    put(tmp_path / "r", "b.dat", "UNIQUE-ID - C3\r\nCOMMON-NAME - three\r\n//\r\nUNIQUE-ID - C4\r\nCOMMON-NAME - four\r\n//\r\n")
+    put(tmp_path / "r", "c.dat", "# only a head\n# no records\n")
+    put(tmp_path / "r", "d.dat", "")
+    put(tmp_path / "r", "e.dat", "# head\n" + "".join(f"UNIQUE-ID - D{i}\nCOMMENT - {'x' * (i % 37)} UNIQUE-ID - no\nCOMMON-NAME - name {i}\n//\n" for i in range(200)))
+    want = {("C1", "one"), ("C2", "two"), ("C3", "three"), ("C4", "four")} | {(f"D{i}", f"name {i}") for i in range(200)}
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    try:
+        for n in (before, "1009", "173", "64"):
+            spark.conf.set(size, n)
+            x = R.records_to_xref(R.read_records(spark, str(tmp_path / "r")), "compound").filter("id_type = 'synonyms'").collect()
+            assert len(x) == len(want) and {(r.entity_key, r.id_value) for r in x} == want, n
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_reaction_file(spark, tmp_path):
     path = put(tmp_path, "r.dat", "UNIQUE-ID - RXN-1\nEC-NUMBER - EC-1.1.1.1\nLEFT - A\n^COEFFICIENT - 2\nLEFT - B\nRIGHT - C\n^COEFFICIENT - n\n"
                "REACTION-DIRECTION - PHYSIOL-RIGHT-TO-LEFT\n//\nUNIQUE-ID - RXN-2\n//\n")
@@ -75,6 +96,38 @@ def test_seed_stream_uses_ledger(spark, tmp_path):
     assert sorted(seen) == ["1", "2", "3"]
 
 
+def test_seed_stream_survives_a_failure(spark, tmp_path):
+    """A batch that fails after its work or before it comes again; lines of an older ledger and lines met before never do."""
+    src, state = tmp_path / "in", {"fail": True}
+    src.mkdir()
+    old = spark.createDataFrame([("0\tkegg\tgene",)], "line string")
+    batches = []
+
+    def process(df):
+        batches.append(sorted(r.line for r in df.collect()))
+        if state["fail"]:
+            raise RuntimeError("lost")
+
+    def run():
+        q = follow_seeds(spark, str(src), str(tmp_path / "ledger"), str(tmp_path / "ck"), process, old, 1)
+        try:
+            q.awaitTermination()
+        except Exception:  # noqa: BLE001  the stream's own failure
+            assert state["fail"]
+
+    put(src, "a.tsv", "0\tkegg\tgene\n1\tkegg\tgene\n\n1\tkegg\tgene\n")
+    run()
+    state["fail"] = False
+    run()
+    put(src, "b.tsv", "1\tkegg\tgene\n2\tkegg\tgene\n")
+    put(src, "c.tsv", "0\tkegg\tgene\n2\tkegg\tgene\n3\tkegg\tgene\n")
+    run()
+    assert batches[0] == batches[1] == ["1\tkegg\tgene"] and sorted(x for b in batches[2:] for x in b) == ["2\tkegg\tgene", "3\tkegg\tgene"]
+    assert sorted(r.line for r in read_ledger(spark, str(tmp_path / "ledger")).collect()) == [f"{i}\tkegg\tgene" for i in (1, 2, 3)]
+    log_batch(spark.createDataFrame([("3\tkegg\tgene",)], "line string"), str(tmp_path / "ledger"), 2)  # logged again: replaced
+    assert read_ledger(spark, str(tmp_path / "ledger")).filter("line like '3%'").count() == 1
+
+
 def test_annotate_end_to_end(spark, tmp_path):
     x = "entity_type string, entity_key string, source_db string, id_type string, id_value string, n long"
     xref = spark.createDataFrame([
