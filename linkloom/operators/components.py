@@ -1,7 +1,8 @@
 """Weakly connected components by alternating star contraction.
 
-Each round only groups edges by node (a map-side combined min) and joins the one-row-per-node result back, so a
-node that touches a third of all edges is never gathered in one task: the join is split by adaptive execution.
+Each round only groups edges by node (a map-side combined min) and joins the one-row-per-node result back. Edges of a
+hub, a node with more than a thousandth of all edges, are spread over all tasks: there are fewer than a thousand hubs
+whatever the input, so their minima go to every task and a giant component is never gathered in one.
 The number of rounds grows with the logarithm of the graph, not with its diameter.
 """
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from linkloom.session import cut, discard
 
+HUB_SHARE = 1000  # a node with more than this part of the edges is a hub
+
 
 def _toward_smaller(e: DataFrame) -> DataFrame:
     """Orient every edge from the larger node ``u`` to the smaller ``v`` and drop loops and repeats."""
@@ -22,19 +25,32 @@ def _toward_smaller(e: DataFrame) -> DataFrame:
     )
 
 
-def _star_large(e: DataFrame) -> DataFrame:
+def _with_minimum(e: DataFrame, far: str, low: DataFrame, n: int) -> DataFrame:
+    """Edges ``(u, far)`` with the minimum ``m`` of their ``u``; ``low`` is ``(u, m, deg)``, ``deg`` the rows of ``u`` among at most ``n`` in ``e``.
+
+    As the degrees add up to ``n`` at most, fewer than ``HUB_SHARE`` rows are broadcast. A hub's edges are dealt by their
+    far ends, of which each meets fewer hubs than that; what they find there is not used.
+    """
+    hub = F.col("deg") * HUB_SHARE > n
+    hubs = F.broadcast(low.filter(hub).select("u", F.col("m").alias("hub_m")))
+    others = low.filter(~hub).select(F.col("u").alias("at"), F.col("m").alias("own_m"))
+    dealt = e.join(hubs, "u", "left").withColumn("at", F.when(F.col("hub_m").isNull(), F.col("u")).otherwise(F.col(far)))
+    return dealt.join(others, "at", "left").select("u", far, F.coalesce("hub_m", "own_m").alias("m"))
+
+
+def _star_large(e: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
-    both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    both = e.select("u", "v", F.lit(0).alias("back")).unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(1).alias("back")))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.sum("back").alias("deg"))
     # neighbours larger than the centre are exactly the stored edges read backwards
-    out = e.select(F.col("v").alias("u"), F.col("u").alias("far")).join(low, "u")
+    out = _with_minimum(e.select(F.col("v").alias("u"), F.col("u").alias("far")), "far", low, n)
     return _toward_smaller(out.select(F.col("far").alias("u"), F.col("m").alias("v")))
 
 
-def _star_small(e: DataFrame) -> DataFrame:
+def _star_small(e: DataFrame, n: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, is linked to the smallest of them."""
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
-    out = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg"))
+    out = _with_minimum(e, "v", low, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _toward_smaller(out.unionByName(low.select("u", F.col("m").alias("v"))))
 
 
@@ -56,8 +72,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         pairs.select(F.explode(F.array("u", "v")).alias("node")).filter(F.col("node").isNotNull()).distinct()
     )
     e = cut(_toward_smaller(pairs.filter(F.col("v").isNotNull())), _fingerprint())
-    while e.observed["n"]:
-        before, e = e, cut(_star_small(_star_large(e)), _fingerprint())
+    while n := e.observed["n"]:
+        # the large star makes no more edges than it reads, so ``n`` holds for the small one too
+        before, e = e, cut(_star_small(_star_large(e, n), n), _fingerprint())
         discard(before)
         if before.observed == e.observed:
             break

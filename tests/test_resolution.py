@@ -89,6 +89,27 @@ def test_components(spark):
     assert {r.node: r.component for r in back.collect()} == {k: v for k, v in got.items() if k != "q"}
 
 
+def test_components_with_hubs(spark):
+    """Hubs that are linked to each other, from both ends, with loops and repeated links, against union-find."""
+    rnd = random.Random(4)
+    hubs = [5000, 1, 2500, 9000]
+    edges = [(h, rnd.randrange(10000)) for h in hubs for _ in range(1500)] + [(rnd.randrange(10000), h) for h in hubs[:2] for _ in range(500)]
+    edges += [(rnd.randrange(20000, 26000), rnd.randrange(20000, 26000)) for _ in range(2500)] + [(5000, 1), (5000, 1), (7, 7), (30001, None), (30002, 30002)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(a if b is None else b)
+        root[max(x, y)] = min(x, y)
+    got = connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(3)).collect()
+    assert len(got) == len(root) and {r.node: r.component for r in got} == {x: find(x) for x in root}
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
 EDGE = "edge_type string, src_key string, dst_key string, source_db string"
 PART = "reaction_key string, side string, pos int, stoich int, stoich_raw string, compound_key string"
 REACTION = "reaction_key string, direction string"
