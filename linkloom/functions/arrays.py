@@ -16,8 +16,11 @@ def spread(df: DataFrame, array, name: str, *keep, pos: str | None = None) -> Da
 
     A plain ``explode`` of a computed array makes the optimizer add a size filter on the same expression, pushed
     below everything, so a costly expression runs twice. The outer form with a null filter above it does not.
+    ``keep`` is computed below the generator: beside it an expression would run once for each element, which over a long
+    row is the square of its length.
     """
+    rows = df.select(*keep, (F.col(array) if isinstance(array, str) else array).alias("_array"))
+    kept = [c for c in rows.columns if c != "_array"]
     if pos:
-        out = df.select(*keep, F.posexplode_outer(array).alias(pos, name))
-        return out.filter(F.col(pos).isNotNull())
-    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+        return rows.select(*kept, F.posexplode_outer("_array").alias(pos, name)).filter(F.col(pos).isNotNull())
+    return rows.select(*kept, F.explode_outer("_array").alias(name)).filter(F.col(name).isNotNull())
