@@ -175,22 +175,28 @@ def format_equation(parts, sign, with_stoich: bool = True) -> Column:
 
 
 def equation_sides(col) -> Column:
-    """``struct<sign, reversible, left, right>`` of an id equation, both sides split on ``+``; an empty side is an empty list."""
-    c = _c(col)
-    sign = F.coalesce(*[F.when(F.contains(c, F.lit(way)), F.lit(way)) for way in DIRECTIONS])
-    at = F.instr(c, sign)
-    left = F.substring(c, F.lit(1), at - 1)
-    right = F.substring(c, at + F.length(sign), F.length(c))
+    """``struct<sign, reversible, left, right>`` of an id equation, both sides split on ``+``; an empty side is an empty list.
 
+    The equation is computed once, however costly the expression that makes it.
+    """
     def ids(t: Column) -> Column:
         return F.transform(F.filter(F.split(t, r"\+"), lambda x: F.trim(t) != ""), lambda x: F.trim(x))
 
-    return F.struct(
-        sign.alias("sign"),
-        F.contains(c, F.lit("<=>")).alias("reversible"),
-        ids(left).alias("left"),
-        ids(right).alias("right"),
-    )
+    def read(x: Column) -> Column:
+        c, sign = x["text"], x["sign"]
+        at = F.instr(c, sign)
+        return F.struct(
+            sign.alias("sign"),
+            F.contains(c, F.lit("<=>")).alias("reversible"),
+            ids(F.substring(c, F.lit(1), at - 1)).alias("left"),
+            ids(F.substring(c, at + F.length(sign), F.length(c))).alias("right"),
+        )
+
+    def signed(c: Column) -> Column:
+        sign = F.coalesce(*[F.when(F.contains(c, F.lit(way)), F.lit(way)) for way in DIRECTIONS])
+        return let(F.struct(c.alias("text"), sign.alias("sign")), read)
+
+    return let(_c(col), signed)
 
 
 def equation_ids(col) -> Column:

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkloom.functions.arrays import let
+
 # Qualifier tags removed from names.
 QUALIFIERS = ["(non-preferred name)", "(brand name)", "(ambiguous)"]
 
@@ -31,9 +33,8 @@ def decode_entities(col) -> Column:
     """Decode all character references that end in ``;``: decimal, hexadecimal, and every name that HTML defines.
 
     The text is split at ``&`` and each piece is decoded once, so what a reference decodes to is never decoded again.
-    Unknown names and numbers beyond Unicode stay as they are.
+    Unknown names and numbers beyond Unicode stay as they are. The text itself is computed once.
     """
-    c = _c(col)
     table = {name[:-1]: text for name, text in html.entities.html5.items() if name.endswith(";")}
     named = F.from_json(F.lit(json.dumps(table)), "map<string,string>")  # a constant, made once per plan
 
@@ -51,14 +52,20 @@ def decode_entities(col) -> Column:
         rest = F.substring(p, F.length(body) + 2, F.length(p))
         return F.when(found.isNotNull(), F.concat(found, rest)).otherwise(F.concat(F.lit("&"), p))
 
-    joined = F.array_join(F.transform(F.split(c, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(piece(p))), "")
-    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
+    def decoded(c: Column) -> Column:
+        joined = F.array_join(F.transform(F.split(c, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(piece(p))), "")
+        return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
+
+    return let(_c(col), decoded)
 
 
 def strip_tags(col) -> Column:
     """Remove comments and markup, keep the text between tags, decode character references."""
-    c = F.regexp_replace(_c(col), r"(?s)<!--.*?-->", "")
-    return decode_entities(F.regexp_replace(c, r"(?s)</?[a-zA-Z!?][^>]*>", ""))
+    def bare(c: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), r"(?s)</?[a-zA-Z!?][^>]*>", "")
+        return F.when(F.contains(c, F.lit("<")), plain).otherwise(c)
+
+    return decode_entities(let(_c(col), bare))
 
 
 def strip_prefix(col) -> Column:
