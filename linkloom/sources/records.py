@@ -5,6 +5,8 @@ One record is one row, so all lines of a record are read with array functions an
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,16 +124,30 @@ def _mapping(d: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
+_BLANKS = " \t\n\x0b\f\r"
+_ENDS = ("\x85", "\u2028", "\u2029")  # further ends of a line to ``$``: a text that holds one is trimmed by patterns
+
+
 def _lines(records: DataFrame) -> DataFrame:
-    """``(entity_key, lines array<struct<attr, text>>)`` per record."""
-    raw = F.split("record", "\r?\n")
-    attr = lambda x: F.regexp_extract(x, r"^(\S+)", 1)
-    value = lambda x: strip_tags(squeeze(F.regexp_replace(squeeze(F.regexp_replace(x, r"^\S+", "")), r"^-+|-+$", "")))
-    body = F.filter(F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 1, F.lit(0))), lambda x: x.rlike(r"^[\^A-Z][A-Z0-9-]*( |$)"))
-    return records.select(
-        strip_tags(squeeze(F.element_at(raw, 1))).alias("entity_key"),
-        F.transform(body, lambda x: F.struct(attr(x).alias("attr"), value(x).alias("text"))).alias("lines"),
-    )
+    """``(entity_key, lines array<struct<attr, text>>)`` per record; a record is split once, and plain lines are trimmed without patterns."""
+    odd = reduce(lambda a, b: a | b, [F.contains("record", F.lit(x)) for x in _ENDS])
+
+    def value(x: Column, attr: Column, odd: Column) -> Column:
+        by_pattern = squeeze(F.regexp_replace(squeeze(F.regexp_replace(x, r"^\S+", "")), r"^-+|-+$", ""))
+        rest = F.substring(x, F.length(attr) + 1, F.length(x))
+        plain = F.trim(F.trim(F.trim(rest, F.lit(_BLANKS)), F.lit("-")), F.lit(_BLANKS))
+        return strip_tags(F.when(odd, by_pattern).otherwise(plain))
+
+    def read(r: Column) -> Column:
+        raw, odd = r["raw"], r["odd"]
+        body = F.filter(F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 1, F.lit(0))), lambda x: x.rlike(r"^[\^A-Z][A-Z0-9-]*( |$)"))
+        named = F.transform(body, lambda x: F.struct(F.regexp_extract(x, r"^(\S+)", 1).alias("attr"), x.alias("line")))
+        return F.struct(
+            strip_tags(squeeze(F.element_at(raw, 1))).alias("entity_key"),
+            F.transform(named, lambda x: F.struct(x["attr"].alias("attr"), value(x["line"], x["attr"], odd).alias("text"))).alias("lines"))
+
+    whole = let(F.struct(F.split("record", "\r?\n").alias("raw"), odd.alias("odd")), read)
+    return records.select(whole.alias("r")).select("r.entity_key", "r.lines")
 
 
 def records_to_xref(records: DataFrame, entity_type: str, source_db: str = "metacyc") -> DataFrame:
@@ -175,7 +191,7 @@ def records_to_reactions(records: DataFrame) -> DataFrame:
     rows = _lines(records.filter(F.col("record").rlike(r"(?m)^(LEFT|RIGHT)( |$)")))
     way = F.element_at(F.concat(F.array(F.lit("")), F.transform(
         F.filter("lines", lambda x: x["attr"] == "REACTION-DIRECTION"), lambda x: x["text"])), -1)
-    sign = F.when(F.contains(way, F.lit("RIGHT-TO-LEFT")), "<=").when(F.contains(way, F.lit("LEFT-TO-RIGHT")), "=>").otherwise("<=>")
+    sign = let(way, lambda w: F.when(F.contains(w, F.lit("RIGHT-TO-LEFT")), "<=").when(F.contains(w, F.lit("LEFT-TO-RIGHT")), "=>").otherwise("<=>"))
 
     def read_parts(kept: Column) -> Column:
         def part(x: Column, i: Column) -> Column:
