@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from linkloom.functions.equations import equation_sides
+from linkloom.operators import components as C
 from linkloom.operators import lookup as L
 from linkloom.operators import network as N
 from linkloom.operators import samples as S
@@ -118,3 +119,41 @@ def test_sides_of_a_costly_equation_are_read_once(spark):
     got = df.select(equation_sides(F.concat("l", F.lit(" => "), "r")).alias("s")).select("s.sign", "s.reversible", "s.left", "s.right")
     assert got._jdf.queryExecution().optimizedPlan().toString().count("concat(") == 1
     assert [tuple(r) for r in got.collect()] == [("<=>", True, ["a => b"], ["c"]), ("=>", False, ["a", "d"], ["e"]), (None, None, None, None)]
+
+
+def _components(rows):
+    near = {}
+    for a, b in rows:
+        if a is not None:
+            near.setdefault(a, set())
+        if b is not None:
+            near.setdefault(b, set())
+        if a is not None and b is not None:
+            near[a].add(b), near[b].add(a)
+    out = {}
+    for node in sorted(near):
+        todo = [] if node in out else [node]
+        while todo:
+            x = todo.pop()
+            if x not in out:
+                out[x] = node
+                todo += near[x]
+    return out
+
+
+def test_components_of_texts_are_contracted_as_numbers(spark, monkeypatch):
+    """Chains, a hub with a third of the nodes, isolated nodes, nulls, loops and repeats; no round moves a text."""
+    rows = [(f"n{k}", f"n{k + 1}") for k in range(0, 90) if k % 10] + [("hub", f"h{k}") for k in range(60)] + [(f"i{k}", None) for k in range(5)]
+    rows += [("n5", "n5"), ("hub", "h1"), (None, "z"), ("a", "hub"), ("\u00e9", "x")]
+    kinds, star = [], C._star_large
+    monkeypatch.setattr(C, "_star_large", lambda e, n: (kinds.append(dict(e.dtypes)["u"]), star(e, n))[1])
+    got = [tuple(r) for r in C.connected_components(spark.createDataFrame(rows, "src string, dst string")).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == _components(rows)
+    assert set(kinds) == {"bigint"}
+
+
+def test_components_of_texts_whose_hashes_clash(spark, monkeypatch):
+    rows = [("a", "b"), ("c", "d"), ("d", "e"), ("f", None)]
+    monkeypatch.setattr(C.F, "xxhash64", lambda *cols: F.length(cols[0]).cast("bigint"))
+    got = dict(tuple(r) for r in C.connected_components(spark.createDataFrame(rows, "src string, dst string")).collect())
+    assert got == _components(rows)
