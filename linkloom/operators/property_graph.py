@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.arrays import spread
 from linkloom.functions.equations import equation_sides
+from linkloom.session import cut
 
 # Field names with their relationship type.
 LINK_FIELDS = {
@@ -86,17 +87,20 @@ def _neighbours(of: DataFrame, rels: DataFrame, nodes: DataFrame, label: str, ty
 
 
 def network_from_annotations(annotations: DataFrame, nodes: DataFrame, id_rels: DataFrame, rels: DataFrame) -> DataFrame:
-    """``(id, label)``: proteins that hold an annotation id, their reactions and genes, and the reactions' compounds."""
+    """``(id, label)``: proteins that hold an annotation id, their reactions and genes, and the reactions' compounds.
+
+    Each kind of node is written once, since the next kinds and whoever reads the result would walk to it again.
+    """
     wanted = annotations.select(
         F.concat(F.lit("HAS_"), F.upper("id_type")).alias("rel_type"), F.col("id_value")).distinct()
     holder = id_rels.select(F.col("src").alias("id"), "rel_type", F.expr("substring(dst, locate(':', dst) + 1)").alias("id_value"))
-    protein = holder.join(wanted, ["rel_type", "id_value"], "left_semi").select("id").distinct().join(
-        nodes.filter(F.col("label") == "Protein"), "id", "left_semi")
-    reaction = _neighbours(protein, rels, nodes, "Reaction", ["CONNECTED_TO"])
+    protein = cut(holder.join(wanted, ["rel_type", "id_value"], "left_semi").select("id").distinct().join(
+        nodes.filter(F.col("label") == "Protein"), "id", "left_semi"))
+    reaction = cut(_neighbours(protein, rels, nodes, "Reaction", ["CONNECTED_TO"]))
     gene = _neighbours(protein, rels, nodes, "Gene", ["CONNECTED_TO"])
     compound = _neighbours(reaction, rels, nodes, "Compound", ["IS_SUBSTRATE", "IS_PRODUCT"])
     tag = lambda df, label: df.select("id", F.lit(label).alias("label"))
-    return tag(protein, "Protein").unionByName(tag(reaction, "Reaction")).unionByName(tag(gene, "Gene")).unionByName(tag(compound, "Compound"))
+    return cut(tag(protein, "Protein").unionByName(tag(reaction, "Reaction")).unionByName(tag(gene, "Gene")).unionByName(tag(compound, "Compound")))
 
 
 def rels_to_kv(chosen: DataFrame, id_rels: DataFrame, rels: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from linkloom.functions.equations import equation_sides
 from linkloom.operators import components as C
 from linkloom.operators import lookup as L
+from linkloom.operators import matching as M
 from linkloom.operators import network as N
+from linkloom.operators import property_graph as G
 from linkloom.operators import samples as S
 from linkloom.sinks.export import sif_organisms
 from linkloom.sources import pages as P
@@ -157,3 +159,31 @@ def test_components_of_texts_whose_hashes_clash(spark, monkeypatch):
     monkeypatch.setattr(C.F, "xxhash64", lambda *cols: F.length(cols[0]).cast("bigint"))
     got = dict(tuple(r) for r in C.connected_components(spark.createDataFrame(rows, "src string, dst string")).collect())
     assert got == _components(rows)
+
+
+def test_pairs_of_masks_are_rows_not_arrays(spark):
+    """Pairs of masks within a group were decided inside one expression over arrays, up to the square of the masks for each row."""
+    cfg = M.MatchConfig(tuple(M.Rule(t) for t in "abcd"), 3, hmdb_type=None)
+    blocks = spark.createDataFrame([(1, "g", m, f"e{m}", 2) for m in (1, 3, 7, 15)], "o_mask int, key string, mask int, rep string, c long")
+    told = M._open_masks(blocks, cfg)
+    assert "lambda" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.mask for r in told.collect()} == {3, 7, 15}
+
+
+def test_values_of_an_entity_are_dealt_once(spark):
+    """What is asked of each entity (mask, digests, first row) needs no shuffle beside that of its distinct values."""
+    cfg = M.MatchConfig(tuple(M.Rule(t) for t in "ab"), 2, hmdb_type=None)
+    rows = [("x", f"e{i}", "s", t, f"{t}{i // 2}", 1) for i in range(6) for t in "ab"]
+    feats = M.features(spark.createDataFrame(rows, "entity_type string, entity_key string, source_db string, id_type string, id_value string, n long"), cfg)
+    assert M.masks(feats)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {tuple(r) for r in M.match_links(feats, cfg).collect()} == {("e1", "e0"), ("e3", "e2"), ("e5", "e4")}
+
+
+def test_network_of_annotations_is_written_once(spark):
+    """Whoever reads the chosen nodes must not walk the relations again."""
+    kv = spark.createDataFrame([("protein", "P1", "enzyme_ec", "1.1.1.1"), ("protein", "P1", "reactions_connected", "R1"), ("reaction", "R1", "kegg", "R"),
+                                ("gene", "G1", "proteins_connected", "P1"), ("gene", "G2", "synonyms", "x")], "entity_type string, internal_id string, k string, v string")
+    ann = spark.createDataFrame([("enzyme_ec", "1.1.1.1")], "id_type string, id_value string")
+    chosen = G.network_from_annotations(ann, G.property_nodes(kv), G.property_id_nodes(kv)[1], G.property_rels(kv))
+    assert "Join" not in chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in chosen.collect()} == {("P1", "Protein"), ("R1", "Reaction"), ("G1", "Gene")}
