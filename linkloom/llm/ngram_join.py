@@ -37,6 +37,8 @@ from linkloom.session import cut
 LEVEL_BITS = 20  # buckets of the table of frequent n-grams: one byte each
 FREQUENT = 8  # an n-gram is frequent from so many documents on
 KEY_BITS = 40  # of the hash, to count by; more only order columns better
+SLICE_BYTES = 512 << 10  # of text whose words and n-grams are held at once
+PACK = 1_000_000  # n-grams that a task holds before it counts and sends them
 PART_LEVEL = 11  # columns held by more than 2^11 documents are dealt over parts of about so many rows
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,7 +99,7 @@ def ngram_sets(texts, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 def _digests(texts_df: DataFrame, key: str, n: int) -> DataFrame:
     def run(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             grams, at = ngram_sets(part.column("text"), n)
             with np.errstate(over="ignore"):
                 one, two = np.concatenate([[0], np.cumsum(grams)]).astype(np.uint64), np.concatenate([[0], np.cumsum(_fmix(grams ^ _M))]).astype(np.uint64)
@@ -119,8 +121,13 @@ def _levels(texts_df: DataFrame, total: int, n: int) -> bytes:
     step = np.uint64(-(-(1 << KEY_BITS) // ranges))
 
     def pack(held):
-        keys, counts = np.unique(np.concatenate(held) >> shift, return_counts=True)
-        counts = np.minimum(counts, 65535).astype("<u2")
+        keys = np.concatenate(held)  # the one copy: shifted and sorted in place
+        held.clear()
+        keys >>= shift
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        counts = np.minimum(np.diff(first, append=len(keys)), 65535).astype("<u2")
+        keys = keys[first]
         cuts = np.searchsorted(keys, step * np.arange(ranges + 1, dtype=np.uint64))
         out = {"part": [], "keys": [], "counts": []}
         for p in range(ranges):
@@ -134,10 +141,10 @@ def _levels(texts_df: DataFrame, total: int, n: int) -> bytes:
 
     def run(batches):
         held, size = [], 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             held.append(ngram_sets(part.column("text"), n)[0])
             size += len(held[-1])
-            if size > 2_000_000:
+            if size > PACK:
                 yield pack(held)
                 held, size = [], 0
         if size:
@@ -175,7 +182,7 @@ def _blocks(texts_df: DataFrame, key: str, levels, n: int, percent: int) -> Data
     """``(id, n, grams, level)``: the first columns of each set in the global order."""
     def run(batches):
         table = np.frombuffer(levels.value, np.uint8)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             grams, at = ngram_sets(part.column("text"), n)
             level = table[((grams >> np.uint64(64 - KEY_BITS)) & np.uint64((1 << LEVEL_BITS) - 1)).astype(np.int64)]
             rank = (level.astype(np.uint64) << np.uint64(58)) | (grams >> np.uint64(6))
@@ -215,7 +222,7 @@ def _wanted_sets(texts_df: DataFrame, key: str, ids: DataFrame, n: int, bits: in
         for batch in batches:
             hit = np.flatnonzero(has[batch.column("slot").to_numpy()])
             if len(hit):
-                for part in slices([batch.take(pa.array(hit))], "text"):
+                for part in slices([batch.take(pa.array(hit))], "text", SLICE_BYTES):
                     grams, at = ngram_sets(part.column("text"), n)
                     sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(grams.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([part.column("id"), sets], names=["id", "grams"])

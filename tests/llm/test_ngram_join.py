@@ -90,3 +90,14 @@ def test_sets(monkeypatch):
     first, fourth = set(grams[at[0] : at[1]].tolist()), set(grams[at[3] : at[4]].tolist())
     assert first < fourth and (np.diff(grams[at[3] : at[4]].astype(object)) > 0).all()
     assert len(ngram_join.ngram_sets(pa.array([], pa.string()))[0]) == 0
+
+
+def test_tasks_hold_a_bounded_number_of_ngrams(spark, monkeypatch):
+    """Counts come in many packs and texts in small slices; what is found is the same."""
+    base = [" ".join(f"w{i}_{k}" for k in range(60)) for i in range(12)]
+    texts = [t + (" tail" if c else "") for t in base for c in range(9)] + ["", None, "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    want = {i: (i // 9 * 9 if i < 108 else i) for i in range(len(texts))}
+    monkeypatch.setattr(ngram_join, "PACK", 100)
+    monkeypatch.setattr(ngram_join, "SLICE_BYTES", 600)
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == want
