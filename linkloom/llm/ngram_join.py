@@ -12,6 +12,8 @@ of the matrix times its transpose; only entries that reach the threshold are wan
    column); pairs that reach the threshold join classes. What then still shares a column but not a class is paired.
    Both times a pair is discarded where the column they meet in and all that may follow it stay below the overlap that
    their sizes demand: in the first column that two sets share, no pair of the threshold is discarded.
+   Where more than ``WIDE`` rows are left in a column, they are first held against one reference set, and only what they lack of
+   it and have beside it is joined, rare differences first: near copies just below the threshold share few of these.
 4. For what is left, overlaps of the whole sets are accumulated and held against the bound.
 
 Every pair of similarity ``t`` or more is either inside one class already or reaches step 4, so no link between
@@ -39,6 +41,7 @@ FREQUENT = 8  # an n-gram is frequent from so many documents on
 KEY_BITS = 40  # of the hash, to count by; more only order columns better
 SLICE_BYTES = 512 << 10  # of text whose words and n-grams are held at once
 PACK = 1_000_000  # n-grams that a task holds before it counts and sends them
+WIDE = 64  # a column where more rows than these are left after the star is settled by differences
 PART_LEVEL = 11  # columns held by more than 2^11 documents are dealt over parts of about so many rows
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,8 +104,9 @@ def _digests(texts_df: DataFrame, key: str, n: int) -> DataFrame:
     def run(batches):
         for part in slices(batches, "text", SLICE_BYTES):
             grams, at = ngram_sets(part.column("text"), n)
+            zero = np.zeros(1, np.uint64)  # a list would turn the sums into doubles, and equal sets would differ by their place in the slice
             with np.errstate(over="ignore"):
-                one, two = np.concatenate([[0], np.cumsum(grams)]).astype(np.uint64), np.concatenate([[0], np.cumsum(_fmix(grams ^ _M))]).astype(np.uint64)
+                one, two = np.concatenate([zero, np.cumsum(grams)]), np.concatenate([zero, np.cumsum(_fmix(grams ^ _M))])
                 f1, f2 = one[at[1:]] - one[at[:-1]], two[at[1:]] - two[at[:-1]]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(at)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))],
                                              names=["id", "n", "f1", "f2"])
@@ -253,6 +257,43 @@ def _may_link(a: str, b: str, percent: int):
     return most * (100 + percent) >= (F.col("n" + a) + F.col("n" + b)) * percent
 
 
+def _by_differences(texts_df: DataFrame, key: str, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` among ``rows (ref, id, cls)`` of one ``ref``: with links between all classes that links of their rows tie.
+
+    Each row is told by what its set lacks of its reference's set and what it has beside it. Two rows have ``size of ref - lacks
+    of one - lacks of the other + what their differences share`` in common, so ``need`` is how much these must share. Where it
+    is nothing, both link with the row ``low`` of the least weight. Else they share one of their rarest differences; those that
+    no other row has are left out.
+    """
+    rows = cut(rows)
+    sets = cut(_wanted_sets(texts_df, key, rows.select(F.explode(F.array("ref", "id")).alias("id")).distinct(), n))
+    told = rows.join(sets, "id").join(sets.select(F.col("id").alias("ref"), F.col("grams").alias("of")), "ref")
+    told = told.withColumns({"ref": F.struct("ref", F.xxhash64("of")), "id": F.struct("id", F.xxhash64("grams"))})  # ids may repeat with other texts
+    lacks, has = F.array_except("of", "grams"), F.array_except("grams", "of")
+    told = told.select("ref", "id", "cls", F.size("grams").alias("n"), F.size("of").alias("n_ref"), lacks.alias("lacks"), has.alias("has"))
+    # in units of 1 / (100 + percent); rows whose weights reach no more than the reference's whole size need share nothing
+    weight = F.size("lacks") * (100 + percent) + F.col("n") * percent
+    told = cut(told.withColumn("w", weight).withColumn("whole", F.col("n_ref") * (100 + percent)))
+    low = told.groupBy("ref").agg(F.min(F.struct("w", "id")).alias("low")).select("ref", F.col("low.id").alias("low"), F.col("low.w").alias("w_low"))
+    told = told.join(low, "ref").withColumn("sure", F.col("w") + F.col("w_low") <= F.col("whole"))
+    star = told.filter("sure and id.id <> low.id").select(F.least("id.id", "low.id").alias("a"), F.greatest("id.id", "low.id").alias("b"))
+
+    # of ref's columns and of others alike: a set holds a hash or lacks it, never both
+    cells = told.select("ref", "id", F.explode(F.concat("lacks", "has")).alias("d"))
+    often = cells.groupBy("ref", "d").agg(F.count("*").alias("often")).filter("often > 1")
+    shared = cells.join(often, ["ref", "d"]).groupBy("ref", "id").agg(F.array_sort(F.collect_list(F.struct("often", "d"))).alias("ds"))
+    least = F.greatest(F.ceil((F.col("w") + F.col("w_low") - F.col("whole")) / (100 + percent)), F.lit(1)).cast("int")
+    heads = told.join(shared, ["ref", "id"]).withColumn("k", F.size("ds")).withColumn("take", F.col("k") - least + 1).filter("take > 0")
+    heads = heads.withColumn("ds", F.col("ds.d")).select("ref", "id.id", "cls", "w", "whole", "sure", "k", "ds", F.posexplode(F.slice("ds", F.lit(1), F.col("take"))).alias("at", "d"))
+    heads = cut(heads)
+    side = lambda s: heads.select("ref", "d", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "cls", "w", "sure", "k", "at", "ds")], *(["whole"] if s == "a" else []))
+    need = F.col("w_a") + F.col("w_b") - F.col("whole")
+    most = F.least(F.col("k_a") - F.col("at_a"), F.col("k_b") - F.col("at_b"))
+    met = side("a").join(side("b"), ["ref", "d"]).filter((F.col("cls_a") < F.col("cls_b")) & ~(F.col("sure_a") & F.col("sure_b")) & (most * (100 + percent) >= need))
+    met = met.filter(F.size(F.array_intersect("ds_a", "ds_b")) * (100 + percent) >= need)
+    return star.unionByName(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """``(id_col, n_shingles, component_id, class_id)`` for every row of ``docs``.
 
@@ -283,14 +324,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cells = blocks.select("id", "n", F.explode("grams").alias("x")).select("id", "n", F.col("x.g").alias("g"), F.col("x.l").alias("l"), F.col("x.pos").alias("pos"))
     parts = F.expr(f"shiftleft(1, greatest(cast(l as int) - {PART_LEVEL}, 0))")
     cells = cells.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    w = Window.partitionBy("g", "part").orderBy("id")
+    # the first row is the one with the fewest rare columns, the plainest of a group of near copies
+    w = Window.partitionBy("g", "part").orderBy("pos", "id")
     head = F.first(F.struct("id", "n", "pos"))
     told = cells.withColumns({"head": head.over(w), "next": F.lead("id").over(w)})
     told = told.filter(f"head.id <> id or next is not null or l > {PART_LEVEL}")
     cells = cut(told.select("g", "id", "n", "pos", F.col("head.id").alias("first"), F.col("head.n").alias("n_first"), F.col("head.pos").alias("pos_first"), F.col("l").cast("int").alias("l")))
-    pair = [F.col("first").alias("a"), F.col("id").alias("b")]
+    pair = [F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")]
     star = cells.filter(F.col("first") != F.col("id")).filter(_may_link("", "_first", percent)).select(*pair)
-    heads = cells.filter(f"l > {PART_LEVEL} and first = id").select("g", "id", "n", "pos").withColumn("head", head.over(Window.partitionBy("g").orderBy("id")))
+    heads = cells.filter(f"l > {PART_LEVEL} and first = id").select("g", "id", "n", "pos").withColumn("head", head.over(Window.partitionBy("g").orderBy("pos", "id")))
     heads = heads.select("id", "n", "pos", F.col("head.id").alias("first"), F.col("head.n").alias("n_first"), F.col("head.pos").alias("pos_first"))
     heads = heads.filter(F.col("first") != F.col("id")).filter(_may_link("", "_first", percent)).select(*pair)
     tried = cut(star.unionByName(heads).distinct())
@@ -303,9 +345,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = held.select("g", "id", "n", "pos", F.coalesce("component", "id").alias("cls"))
     mixed = held.groupBy("g").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("g")
     left = cut(held.join(mixed, "g", "left_semi"))
-    side = lambda s: left.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "cls")])
+    wide = cut(left.groupBy("g").agg(F.count("*").alias("k"), F.min(F.struct("pos", "id")).alias("ref")).filter(F.col("k") > WIDE).select("g", F.col("ref.id").alias("ref")))
+    narrow = left.join(wide, "g", "left_anti")
+    side = lambda s: narrow.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "cls")])
     met = side("a").join(side("b"), "g").filter((F.col("cls_a") < F.col("cls_b")) & _may_link("_a", "_b", percent))
-    pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    if not wide.isEmpty():
+        met = met.unionByName(_by_differences(here, key, left.join(wide, "g").select("ref", "id", "cls").distinct(), n, percent))
+    pairs = met.distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(_verified(here, key, cut(pairs), n, percent))
 
     # rows of a repeated id are one node: tie their classes together

@@ -101,3 +101,39 @@ def test_tasks_hold_a_bounded_number_of_ngrams(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PACK", 100)
     monkeypatch.setattr(ngram_join, "SLICE_BYTES", 600)
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == want
+
+
+def near_misses(seed):
+    """Groups of edited copies, most pairs of which stay just below the threshold, and repeated ids with other texts."""
+    rng, docs = random.Random(seed), []
+    for f, (size, words) in enumerate([(120, 150), (90, 60)]):
+        base = [f"t{f}x{k}" for k in range(words)]
+        spots = [rng.randrange(words) for _ in range(12)]
+        for k in range(size):
+            text = list(base)
+            for _ in range(rng.randint(1, max(2, words // 40))):
+                text[rng.choice(spots) if k % 3 == 0 else rng.randrange(words)] = f"e{rng.randrange(10**6) if k % 2 else f}"
+            docs.append((1000 * f + (k if k % 10 else 0), " ".join(text)))
+    rng.shuffle(docs)
+    return docs
+
+
+def test_groups_below_the_threshold(spark, monkeypatch):
+    """A large group is settled by what its rows differ in; few pairs are left to verify."""
+    verified, old = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda texts, key, pairs, n, p: verified.append(pairs.count()) or old(texts, key, pairs, n, p))
+    monkeypatch.setattr(ngram_join, "WIDE", 8)
+    for seed in (1, 2):
+        docs = near_misses(seed)
+        verified.clear()
+        got = ngram_join.jaccard_components(spark.createDataFrame(docs, DOC)).collect()
+        want = by_hand(docs)
+        assert {(r.doc_id, r.component_id) for r in got} == set(want.items())
+        assert sum(verified) < 210 * 10
+
+
+def test_equal_sets_are_one_class_wherever_they_stand(spark):
+    """A set's digest does not depend on the texts before it in the slice."""
+    docs = [(k, f"own{k} " * 7 + " ".join(f"w{k}_{j}" for j in range(50)) if k % 2 else "the same words in every second text of all") for k in range(40)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, DOC).coalesce(1)).collect()
+    assert {r.doc_id: r.class_id for r in got} == {k: k if k % 2 else 0 for k in range(40)}
