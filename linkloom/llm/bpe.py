@@ -22,6 +22,7 @@ import hashlib
 import os
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from linkloom.llm.arrow import map_arrow, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_BYTES = 16 << 20  # of frequent matches kept by a worker, counted with CACHE_ENTRY for each
+CACHE_BYTES = 32 << 20  # of frequent matches kept by a worker, counted with CACHE_ENTRY for each
 CACHE_ENTRY = 200
 CACHE_CHARS = 40  # longer matches are not kept
 SLICE_BYTES = 256 << 10  # of texts that are split into Python strings at once
@@ -93,7 +94,8 @@ class Encoder:
         for raw in overlapping(self.ranks):
             self.doubtful.add_word(raw.decode("latin-1"), True)
         self.doubtful.make_automaton()
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # two generations: what is met again moves from the older to the newer
+        self.older: dict[str, bytes] = {}
         self.cached = 0
         self._known: set[str] = set()
         self._tiktoken = None
@@ -125,26 +127,37 @@ class Encoder:
     def _doubted(self, raw: bytes) -> bool:
         return len(self.doubtful) > 0 and next(self.doubtful.iter(raw.decode("latin-1")), None) is not None
 
+    def _suspects(self, pieces: list[bytes]) -> set[int]:
+        """The pieces that may hold a doubtful byte string, by one pass over all; 0xFF is no byte of UTF-8."""
+        if not len(self.doubtful):
+            return set()
+        starts = np.cumsum([0, *[len(p) + 1 for p in pieces]])
+        ends = [end for end, _ in self.doubtful.iter(b"\xff".join(pieces).decode("latin-1"))]
+        return set((np.searchsorted(starts, ends, side="right") - 1).tolist())
+
     def _ids(self, pieces: list[str]):
         """The ids of each piece as little-endian 32-bit integers."""
-        for piece, out in zip(pieces, self.model.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids, raw = out.ids, piece.encode()
-            if len(ids) > 1 and self._doubted(raw):
-                ids = self.tiktoken._encode_single_piece(raw)
-            yield piece, np.array(ids, dtype="<u4").tobytes()
+        found = [out.ids for out in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+        raw = [p.encode() for p in pieces]
+        for i in self._suspects(raw):
+            if len(found[i]) > 1 and self._doubted(raw[i]):
+                found[i] = self.tiktoken._encode_single_piece(raw[i])
+        flat = np.fromiter(chain.from_iterable(found), dtype="<u4").tobytes()
+        ends = np.cumsum([4 * len(ids) for ids in found]).tolist()
+        return zip(pieces, map(flat.__getitem__, map(slice, [0, *ends], ends)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if self.cached > CACHE_BYTES:
-            self.cache.clear()
-            self.cached = 0
+        if 2 * self.cached > CACHE_BYTES:
+            self.cache, self.older, self.cached = {}, self.cache, 0
         whole = {i: ids for i, t in enumerate(texts) if not t.isascii() and self._unsure(t) and (ids := self._by_tiktoken(t)) is not None}
         split = [None if i in whole else self.find_ascii(t) if t.isascii() else self.find(t) for i, t in enumerate(texts)]
-        here = self.cache
+        here, older = self.cache, self.older
         missing = [p for p in set().union(*[p for p in split if p]) if p not in here]
         if missing:
-            new = dict(self._ids(missing))
-            kept = {k: v for k, v in new.items() if len(k) <= CACHE_CHARS}
+            again = {p: older[p] for p in missing if p in older}
+            new = dict(self._ids([p for p in missing if p not in again]))
+            kept = again | {k: v for k, v in new.items() if len(k) <= CACHE_CHARS}
             self.cached += sum(2 * len(k) + len(v) for k, v in kept.items()) + CACHE_ENTRY * len(kept)
             self.cache.update(kept)
             if any(len(k) > CACHE_CHARS for k in new):

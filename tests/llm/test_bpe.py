@@ -144,3 +144,14 @@ def test_given_sections_with_gaps(spark, enc, rule):
     mine = {r.section: r.n_tokens for r in got if r.doc_id == 1}
     assert [mine.get(k, 0) for k in range(4)] == pytest.approx(counts) and mine.get(-1, 0) == pytest.approx(outside)
     assert all(r.section == -1 and r.n_tokens == r.doc_tokens for r in got if r.doc_id in (2, 3))
+
+
+def test_frequent_matches_outlive_a_full_cache(enc, monkeypatch):
+    """What is met again moves on to the newer generation and is not encoded anew."""
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 40 * bpe.CACHE_ENTRY)
+    asked, old = [], enc._ids
+    monkeypatch.setattr(enc, "_ids", lambda pieces: asked.extend(pieces) or old(pieces))
+    for i in range(60):
+        enc.encode([f"frequent once{chr(97 + i % 26)}{chr(97 + i // 26)} only"])
+    assert asked.count("frequent") <= 1 and asked.count(" only") <= 1
+    assert len(enc.cache) + len(enc.older) < 60
