@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.session import cut, discard
+from linkloom.session import bound_tasks, cut, discard
 
 HUB_SHARE = 1000  # a node with more than this part of the edges is a hub
 
@@ -68,6 +68,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     fingerprint comes from its own write, and the table before it is removed. Texts are contracted by their 64-bit hashes,
     which are far cheaper to move, sort and compare, unless two of them share one; then by themselves.
     """
+    bound_tasks(edges.sparkSession)
     pairs = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")))
     nodes = (
         pairs.select(F.explode(F.array("u", "v")).alias("node")).filter(F.col("node").isNotNull()).distinct()

@@ -45,6 +45,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
+# Spark's defaults and what takes their place: keys of these tables compress so well that 64 MB of a shuffle are over 1 GB in a task's sorts
+_TASK_INPUT = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": ("67108864b", "16m"), "spark.sql.files.maxPartitionBytes": ("134217728b", "16m")}
+
+
+def bound_tasks(spark: SparkSession) -> None:
+    """Let no task gather more than about 16 MB of a shuffle or of files, unless the session says otherwise; larger inputs make more tasks."""
+    for name, (default, value) in _TASK_INPUT.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, value)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
