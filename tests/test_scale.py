@@ -1,9 +1,12 @@
 """Steps whose cost must follow the input: wide pages, pages in one split, pairs that share common ids."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from linkloom.functions.equations import equation_sides
 from linkloom.operators import components as C
+from linkloom.operators import expand
 from linkloom.operators import lookup as L
 from linkloom.operators import matching as M
 from linkloom.operators import network as N
@@ -187,3 +190,31 @@ def test_network_of_annotations_is_written_once(spark):
     chosen = G.network_from_annotations(ann, G.property_nodes(kv), G.property_id_nodes(kv)[1], G.property_rels(kv))
     assert "Join" not in chosen._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in chosen.collect()} == {("P1", "Protein"), ("R1", "Reaction"), ("G1", "Gene")}
+
+
+def test_links_are_not_dealt_by_their_type(spark, monkeypatch):
+    """Links have few types and modes: a shuffle by these would gather all links in as many tasks."""
+    plans, cut = [], expand.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(expand, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    edge = spark.createDataFrame([("gp", "G1", "P1"), ("pr", "P1", "R1"), ("rp", "R1", "P2"), ("pg", "P2", "G2"), ("gp", "G2", "P3")], "edge_type string, src_key string, dst_key string")
+    seeds = spark.createDataFrame([("global", "gene", "G1")], "mode_key string, node_type string, node_key string")
+    modes = expand.mode_edges(spark, ["global"])
+    got = expand.expand(seeds, edge, modes)
+    assert {r.node_key for r in got.collect()} == {"G1", "P1", "R1", "P2", "G2", "P3"}
+    plans.append(plan(expand.reached_edges(got, seeds, edge, modes)))
+    assert not [p for p in plans if re.search(r"hashpartitioning\(((mode_key|edge_type|src_type|node_type)#\d+, )+\d+\)", p)]
+
+
+def test_tasks_take_bounded_input(spark):
+    """The session's own sizes stay; Spark's defaults give way."""
+    from linkloom.session import bound_tasks
+
+    name, other = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
+    kept = spark.conf.get(name)
+    spark.conf.unset(name)
+    spark.conf.set(other, "5m")
+    bound_tasks(spark)
+    assert spark.conf.get(name) == "16m" and spark.conf.get(other) == "5m"
+    spark.conf.set(name, kept)
+    spark.conf.unset(other)
