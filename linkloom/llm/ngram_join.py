@@ -25,6 +25,8 @@ n-grams are compared by 64-bit hashes of their words.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,6 +44,7 @@ KEY_BITS = 40  # of the hash, to count by; more only order columns better
 SLICE_BYTES = 512 << 10  # of text whose words and n-grams are held at once
 PACK = 1_000_000  # n-grams that a task holds before it counts and sends them
 WIDE = 64  # a column where more rows than these are left after the star is settled by differences
+SKETCH = 4  # longs of a row's sketch of differences
 PART_LEVEL = 11  # columns held by more than 2^11 documents are dealt over parts of about so many rows
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -257,13 +260,21 @@ def _may_link(a: str, b: str, percent: int):
     return most * (100 + percent) >= (F.col("n" + a) + F.col("n" + b)) * percent
 
 
+def _size_windows(left: DataFrame, percent: int) -> DataFrame:
+    """``left`` with ``win``: every row twice, so that sizes of which the smaller is ``percent`` of the larger or more share a window."""
+    band = F.floor(F.log(F.col("n")) / (math.log(100 / min(percent, 99)) * 1.000001))  # the slack is for rounding
+    return left.withColumn("band", band).withColumn("win", F.explode(F.array(F.col("band"), F.col("band") + 1))).drop("band")
+
+
 def _by_differences(texts_df: DataFrame, key: str, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` among ``rows (ref, id, cls)`` of one ``ref``: with links between all classes that links of their rows tie.
 
     Each row is told by what its set lacks of its reference's set and what it has beside it. Two rows have ``size of ref - lacks
     of one - lacks of the other + what their differences share`` in common, so ``need`` is how much these must share. Where it
     is nothing, both link with the row ``low`` of the least weight. Else they share one of their rarest differences; those that
-    no other row has are left out.
+    no other row has are left out. A heavy row needs more: each looks for lighter rows by as many of its differences as it takes to
+    find ``low``, and is found by the fewer that a row no lighter than itself asks of it. Pairs that meet are held against sketches
+    of fixed size: bits in which two of them differ stand for differences that are not shared.
     """
     rows = cut(rows)
     sets = cut(_wanted_sets(texts_df, key, rows.select(F.explode(F.array("ref", "id")).alias("id")).distinct(), n))
@@ -275,23 +286,55 @@ def _by_differences(texts_df: DataFrame, key: str, rows: DataFrame, n: int, perc
     weight = F.size("lacks") * (100 + percent) + F.col("n") * percent
     told = cut(told.withColumn("w", weight).withColumn("whole", F.col("n_ref") * (100 + percent)))
     low = told.groupBy("ref").agg(F.min(F.struct("w", "id")).alias("low")).select("ref", F.col("low.id").alias("low"), F.col("low.w").alias("w_low"))
-    told = told.join(low, "ref").withColumn("sure", F.col("w") + F.col("w_low") <= F.col("whole"))
-    star = told.filter("sure and id.id <> low.id").select(F.least("id.id", "low.id").alias("a"), F.greatest("id.id", "low.id").alias("b"))
+    told = told.join(low, "ref")
+    star = told.filter("w + w_low <= whole and id.id <> low.id").select(F.least("id.id", "low.id").alias("a"), F.greatest("id.id", "low.id").alias("b"))
 
     # of ref's columns and of others alike: a set holds a hash or lacks it, never both
     cells = told.select("ref", "id", F.explode(F.concat("lacks", "has")).alias("d"))
     often = cells.groupBy("ref", "d").agg(F.count("*").alias("often")).filter("often > 1")
-    shared = cells.join(often, ["ref", "d"]).groupBy("ref", "id").agg(F.array_sort(F.collect_list(F.struct("often", "d"))).alias("ds"))
-    least = F.greatest(F.ceil((F.col("w") + F.col("w_low") - F.col("whole")) / (100 + percent)), F.lit(1)).cast("int")
-    heads = told.join(shared, ["ref", "id"]).withColumn("k", F.size("ds")).withColumn("take", F.col("k") - least + 1).filter("take > 0")
-    heads = heads.withColumn("ds", F.col("ds.d")).select("ref", "id.id", "cls", "w", "whole", "sure", "k", "ds", F.posexplode(F.slice("ds", F.lit(1), F.col("take"))).alias("at", "d"))
-    heads = cut(heads)
-    side = lambda s: heads.select("ref", "d", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "cls", "w", "sure", "k", "at", "ds")], *(["whole"] if s == "a" else []))
+    bits = [F.bit_xor(F.expr(f"if(pmod(shiftright(d, 6), {SKETCH}) = {i}, shiftleft(1L, cast(pmod(d, 64) as int)), 0L)")).alias(f"bits{i}") for i in range(SKETCH)]
+    shared = cells.join(often, ["ref", "d"]).groupBy("ref", "id").agg(F.array_sort(F.collect_list(F.struct("often", "d"))).alias("ds"), F.array(*bits).alias("bits"))
+    told = told.join(shared, ["ref", "id"]).withColumn("k", F.size("ds")).withColumn("ds", F.col("ds.d"))
+    told = cut(told.select("ref", "id", "cls", "w", "w_low", "whole", "k", "ds", "bits"))
+    # links are few once rows near the reference, and then those near the lightest that holds a difference, are of one class
+    links = cut(star.distinct())
+    for stars in (True, False):
+        told = _tied(told, links)
+        links = cut(links.unionByName(_meeting(told, percent, stars)).distinct())
+    return links
+
+
+def _tied(told: DataFrame, links: DataFrame) -> DataFrame:
+    """``told`` with its classes joined by ``links (a, b)``."""
+    held = told.select(F.col("id.id").alias("a"), F.col("cls").alias("b")).distinct()
+    nodes = cut(connected_components(links.unionByName(held), "a", "b"))
+    return cut(told.drop("cls").join(nodes.select(F.col("node").alias("own"), F.col("component").alias("cls")), F.col("id.id") == F.col("own")).drop("own"))
+
+
+def _meeting(told: DataFrame, percent: int, stars: bool) -> DataFrame:
+    """Links ``(a, b)`` between the classes of ``told``; with ``stars`` a difference is found only at the lightest row that offers it."""
+
+    def heads(s: str, lightest: str) -> DataFrame:
+        """The differences by which a row meets others, where the lighter row of the pair weighs ``lightest`` or more."""
+        least = F.greatest(F.ceil((F.col("w") + F.col(lightest) - F.col("whole")) / (100 + percent)), F.lit(1)).cast("int")
+        taken = told.withColumn("take", F.col("k") - least + 1).filter("take > 0")
+        return taken.select("ref", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "cls", "w", "k", "bits")], *(["whole"] if s == "a" else []),
+                            F.posexplode(F.slice("ds", F.lit(1), F.col("take"))).alias(f"at_{s}", "d"))
+
+    offered = heads("b", "w")
+    if stars:
+        first = F.row_number().over(Window.partitionBy("ref", "d").orderBy("w_b", "id_b"))
+        offered = offered.withColumn("first", first).filter("first = 1").drop("first")
     need = F.col("w_a") + F.col("w_b") - F.col("whole")
-    most = F.least(F.col("k_a") - F.col("at_a"), F.col("k_b") - F.col("at_b"))
-    met = side("a").join(side("b"), ["ref", "d"]).filter((F.col("cls_a") < F.col("cls_b")) & ~(F.col("sure_a") & F.col("sure_b")) & (most * (100 + percent) >= need))
-    met = met.filter(F.size(F.array_intersect("ds_a", "ds_b")) * (100 + percent) >= need)
-    return star.unionByName(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")))
+    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(SKETCH)), F.lit(0))
+    most = F.least(F.col("k_a") - F.col("at_a"), F.col("k_b") - F.col("at_b"), (F.col("k_a") + F.col("k_b") - apart) / 2)
+    met = heads("a", "w_low").join(offered, ["ref", "d"]).filter((F.col("w_a") >= F.col("w_b")) & (F.col("cls_a") != F.col("cls_b")))
+    met = met.filter(most * (100 + percent) >= need).select("ref", "id_a", "id_b", need.alias("need")).distinct()
+    # what is left is held against all differences
+    side = lambda s: told.select("ref", F.col("id").alias(f"id_{s}"), F.col("ds").alias(f"ds_{s}"))
+    met = met.join(side("a"), ["ref", "id_a"]).join(side("b"), ["ref", "id_b"])
+    met = met.filter(F.size(F.array_intersect("ds_a", "ds_b")) * (100 + percent) >= F.col("need"))
+    return met.select(F.least("id_a.id", "id_b.id").alias("a"), F.greatest("id_a.id", "id_b.id").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -345,13 +388,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = held.select("g", "id", "n", "pos", F.coalesce("component", "id").alias("cls"))
     mixed = held.groupBy("g").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("g")
     left = cut(held.join(mixed, "g", "left_semi"))
-    wide = cut(left.groupBy("g").agg(F.count("*").alias("k"), F.min(F.struct("pos", "id")).alias("ref")).filter(F.col("k") > WIDE).select("g", F.col("ref.id").alias("ref")))
+    wide = cut(left.groupBy("g").agg(F.count("*").alias("k")).filter(F.col("k") > WIDE).select("g"))
     narrow = left.join(wide, "g", "left_anti")
     side = lambda s: narrow.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "cls")])
     met = side("a").join(side("b"), "g").filter((F.col("cls_a") < F.col("cls_b")) & _may_link("_a", "_b", percent))
     met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     if not wide.isEmpty():
-        met = met.unionByName(_by_differences(here, key, left.join(wide, "g").select("ref", "id", "cls").distinct(), n, percent))
+        # a reference for rows of like size: the rest of a passage tells little of a whole text
+        of = Window.partitionBy("g", "win")
+        near = _size_windows(left.join(wide, "g"), percent).withColumns({"ref": F.min(F.struct("pos", "id")).over(of).getField("id"), "lo": F.min("cls").over(of), "hi": F.max("cls").over(of)})
+        met = met.unionByName(_by_differences(here, key, near.filter("lo <> hi").select("ref", "id", "cls").distinct(), n, percent))
     pairs = met.distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(_verified(here, key, cut(pairs), n, percent))
 

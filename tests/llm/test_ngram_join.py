@@ -137,3 +137,37 @@ def test_equal_sets_are_one_class_wherever_they_stand(spark):
     docs = [(k, f"own{k} " * 7 + " ".join(f"w{k}_{j}" for j in range(50)) if k % 2 else "the same words in every second text of all") for k in range(40)]
     got = ngram_join.jaccard_components(spark.createDataFrame(docs, DOC).coalesce(1)).collect()
     assert {r.doc_id: r.class_id for r in got} == {k: k if k % 2 else 0 for k in range(40)}
+
+
+def test_dense_groups_and_passages(spark, monkeypatch):
+    """Of a group where most texts link, few pairs are made; rows near the reference are of one class before. Parts of the text stand in the same columns."""
+    rng, docs = random.Random(3), []
+    base = [f"t{k}" for k in range(200)]
+    spots = [10 * k for k in range(20)]
+    for k in range(150):
+        text = list(base)
+        for spot in rng.sample(spots, 10):
+            text[spot] = f"e{spot}"
+        docs.append((k, " ".join(text if k % 3 else text[: rng.choice([60, 80, 100, 150])])))
+    docs += [(1000 + k, " ".join([*base[:40], f"own{k}", *[f"x{k}_{j}" for j in range(3)]])) for k in range(30)]
+    rng.shuffle(docs)
+    made, old = [], ngram_join._by_differences
+
+    def counted(*args):
+        out = old(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_by_differences", counted)
+    monkeypatch.setattr(ngram_join, "WIDE", 8)
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, DOC)).collect()
+    assert {r.doc_id: r.component_id for r in got} == by_hand(docs)
+    assert made and made[0] < 3 * len(docs)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 99, 100])
+def test_sizes_that_may_link_share_a_window(spark, percent):
+    sizes = [1, 2, 4, 5, 8, 16, 32, 64, 80, 99, 100, 125, 1000, 1250, 12500]
+    rows = ngram_join._size_windows(spark.createDataFrame([(n,) for n in sizes], "n long"), percent).collect()
+    wins = {n: {r.win for r in rows if r.n == n} for n in sizes}
+    assert all(wins[a] & wins[b] for a in sizes for b in sizes if 100 * a >= percent * b and a <= b)
