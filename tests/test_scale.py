@@ -218,3 +218,32 @@ def test_tasks_take_bounded_input(spark):
     assert spark.conf.get(name) == "16m" and spark.conf.get(other) == "5m"
     spark.conf.set(name, kept)
     spark.conf.unset(other)
+
+
+def _without(spark, settings, look):
+    """What ``look`` gives while ``settings`` hold."""
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        return look()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_keys_of_pairs_are_dealt_after_their_union(spark):
+    """Both parts of the union are dealt by their key; adaptive execution may deal them anew, so a join above must not rely on it."""
+    spark.conf.unset("spark.sql.unionOutputPartitioning")
+    left, right = [(f"s{k}", "hub") for k in range(20)] + [("s1", "own")], [(f"p{k}", "hub") for k in range(20)] + [("p1", "own"), ("q", "own")]
+    pairs = _sharing(spark, left, right)
+    keys = spark.createDataFrame([(f"p{k}",) for k in range(10)] + [("q",)], "right string")
+    settings = {"spark.sql.adaptive.enabled": "false"}  # the plan as it is made first; sets are small, the keys' size is not known
+
+    def look():
+        found = pairs.keep_right(keys, "left_semi").right_keys()
+        return found._jdf.queryExecution().executedPlan().toString(), {r.right for r in found.collect()}
+
+    plan, found = _without(spark, settings, look)
+    assert "Exchange hashpartitioning(right" in plan.split("Union")[0]
+    assert found == {f"p{k}" for k in range(10)} | {"q"}
