@@ -247,3 +247,11 @@ def test_keys_of_pairs_are_dealt_after_their_union(spark):
     plan, found = _without(spark, settings, look)
     assert "Exchange hashpartitioning(right" in plan.split("Union")[0]
     assert found == {f"p{k}" for k in range(10)} | {"q"}
+
+
+def test_generated_code_spreads_one_side_of_pairs_only(spark):
+    """It holds all rows of an input row: with both sides spread there, a million for two pieces."""
+    pairs = _sharing(spark, [(f"s{k}", "hub") for k in range(20)], [(f"p{k}", "hub") for k in range(20)])
+    plan = _without(spark, {"spark.sql.adaptive.enabled": "false"}, lambda: pairs.rows("a", "b")._jdf.queryExecution().executedPlan().toString())
+    assert plan.count("Generate explode") == 2 and len(re.findall(r"\*\(\d+\) Generate explode", plan)) == 1
+    assert pairs.rows("a", "b").distinct().count() == 400
