@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.equations import equation_sides
-from linkloom.operators.components import connected_components
+from linkloom.operators.components import component_counts, connected_components
 from linkloom.operators.samples import Pairs, organism_proteins
 from linkloom.session import cut
 
@@ -125,10 +125,7 @@ def compare_dead_ends(base: DataFrame, expanded: DataFrame) -> DataFrame:
 
 def component_sizes(edges: DataFrame) -> DataFrame:
     """Per weakly connected component: compounds and reactions."""
-    comp = connected_components(edges)
-    return comp.groupBy("component").agg(
-        F.count_if(~is_reaction("node")).alias("n_compounds"), F.count_if(is_reaction("node")).alias("n_reactions")
-    )
+    return component_counts(edges, n_compounds=~is_reaction("node"), n_reactions=is_reaction("node"))
 
 
 def size_histogram(sizes: DataFrame) -> DataFrame:

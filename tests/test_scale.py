@@ -255,3 +255,28 @@ def test_generated_code_spreads_one_side_of_pairs_only(spark):
     plan = _without(spark, {"spark.sql.adaptive.enabled": "false"}, lambda: pairs.rows("a", "b")._jdf.queryExecution().executedPlan().toString())
     assert plan.count("Generate explode") == 2 and len(re.findall(r"\*\(\d+\) Generate explode", plan)) == 1
     assert pairs.rows("a", "b").distinct().count() == 400
+
+
+def test_a_round_of_components_makes_its_edges_once(spark):
+    """All who read the large star's edges and the minima must find the same plan, or these are made and dealt again."""
+    e = spark.createDataFrame([(f % 7, f % 5) for f in range(40)], "u long, v long")
+
+    def look():
+        first = C._toward_smaller(C.cut(e))
+        return C._star_small(C._star_large(first, 40), 40)._jdf.queryExecution().executedPlan().toString()
+
+    plan = _without(spark, {"spark.sql.adaptive.enabled": "false"}, look)
+    # by node for the minima of both stars, by edge for their results; the joins of so few rows are broadcast
+    assert [len(re.findall(rf"(?<!Reused)Exchange hashpartitioning\({k}", plan)) - len(re.findall(rf"ReusedExchange [^\n]*hashpartitioning\({k}", plan))
+            for k in (r"u#\d+L, \d", r"u#\d+L, v#")] == [2, 2]
+
+
+def test_component_sizes_give_no_node_a_name(spark):
+    rows = [(f"R_{k}", f"M_{k % 17}_c") for k in range(60)] + [(f"R_{k}", f"M_{k}_e") for k in range(100, 104)] + [("R_1", "R_1"), ("M_x_c", None), (None, "M_y_c")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    sizes = N.component_sizes(edges)
+    want = {}
+    for node, at in _components(rows).items():
+        want.setdefault(at, [0, 0])[node.startswith("R")] += 1
+    assert {(r.component, r.n_compounds, r.n_reactions) for r in sizes.collect()} == {(at, a, b) for at, (a, b) in want.items()}
+    assert "min(node" not in N.size_histogram(sizes)._jdf.queryExecution().optimizedPlan().toString()
