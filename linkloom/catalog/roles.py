@@ -57,9 +57,13 @@ def sides(spark: SparkSession, sf: str) -> DataFrame:
 
 def participants(spark: SparkSession, sf: str) -> DataFrame:
     """Full participant rows; the position is the rank of the part within its side."""
+    side = F.when(F.col("l_linenumber") % 2 == 1, "left").otherwise("right")
+    # dealt by reaction once: parts are added up, ranked and put into equations where they are
+    li = table(spark, sf, "lineitem").select(key("R", "l_orderkey").alias("reaction_key"), side.alias("side"), "l_partkey", "l_quantity").repartition("reaction_key")
+    parts = li.groupBy("reaction_key", "l_partkey", "side").agg(F.sum("l_quantity").cast("int").alias("stoich"))
     w = W.partitionBy("reaction_key", "side").orderBy("l_partkey")
-    return sides(spark, sf).select(
-        "reaction_key", "side", (F.row_number().over(w) - 1).alias("pos"), "stoich", F.lit("").alias("stoich_raw"), "compound_key")
+    return parts.select(
+        "reaction_key", "side", (F.row_number().over(w) - 1).alias("pos"), "stoich", F.lit("").alias("stoich_raw"), key("C", "l_partkey").alias("compound_key"))
 
 
 PARTICIPANT = """

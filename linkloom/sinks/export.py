@@ -42,8 +42,8 @@ def entity_kv(xref: DataFrame, edge: DataFrame, participant: DataFrame, reaction
     as they are. A reaction of unknown direction is written as reversible.
     """
     detail = xref.filter(~(is_ec("id_value", 4) & (F.col("id_type") != "enzyme_ec"))).select(
-        "entity_type", "entity_key", F.col("id_type").alias("k"), F.col("id_value").alias("v")).distinct()
-    links = edge.select("edge_type", "src_key", "dst_key").distinct()
+        "entity_type", "entity_key", F.col("id_type").alias("k"), F.col("id_value").alias("v"))
+    links = edge.select("edge_type", "src_key", "dst_key")
     parts = participant.select("reaction_key", "side", "pos", "stoich", "compound_key")
     if ids is not None:
         typed = "entity_type" in ids.columns
@@ -73,6 +73,7 @@ def entity_kv(xref: DataFrame, edge: DataFrame, participant: DataFrame, reaction
         )).alias("x"))
     if ids is not None:
         eq = renamed(eq, "entity_key", F.lit("reaction"))
+    # repeated rows go once, at the end
     rows = detail.unionByName(conn).unionByName(eq.select(F.lit("reaction").alias("entity_type"), "entity_key", "x.k", "x.v"))
     return rows.select("entity_type", F.col("entity_key").alias("internal_id"), "k", "v").distinct()
 

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from linkloom.catalog import roles
 from linkloom.functions.equations import equation_sides
 from linkloom.operators import components as C
 from linkloom.operators import expand
@@ -12,7 +13,7 @@ from linkloom.operators import matching as M
 from linkloom.operators import network as N
 from linkloom.operators import property_graph as G
 from linkloom.operators import samples as S
-from linkloom.sinks.export import sif_organisms
+from linkloom.sinks.export import entity_kv, sif_organisms
 from linkloom.sources import pages as P
 
 
@@ -280,3 +281,30 @@ def test_component_sizes_give_no_node_a_name(spark):
         want.setdefault(at, [0, 0])[node.startswith("R")] += 1
     assert {(r.component, r.n_compounds, r.n_reactions) for r in sizes.collect()} == {(at, a, b) for at, (a, b) in want.items()}
     assert "min(node" not in N.size_histogram(sizes)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_participants_are_dealt_once(spark, tmp_path):
+    """Amounts, positions and equations of a reaction are made where its lines were dealt to."""
+    rows = [(1, 7, 1, 2.0), (1, 7, 3, 3.0), (1, 5, 1, 1.0), (1, 9, 2, 4.0), (2, 7, 2, 1.0), (None, 3, 1, 1.0), (None, None, 1, 2.0), (3, 4, None, 5.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def look():
+        p = roles.participants(spark, str(tmp_path))
+        listed = p.groupBy("reaction_key").agg(F.collect_list("compound_key"))
+        return listed._jdf.queryExecution().executedPlan().toString(), sorted((tuple(r) for r in p.drop("stoich_raw").collect()), key=str)
+
+    plan, got = _without(spark, {"spark.sql.adaptive.enabled": "false"}, look)
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert got == sorted([("R1", "left", 0, 1, "C5"), ("R1", "left", 1, 5, "C7"), ("R1", "right", 0, 4, "C9"), ("R2", "right", 0, 1, "C7"),
+                          (None, "left", 0, 2, None), (None, "left", 1, 1, "C3"), ("R3", "right", 0, 5, "C4")], key=str)
+
+
+def test_fields_are_made_distinct_once(spark):
+    x = spark.createDataFrame([("protein", "P1", "s", "synonyms", "a", 1)] * 2, "entity_type string, entity_key string, source_db string, id_type string, id_value string, n long")
+    e = spark.createDataFrame([("pr", "P1", "R1", "a"), ("pr", "P1", "R1", "b")], "edge_type string, src_key string, dst_key string, source_db string")
+    p = spark.createDataFrame([("R1", "left", 0, 2, "", "C1")], "reaction_key string, side string, pos int, stoich int, stoich_raw string, compound_key string")
+    r = spark.createDataFrame([("R1", "=>")], "reaction_key string, direction string")
+    got = entity_kv(x, e, p, r)
+    assert sorted(map(tuple, got.collect())) == [("protein", "P1", "reactions_connected", "R1"), ("protein", "P1", "synonyms", "a"),
+                                                 ("reaction", "R1", "reaction_compounds", "C1 => "), ("reaction", "R1", "stoichiometry", "2")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2  # of equations, and this
