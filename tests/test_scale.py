@@ -1,7 +1,9 @@
 """Steps whose cost must follow the input: wide pages, pages in one split, pairs that share common ids."""
 
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from linkloom.catalog import roles
@@ -308,3 +310,22 @@ def test_fields_are_made_distinct_once(spark):
     assert sorted(map(tuple, got.collect())) == [("protein", "P1", "reactions_connected", "R1"), ("protein", "P1", "synonyms", "a"),
                                                  ("reaction", "R1", "reaction_compounds", "C1 => "), ("reaction", "R1", "stoichiometry", "2")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2  # of equations, and this
+
+
+def test_plain_pages_are_read_without_the_parser(monkeypatch):
+    """Pages of plain tags are most; whatever is not plain is left to the parser, with the same elements and texts."""
+    bits = ["<td>", "</td>", "<TD class='a>b' x>", "<a href=\"/r?a=1&b=<2>\">", "</a >", "<br>", "<br/>", "<b />", "<td a=b>", "<td a=b/>", "x", " y ", "&amp;", "&lt", "&#65;", "&#6", "<", "< td>", "</", "</ td>",
+            "</td x>", "<!-- <td> -->", "<!x>", "<?p>", "<script>", "</script>", "<title>", "a<b", "\n", "<t\u00e9>", "<td\u00a0x>", "<td x='1'y>", "<td x = '1'>", ">", "<td", "'", "\u00e9", "&", "<nobr>", "</nobr>"]
+    rng, plain = random.Random(5), 0
+    for _ in range(6000):
+        html = "".join(rng.choices(bits[:8] + bits[10:14] if rng.random() < 0.5 else bits, k=rng.randint(0, 9)))
+        a, b = P._Outline(), P._Outline()
+        a.read(html)
+        b.feed(html)
+        b.close()
+        assert (a.pieces, a.elements, a.stack) == (b.pieces, b.elements, b.stack), html
+        plain += P._Outline()._read_plain(html)
+    assert plain > 1500
+    monkeypatch.setattr(P._Outline, "feed", lambda self, html: pytest.fail("the parser was asked"))
+    page = "<html><body><table><tr><th><nobr>Name</nobr></th><td>a &lt;=&gt; b;<br>\nc</td></tr><tr><th>Other DBs</th><td><table><tr><td>CAS:</td><td valign='top'>1</td></tr></table></td></tr></table></body></html>"
+    assert list(P._page_boxes(page, {"Name", "Other DBs"})) == [("Name", 0, "a <=> b;\nc", []), ("Other DBs", 0, "CAS:1", ["CAS:", "1"])]
